@@ -97,6 +97,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return found
 
 
+def salt(n: int) -> np.uint64:
+    """A constant that tells kinds of hashes apart."""
+    return np.uint64(n * int(M1) % (1 << 64))
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column and its n+1 offsets; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -173,7 +178,7 @@ def shingle_sets(words: np.ndarray, rows: np.ndarray, n_rows: int, width: int) -
         h = np.zeros(len(at), np.uint64)
         for j in range(width):
             h += words[at + j] * keys[j]
-        h, owner = mix(h + np.uint64(width) * M1), rows[at]
+        h, owner = mix(h + salt(width)), rows[at]
     else:
         h, owner = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     short = np.flatnonzero((count > 0) & (count < width))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausewood.llm import chat, exact_dedup, license_scan, sharding, token_counts
+from clausewood.llm import chat, exact_dedup, langid, license_scan, ngram_join, quality, sharding, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,12 +23,24 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", chat.PROBE), (-1, 1, "assistant", chat.PROBE)], rows.schema)
     return chat.digest(chat.render(chat.reconstruct(chat.conversation_events(rows.unionByName(probe)))))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -38,8 +50,8 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_token_counts, op6_chat_formatting, op9_exact_dedup, op10_license_scans)}
+    return {f.__name__: f for f in (op1_sharding, op2_token_counts, op3_ngram_jaccard_join, op5_quality_classifier, op6_chat_formatting, op7_language_id, op9_exact_dedup, op10_license_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding.oracle(), "op6_chat_formatting": chat.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE, "op10_license_scans": license_scan.oracle()}
+    return {"op1_sharding": sharding.oracle(), "op3_ngram_jaccard_join": ngram_join.oracle(), "op6_chat_formatting": chat.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE, "op10_license_scans": license_scan.oracle()}
