@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausewood.llm import chat, exact_dedup, langid, license_scan, ngram_join, quality, sharding, token_counts
+from clausewood.llm import chat, decontamination, exact_dedup, langid, license_scan, ngram_join, quality, sharding, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_token_counts, op3_ngram_jaccard_join, op5_quality_classifier, op6_chat_formatting, op7_language_id, op9_exact_dedup, op10_license_scans)}
+    return {f.__name__: f for f in (op1_sharding, op2_token_counts, op3_ngram_jaccard_join, op5_quality_classifier, op6_chat_formatting, op7_language_id, op8_benchmark_decontamination, op9_exact_dedup, op10_license_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
