@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 from clausewood.llm.common import lower_ascii, materialize
 
+#: Dropped rows up to which their (id, digest) pairs are broadcast; beyond, the join is shuffled.
+BROADCAST_ROWS = 300_000
+
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, digest, row): the SHA-256 of each text after lower-casing A-Z, and a number that tells repeated rows apart."""
@@ -55,6 +58,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = 0.001) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns as they were."""
+    decided = materialize(exact_dedup(docs, id_col, text_col, support))
+    lost = decided.where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
+    best = decided.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
+    repeated = materialize(best.join(lost, ["__id", "__digest"], "left_semi").unionByName(lost.where("__id IS NULL").join(best.where("__id IS NULL"), "__digest", "left_semi").distinct()))
+    lost = materialize(lost.distinct())
+    few = lost.count() <= BROADCAST_ROWS
+    marked = docs.withColumn("__digest", F.sha2(lower_ascii(F.coalesce(docs[text_col], F.lit(""))), 256))
+    same = (marked[id_col].eqNullSafe(F.col("l.__id"))) & (marked["__digest"] == F.col("l.__digest"))
+    out = marked.join((F.broadcast(lost) if few else lost).alias("l"), same, "left_anti")
+    if not repeated.isEmpty():
+        # Rows repeated with the same id and text went with their keeper; one of each comes back.
+        again = (marked[id_col].eqNullSafe(F.col("r.__id"))) & (marked["__digest"] == F.col("r.__digest"))
+        out = out.unionByName(marked.join(repeated.alias("r"), again, "left_semi").dropDuplicates([id_col, "__digest"]))
+    return out.select(*docs.columns)
+
+
 #: DuckDB SQL of the query on documents. Ties of repeated rows don't occur in the given tables.
 ORACLE = """
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)

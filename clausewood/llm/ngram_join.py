@@ -225,6 +225,17 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with the least id of their component, all columns as they were.
+
+    Rows with equal ids are one document. Rows without an id or without words stay.
+    """
+    member = join_components(docs, width, percent, id_col, text_col)
+    lost = materialize(member.where("doc_id != component_id").select(F.col("doc_id").alias("__id")).distinct())
+    few = lost.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(lost) if few else lost, docs[id_col] == F.col("__id"), "left_anti")
+
+
 def oracle(width: int = 4, percent: int = 85) -> str:
     """DuckDB SQL of the query on documents: all sharing pairs are counted, then least ids spread along links."""
     return rf"""

@@ -146,25 +146,34 @@ def fold(id_col: Column, parts: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % parts
 
 
-def score(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (default: the id) and ``score``, ``predicted`` of every row."""
+def score(docs: DataFrame, weights: np.ndarray, bias: float, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The columns ``keep`` and ``__score`` of every row."""
     ship(docs.sparkSession)
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast((weights, bias))  # 2**BITS floats
-    narrow = docs.select(*[docs[c] for c in (keep or [id_col])], docs[text_col].alias("__text"))
+    model = docs.sparkSession.sparkContext.broadcast((weights, bias))  # 2**BITS floats
+    columns = [c for c in keep if c != text_col]
+    narrow = docs.select(*columns, text_col)
+    whole = text_col in keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in slices(batch, "__text"):
-                s = dots(*model.value, data, offsets)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(s)], [*part.schema.names[:-1], "score"])
+            for part, data, offsets in slices(batch, text_col):
+                kept = part.columns if whole else part.columns[:-1]
+                names = part.schema.names if whole else part.schema.names[:-1]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(dots(*model.value, data, offsets))], [*names, "__score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1])
-    return narrow.mapInArrow(run, f"{fields}, score double").withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields if whole or f.name != text_col)
+    return narrow.mapInArrow(run, f"{fields}, __score double").select(*keep, "__score")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the classifier, fitted on all labels, doesn't reject; all columns as they were."""
+    weights, bias = train(docs, labels, F.lit(True), max_rows, id_col, text_col)
+    return score(docs, weights, bias, docs.columns, text_col).where(F.col("__score") >= CUT).select(*docs.columns)
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max_rows: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every row; rows of the held fold are never learned from."""
     weights, bias = train(docs, labels, fold(F.col("id"), folds) != held, max_rows, id_col, text_col)
-    scored = score(docs, weights, bias, id_col, text_col)
-    return scored.select(F.col(id_col).alias("doc_id"), F.coalesce(fold(F.col(id_col), folds) == held, F.lit(False)).alias("held_out"), "score", "predicted")
+    scored = score(docs, weights, bias, [id_col], text_col)
+    held_out = F.coalesce(fold(F.col(id_col), folds) == held, F.lit(False))
+    return scored.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= CUT).cast("int").alias("predicted"))

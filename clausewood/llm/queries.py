@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausewood.llm import chat, decontamination, exact_dedup, langid, license_scan, ngram_join, quality, sharding, token_counts
+from clausewood.llm import chat, decontamination, exact_dedup, langid, license_scan, ngram_join, piece_sampling, quality, sharding, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,12 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op4_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return piece_sampling.sample_segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), k=2)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,7 +60,7 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_token_counts, op3_ngram_jaccard_join, op5_quality_classifier, op6_chat_formatting, op7_language_id, op8_benchmark_decontamination, op9_exact_dedup, op10_license_scans)}
+    return {f.__name__: f for f in (op1_sharding, op2_token_counts, op3_ngram_jaccard_join, op4_sentencepiece_sampling, op5_quality_classifier, op6_chat_formatting, op7_language_id, op8_benchmark_decontamination, op9_exact_dedup, op10_license_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
