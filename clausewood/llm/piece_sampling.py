@@ -35,6 +35,7 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -397,9 +398,7 @@ def decode(samples: DataFrame, model: str, pieces_col: str = "pieces") -> DataFr
     ship(samples.sparkSession)
 
     @F.pandas_udf("string")
-    def text(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = vocabulary(model)
         for ids in batches:
             yield pd.Series([None if x is None else own.decode(list(x)) for x in ids])
