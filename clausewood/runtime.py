@@ -11,8 +11,14 @@ from pyspark.sql import SparkSession
 _shipped: dict[str, str] = {}
 
 
+#: Rows that go to a Python worker at once where the session leaves Spark's own default, which long texts make too large.
+ARROW_ROWS, ARROW_DEFAULT = "1000", "10000"
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that Python functions unpickle wherever the driver started."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_DEFAULT) == ARROW_DEFAULT:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
