@@ -19,7 +19,10 @@ give. Overlap counts are only accumulated where they can matter:
 5. Columns that then still span components emit the pairs across components
    only, so that every pair that could join two components is counted. Links
    inside a component can't change it.
-6. The overlaps of a surviving pair are accumulated over its two whole rows.
+6. A pair's rows are first held against each other by parity bitmaps, one bit per
+   shingle or fewer: bits that differ are a lower bound of the shingles that
+   differ, and sizes bound those from above. The overlap of what is left is
+   accumulated over the two whole rows.
 
 Shingles are 64-bit hashes. The result is exact but for collisions within one
 pair of documents.
@@ -96,7 +99,7 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def incidence(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, sig_a, sig_b, prefix) of every row: the set's size and digest and its first columns in order."""
+    """(id, n, sig_a, sig_b, prefix, bits) of every row: the set's size and digest, its first columns in order and its parity bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, width, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,11 +117,47 @@ def incidence(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
                 size = prefix_length(n, percent)
                 kept = h[np.arange(len(h)) - cuts[row] < size[row]]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(kept.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(sig_a), pa.array(sig_b), lists], ["id", "n", "sig_a", "sig_b", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(sig_a), pa.array(sig_b), lists, parity_bitmaps(h, row, n)], ["id", "n", "sig_a", "sig_b", "prefix", "bits"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     narrow = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return narrow.mapInArrow(run, f"id {kind}, n long, sig_a long, sig_b long, prefix array<long>")
+    return narrow.mapInArrow(run, f"id {kind}, n long, sig_a long, sig_b long, prefix array<long>, bits binary")
+
+
+def parity_bitmaps(h: np.ndarray, row: np.ndarray, n: np.ndarray) -> pa.Array:
+    """A bitmap of 2**k >= n bits for each row; a bit tells if an odd number of shingles has it as their low k bits."""
+    bits = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    ends = np.cumsum(bits)
+    place = (ends - bits)[row] + (h & (bits[row] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(place, minlength=int(ends[-1]) if len(ends) else 0) & 1).astype(np.uint8)
+    packed = np.packbits(odd, bitorder="little")
+    offsets = np.concatenate([[0], ends // 8]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(packed.tobytes())])
+
+
+def differing_bits(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits in which two parity bitmaps differ, the longer one folded to the size of the shorter."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def not_too_different(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs whose bitmaps don't rule them out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column(4).to_numpy() + batch.column(5).to_numpy()
+            left, right = batch.column(2), batch.column(3)
+            differ = np.array([differing_bits(*(np.frombuffer(c[i].as_buffer(), np.uint8) for c in (left, right))) for i in range(batch.num_rows)], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((100 + percent) * differ <= (100 - percent) * total))
+
+    kind = classes.schema["id"].dataType.simpleString()
+    both = pairs.join(classes.select(F.col("id").alias("a"), F.col("bits").alias("x"), F.col("n").alias("n1")), "a")
+    both = both.join(classes.select(F.col("id").alias("b"), F.col("bits").alias("y"), F.col("n").alias("n2")), "b")
+    return both.select("a", "b", "x", "y", "n1", "n2").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def signature(h: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +185,7 @@ def whole_sets(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_co
                 out = pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary())], ["id", "shingles"])
                 yield out.filter(pa.array(sig == part.column(2).to_numpy(zero_copy_only=False)))
 
-    return chosen.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, shingles binary").dropDuplicates(["id"])
+    return chosen.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, shingles binary")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -182,8 +221,8 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     ship(docs.sparkSession)
     rows = materialize(incidence(docs, width, percent, id_col, text_col))
     known = rows.where(F.col("id").isNotNull() & (F.col("n") > 0))
-    classes = known.groupBy("n", "sig_a", "sig_b").agg(F.min(F.struct("id", "prefix")).alias("least"))
-    classes = materialize(classes.select("n", "sig_a", "sig_b", "least.id", "least.prefix"))
+    classes = known.groupBy("n", "sig_a", "sig_b").agg(F.min(F.struct("id", "prefix", "bits")).alias("least"))
+    classes = materialize(classes.select("n", "sig_a", "sig_b", "least.id", "least.prefix", "least.bits"))
     entries = classes.select("id", "n", "sig_a", F.posexplode("prefix").alias("at", "shingle"))
     crowded = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("shingle")
     size_class = F.floor(F.log("n") / math.log(100 / percent)).cast("int")
@@ -191,8 +230,8 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     spark = docs.sparkSession
     kind = rows.schema["id"].dataType.simpleString()
-    links = tested = spark.createDataFrame([], f"a {kind}, b {kind}")
-    roots = components(links)
+    tested = spark.createDataFrame([], f"a {kind}, b {kind}")
+    roots = spark.createDataFrame([], f"node {kind}, root {kind}")
     still = shared.withColumn("root", F.col("id"))
     for number in range(rounds + 1):
         if number < rounds:
@@ -209,11 +248,12 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
             if number < rounds:
                 continue
             break
-        ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        close = materialize(not_too_different(pairs, classes, percent))
+        ends = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
         sets = materialize(whole_sets(docs, ends.join(classes.select("id", "sig_a"), "id"), width, id_col, text_col))
-        new = materialize(linked(pairs, sets, percent))
-        links, tested = links.union(new), tested.union(pairs)
-        roots = materialize(components(links))
+        new = materialize(linked(close, sets, percent))
+        tested = tested.union(pairs)
+        roots = materialize(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new)))
         if number < rounds:
             # Columns whose rows all belong to one component are done with.
             placed = shared.join(roots, shared["id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "id")).drop("node")
