@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 
 from clausewood.functions import patterns as P
 
+def pinned(column: Column) -> Column:
+    """The same column, which the optimizer neither copies into other expressions nor filters by in an earlier step.
+
+    A column that stands on many others would be written out again wherever it is used, level by level.
+    """
+    return F.when(F.spark_partition_id() >= 0, column)
+
+
 _DECIMALS = [chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd" and c < 0x10000]
 _VALUES = "".join(str(unicodedata.decimal(c)) for c in _DECIMALS)
 _DECIMALS_TEXT = "".join(_DECIMALS)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausewood.functions import patterns as P
-from clausewood.functions.scalars import definition_id, definition_term, is_single_quoted, lstrip, slugify, strip
+from clausewood.functions.scalars import definition_id, definition_term, is_single_quoted, lstrip, pinned, slugify, strip
 from clausewood.schema import BLOCK, BLOCK_FIELDS, SECTION, SECTIONS
 
 BLOCKS = "_+|[rR]|[qQ]+|[tT]+|[uU][uRQTUOP]*|[oO][oRQTUOP]*|[pP][^_]*"
@@ -159,4 +159,4 @@ def parse_sections(body: Column) -> Column:
 
 def with_sections(docs: DataFrame) -> DataFrame:
     """Adds ``sections`` to rows with ``body``; documents that failed to load have none."""
-    return docs.withColumn("sections", F.when(F.col("ok"), parse_sections(F.col("body"))).otherwise(F.array().cast(SECTIONS)))
+    return docs.withColumn("sections", pinned(F.when(F.col("ok"), parse_sections(F.col("body"))).otherwise(F.array().cast(SECTIONS))))

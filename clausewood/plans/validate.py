@@ -458,17 +458,23 @@ def with_imports(parsed: DataFrame, amended: DataFrame | None, attached: DataFra
     return docs.join(gathered, "doc_id", "left").withColumn("attached", F.coalesce("attached", F.array().cast(kind)))
 
 
+def pin(docs: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns that are computed once, in this step."""
+    return docs.withColumns({name: S.pinned(column) for name, column in columns.items()})
+
+
 def validate(parsed: DataFrame, amended: DataFrame | None = None, attached: DataFrame | None = None) -> DataFrame:
     """Adds to parsed documents their indices and ``diagnostics``, an array in the order of report."""
     m = F.col("metadata")
     docs = with_imports(parsed, amended, attached)
-    docs = docs.withColumns(side_columns(m) | attachment_columns(m)).withColumn("__fold", section_fold()).withColumn("section_index", F.col("__fold.entries"))
-    docs = docs.withColumn("blocks", block_list()).withColumn("anchors", anchor_list())
-    docs = docs.withColumns({"accepted_anchors": accepted_anchors(), "definitions": definition_list()})
-    docs = docs.withColumns({"section_lookup": section_lookup(), "own_definitions": own_definitions()})
-    docs = docs.withColumns({"definition_lookup": definition_lookup(), "section_keys": F.transform("section_lookup", lambda e: e["key"])})
+    docs = pin(docs, side_columns(m) | attachment_columns(m))
+    docs = pin(docs, {"__fold": section_fold()}).withColumn("section_index", F.col("__fold.entries"))
+    docs = pin(pin(docs, {"blocks": block_list()}), {"anchors": anchor_list()})
+    docs = pin(docs, {"accepted_anchors": accepted_anchors(), "definitions": definition_list()})
+    docs = pin(docs, {"section_lookup": section_lookup(), "own_definitions": own_definitions()})
+    docs = pin(docs, {"definition_lookup": definition_lookup(), "section_keys": F.transform("section_lookup", lambda e: e["key"])})
     body = F.flatten(each(F.col("blocks"), lambda b: b["masked"]))
-    docs = docs.withColumns({
+    docs = pin(docs, {
         "__front": placeholders_in(value_fields(m)),
         "placeholders": F.concat(placeholders_in(value_fields(m)), placeholders_in(body)),
         "used_terms": F.array_distinct(F.flatten(each(F.col("blocks"), lambda b: targets(b, "term", P.TERM)))),
@@ -480,11 +486,11 @@ def validate(parsed: DataFrame, amended: DataFrame | None = None, attached: Data
         "fields": F.flatten(each(body, lambda t: each(matches(t, P.FIELD, 2), lambda x: F.struct(x["g1"].alias("value"), x["g2"].alias("type"))))),
     })
     valid = F.filter("placeholders", lambda x: S.is_identifier(x["id"]) & x["type"].isin(*P.PLACEHOLDER_TYPES))
-    docs = docs.withColumns({"placeholder_ids": F.transform(valid, lambda x: x["id"]), "placeholder_types": F.transform(valid, lambda x: x["type"])})
+    docs = pin(docs, {"placeholder_ids": F.transform(valid, lambda x: x["id"]), "placeholder_types": F.transform(valid, lambda x: x["type"])})
     found = F.concat(
         metadata_rules(m), F.col("__fold.found"), anchor_rules(), definition_rules(), definition_form_rules(), import_rules(m),
         structural_rules(m), placeholder_rules(F.col("__front")), directive_rules(m), unreferenced_rules(m),
     )
     kept = F.filter(found, lambda d: d.isNotNull())
     diagnostics = F.when(F.col("ok"), kept).otherwise(listed(say("frontmatter-invalid-yaml", F.coalesce("error", F.lit("")))))
-    return docs.withColumn("diagnostics", diagnostics).drop("__fold", "__front", "placeholder_ids", "placeholder_types", "side_names", "party_names", "anchors")
+    return pin(docs, {"diagnostics": diagnostics}).drop("__fold", "__front", "placeholder_ids", "placeholder_types", "side_names", "party_names", "anchors")

@@ -9,16 +9,16 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewood.functions.scalars import strip
+from clausewood.functions.scalars import pinned, strip
 from clausewood.schema import BLOCK_FIELDS, DOCUMENT
 
 EXTENSIONS_GLOB = "*.{lgd,legaldown,legal.md}"
 
 
-def _files(files: DataFrame) -> DataFrame:
+def files_to_rows(files: DataFrame) -> DataFrame:
     """doc_id, file, filename, source, readable of binary file rows; line ends become line feeds."""
     readable = F.is_valid_utf8(F.col("content").cast("string"))
-    text = F.when(readable, F.decode("content", F.lit("UTF-8")))
+    text = F.when(readable, F.decode("content", "UTF-8"))
     path = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), r"^file:(//)?(?=/)", "")
     return files.select(
         path.alias("doc_id"),
@@ -31,12 +31,12 @@ def _files(files: DataFrame) -> DataFrame:
 
 def read_directory(spark: SparkSession, path: str) -> DataFrame:
     """All markup files below a directory, by their extensions."""
-    return _files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", EXTENSIONS_GLOB).load(path))
+    return files_to_rows(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", EXTENSIONS_GLOB).load(path))
 
 
 def read_files(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     """Named files, whatever their extensions."""
-    return _files(spark.read.format("binaryFile").load(list(paths)))
+    return files_to_rows(spark.read.format("binaryFile").load(list(paths)))
 
 
 def from_rows(spark: SparkSession, rows: Iterable[tuple[str, str]]) -> DataFrame:
@@ -122,7 +122,7 @@ def from_json_documents(docs: DataFrame, json_col: str = "document") -> DataFram
     given = docs.withColumn("__doc", F.from_json(json_col, LOOSE))
     ok = F.col("__doc").isNotNull()
     sections = F.coalesce(F.transform("__doc.sections", _section), F.transform(F.slice(F.array(F.col("__doc.sections")), 1, 0), lambda s: _section(s[0])))
-    return given.withColumns({"ok": ok, "error": F.when(~ok, F.lit("not a JSON document")), "filename": _text(F.col("__doc.filename")), "metadata": _metadata(F.col("__doc.metadata")), "sections": sections}).drop("__doc")
+    return given.withColumns({"ok": ok, "error": F.when(~ok, F.lit("not a JSON document")), "filename": _text(F.col("__doc.filename")), "metadata": pinned(_metadata(F.col("__doc.metadata"))), "sections": pinned(sections)}).drop("__doc")
 
 
 def from_dicts(spark: SparkSession, rows: Iterable[tuple[str, dict[str, Any]]]) -> DataFrame:
