@@ -30,11 +30,11 @@ def ascii_digits(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(text, rf"\A{P.WS}+|{P.WS}+\z", "")
+    return F.btrim(text, F.lit(P.WS_CHARACTERS))
 
 
 def lstrip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{P.WS}+", "")
+    return F.ltrim(text, F.lit(P.WS_CHARACTERS))
 
 
 def is_identifier(text: Column) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausewood.functions import patterns as P
+from clausewood.functions.scalars import pinned
 from clausewood.runtime import ship
 from clausewood.schema import METADATA
 
@@ -135,4 +136,4 @@ def with_metadata(docs: DataFrame) -> DataFrame:
 
     front, body = split_frontmatter(F.coalesce("source", F.lit("")))
     loaded = docs.withColumns({"__front": front, "body": body}).withColumn("__read", read("__front"))
-    return loaded.withColumns({"ok": F.col("__read.error").isNull(), "error": F.col("__read.error"), "metadata": F.from_json("__read.json", METADATA)}).drop("__front", "__read")
+    return loaded.withColumns({"ok": F.col("__read.error").isNull(), "error": F.col("__read.error"), "metadata": pinned(F.from_json("__read.json", METADATA))}).drop("__front", "__read")

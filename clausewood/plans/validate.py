@@ -225,7 +225,7 @@ def block_list() -> Column:
 
 def anchor_list() -> Column:
     """(section, id) of the trailing anchors, in order."""
-    found = each(F.col("blocks"), lambda b: each(F.filter(b["masked"], lambda t: t.rlike(P.TRAILING_ANCHOR)), lambda t: F.struct(b["section"].alias("section"), F.regexp_extract(t, P.TRAILING_ANCHOR, 1).alias("id"))))
+    found = each(F.col("blocks"), lambda b: each(F.filter(b["masked"], lambda t: t.contains("{#") & t.rlike(P.TRAILING_ANCHOR)), lambda t: F.struct(b["section"].alias("section"), F.regexp_extract(t, P.TRAILING_ANCHOR, 1).alias("id"))))
     return F.flatten(found)
 
 
@@ -251,7 +251,8 @@ def section_lookup() -> Column:
 
 
 def definition_matches(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"({P.DEFINITION})"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(f"({P.DEFINITION})"), F.lit(1))
+    return F.when(text.contains("def:"), found).otherwise(F.array().cast("array<string>"))
 
 
 def definition_list() -> Column:
@@ -473,7 +474,7 @@ def validate(parsed: DataFrame, amended: DataFrame | None = None, attached: Data
     docs = pin(docs, {"accepted_anchors": accepted_anchors(), "definitions": definition_list()})
     docs = pin(docs, {"section_lookup": section_lookup(), "own_definitions": own_definitions()})
     docs = pin(docs, {"definition_lookup": definition_lookup(), "section_keys": F.transform("section_lookup", lambda e: e["key"])})
-    body = F.flatten(each(F.col("blocks"), lambda b: b["masked"]))
+    body = F.filter(F.flatten(each(F.col("blocks"), lambda b: b["masked"])), lambda t: t.contains("{{"))
     docs = pin(docs, {
         "__front": placeholders_in(value_fields(m)),
         "placeholders": F.concat(placeholders_in(value_fields(m)), placeholders_in(body)),

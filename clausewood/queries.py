@@ -1,15 +1,278 @@
-"""The registered queries of the engine and their DuckDB SQL."""
+"""The registered queries of the engine and their DuckDB SQL.
+
+Queries over contracts read the text that ``contracts`` renders; their SQL computes
+the same results from the order tables and the planted faults, without the text.
+Ids such as R42 are those of the coverage checklist.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from clausewood import engine
+from clausewood.functions import patterns as P
+from clausewood.functions import scalars as S
+from clausewood.operators.serialize import serialize
+from clausewood.plans import report, views
+from clausewood.plans.validate import matches, validate
+from clausewood.sources.contracts import contracts
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+_parsed: dict[tuple[str, str], DataFrame] = {}
+_validated: dict[tuple[str, str], DataFrame] = {}
+
+
+def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parsed contracts; kept for the session, as many queries fan out from them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _parsed:
+        _parsed[key] = engine.parse(contracts(spark, sf_dir)).persist()
+    return _parsed[key]
+
+
+def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The validated contracts with their indices; kept for the session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _validated:
+        _validated[key] = validate(parsed(spark, sf_dir)).persist()
+    return _validated[key]
+
+
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.diagnostics(validated(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- SQL pieces
+
+ITEM = "(SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n, count(*) OVER (PARTITION BY l_orderkey) AS items FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) AND l_orderkey % 37 <> 0)"
+ORDER = "(SELECT o.*, c.* FROM orders o JOIN customer c ON c_custkey = o_custkey WHERE o_orderkey % 37 <> 0)"
+
+
+def _each(divisor: int, rule: str, level: str, message: str) -> str:
+    """A diagnostic for every order whose key has the divisor."""
+    return f"SELECT o_orderkey AS doc_id, '{rule}' AS rule, '{level}' AS level, {message} AS message FROM {ORDER} WHERE o_orderkey % {divisor} = 0"
+
+
+def _item(condition: str, rule: str, level: str, message: str) -> str:
+    """A diagnostic for every line item that meets the condition."""
+    return f"SELECT l_orderkey AS doc_id, '{rule}' AS rule, '{level}' AS level, {message} AS message FROM {ITEM} WHERE {condition}"
+
+
+#: What the rules must report, by their ids in the checklist.
+EXPECTED: dict[str, str] = {
+    "r05_metadata_date_invalid": _each(17, "metadata-date-invalid", "error", "'effective_date ''2026-02-30'' must be a valid ISO 8601 date (YYYY-MM-DD).'"),
+    "r09_party_type_invalid": f"""SELECT o_orderkey AS doc_id, 'party-type-invalid' AS rule, 'error' AS level, 'Party ''s' || coalesce(l_suppkey, 0) || ''' has invalid type ''corporation''. Must be ''legal_entity'' or ''natural_person''.' AS message
+        FROM {ORDER} LEFT JOIN {ITEM} i ON l_orderkey = o_orderkey AND n = 1 WHERE o_orderkey % 19 = 0""",
+    "r22_heading_skip": f"""SELECT o_orderkey AS doc_id, 'heading-skip' AS rule, 'error' AS level, 'Heading levels must not skip. ''1.2 Deep'' jumps from level ' || CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem) THEN 2 ELSE 1 END || ' to 4.' AS message
+        FROM {ORDER} WHERE o_orderkey % 41 = 0""",
+    "r23_heading_hardcoded_number": _each(41, "heading-hardcoded-number", "warning", "'Section ''1.2 Deep'' appears to include hardcoded numbering. LegalDown headings should be plain text.'"),
+    "r24_anchor_duplicate": _item("l_orderkey % 13 = 0 AND n = 2", "anchor-duplicate", "error", "'Duplicate section identifier on ''Item 2''. It was adjusted to ''item-1-2''.'"),
+    "r36_placeholder_type_inconsistent": _each(31, "placeholder-type-inconsistent", "error", "'Placeholder ''sign-date'' used with inconsistent types: ''date'' and ''text''.'"),
+    "r38_directive_unknown": _each(43, "directive-unknown", "error", "'Unknown directive ''{{trem:}}''. Renderers replace it with [UNKNOWN DIRECTIVE: trem] (§11.5).'"),
+    "r42_money_missing_currency": _item("l_orderkey % 7 = 0", "money-missing-currency", "warning", "'Money directive without currency parameter.'"),
+    "r44_duration_invalid_unit": _item("l_orderkey % 5 = 1", "duration-invalid-unit", "error", "'Duration unit ''M'' is not defined. Use ''MIN'' for minutes or ''MO'' for months.'"),
+    "r46_party_unknown": _each(47, "party-unknown", "error", "'Party directive references unknown party: ''nobody''.'"),
+    "r49_field_type_missing": _each(53, "field-type-missing", "error", "'Field directive is missing required type parameter.'"),
+    "r54_ref_broken": _item("l_orderkey % 11 = 0", "ref-broken", "error", "'Broken section reference: ''nowhere''.'"),
+    "r57_term_undefined": _each(29, "term-undefined", "error", "'Undefined term reference: ''wares''.'"),
+    "r58_attachment_unreferenced": _each(23, "attachment-unreferenced", "warning", "'Attachment ''schedule'' is declared but never referenced via {{attach:}}.'"),
+    "r59_def_unreferenced": _each(29, "def-unreferenced", "warning", "'Definition ''goods'' is declared but never referenced via {{term:}}.'"),
+}
+YAML_FAILED = "SELECT o_orderkey AS doc_id, 'frontmatter-invalid-yaml' AS rule, 'error' AS level FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 37 = 0"
+ALL = " UNION ALL ".join(f"SELECT doc_id, rule, level FROM ({sql})" for sql in EXPECTED.values()) + f" UNION ALL {YAML_FAILED}"
+
+
+def rule_query(rule: str) -> Query:
+    """The diagnostics of one rule."""
+    return lambda spark, sf_dir: found(spark, sf_dir).where(F.col("rule") == rule).select("doc_id", "rule", "level", "message")
+
+
+# ---------------------------------------------------------------- queries
+
+
+def contract_diagnostics_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole path; number of diagnostics by rule and level."""
+    return found(spark, sf_dir).groupBy("rule", "level").agg(F.count(F.lit(1)).alias("n"))
+
+
+def r60_frontmatter_invalid_yaml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found(spark, sf_dir).where("rule = 'frontmatter-invalid-yaml'").select("doc_id", "rule", "level")
+
+
+def i4_sections_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.sections(validated(spark, sf_dir)).select("doc_id", "title", "identifier", "path", "level", "number")
+
+
+def i5_section_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.section_keys(validated(spark, sf_dir)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("keys"))
+
+
+def i1_i3_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.lookups(validated(spark, sf_dir))
+
+
+def i6_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.definitions(validated(spark, sf_dir)).select("doc_id", "id", "term", "section_identifier", "inline", "auto_id")
+
+
+def i8_definition_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.definition_lookup(validated(spark, sf_dir)).select("doc_id", "id", "term")
+
+
+def i11_used_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validated(spark, sf_dir).select("doc_id", F.explode("used_terms").alias("term"))
+
+
+def i13_source_directives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.source_directives(validated(spark, sf_dir)).distinct()
+
+
+def x3_date_directives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validated(spark, sf_dir).select("doc_id", F.posexplode("dates").alias("pos", "value")).withColumn("pos", F.col("pos") + 1)
+
+
+def x4_money_directives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.exploded(validated(spark, sf_dir), "money").withColumn("pos", F.col("pos") + 1)
+
+
+def x5_duration_directives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.exploded(validated(spark, sf_dir), "durations").withColumn("pos", F.col("pos") + 1)
+
+
+def x9_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.exploded(validated(spark, sf_dir), "placeholders").select("doc_id", "id", "type")
+
+
+def p6_blocks_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block segmentation: number of blocks of each kind."""
+    blocks = parsed(spark, sf_dir).select(F.explode(F.flatten(F.transform("sections", lambda s: F.transform(s["blocks"], lambda b: b["kind"])))).alias("kind"))
+    return blocks.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def p2_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title, date and parties of the loaded frontmatter."""
+    return parsed(spark, sf_dir).where("ok").select("doc_id", F.col("metadata.title").alias("title"), F.col("metadata.effective_date").alias("effective_date"), F.col("metadata.sides")[0]["parties"][0]["legal_name"].alias("buyer"), F.size("metadata.attachments").alias("attachments"))
+
+
+def g1_report_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = report.ignore(found(spark, sf_dir), ["ref-broken", "duration-invalid-unit"])
+    return kept.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+def g2_report_promoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.counts(report.promote(found(spark, sf_dir)))
+
+
+def g3_report_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.report(found(spark, sf_dir)).select("file", "level", "rule")
+
+
+def g4_counts_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.counts(found(spark, sf_dir))
+
+
+def g7_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    valid = report.validity(validated(spark, sf_dir))
+    return valid.select("doc_id", "is_valid", F.size("errors").cast("long").alias("errors"), F.size("warnings").cast("long").alias("warnings"))
+
+
+def k3_serialize_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Serializing, parsing and serializing again gives the same text."""
+    once = serialize(parsed(spark, sf_dir).where("ok")).select("doc_id", "file", "filename", F.col("serialized").alias("source"))
+    return serialize(engine.parse(once)).select("doc_id", (F.col("serialized") == F.col("source")).alias("stable"))
+
+
+def u1_amendment_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third contract amends an original that defines ``wares``."""
+    terms = "array<struct<id:string,term:string>>"
+    docs = parsed(spark, sf_dir).where("ok AND doc_id % 29 = 0")
+    amends = F.when(F.col("doc_id") % 3 != 1, F.struct(F.lit("Original").alias("title"), F.lit("original.lgd").alias("file")))
+    docs = docs.withColumn("metadata", F.col("metadata").withField("amends", amends))
+    originals = docs.select(F.lit("original.lgd").alias("amends_file"), F.col("filename").alias("current_filename"), F.lit(True).alias("consulted"), F.when(F.col("doc_id") % 3 == 0, F.array(F.struct(F.lit("wares").alias("id"), F.lit("Wares").alias("term")))).otherwise(F.array()).cast(terms).alias("definitions"))
+    return report.diagnostics(validate(docs, originals)).where(F.col("rule").contains("term-undef")).select("doc_id", "rule")
+
+
+def f1_slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.select("p_partkey", S.slugify(F.concat("p_brand", F.lit(" "), "p_name", F.lit("_"), "p_type")).alias("slug"))
+
+
+def f4_iso_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    shifted = F.concat(F.date_format("o_orderdate", "yyyy-MM-"), F.lpad((F.col("o_orderkey") % 40).cast("string"), 2, "0"))
+    return orders.select("o_orderkey", S.is_iso_date(shifted).alias("is_date"))
+
+
+def f6_money_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    text = F.concat(F.when(F.col("p_partkey") % 3 == 0, F.lit("-")).otherwise(F.lit("")), F.col("p_retailprice").cast("decimal(18,2)").cast("string"), F.when(F.col("p_partkey") % 5 == 0, F.lit("d")).otherwise(F.lit("")))
+    return part.select("p_partkey", S.is_money_amount(text).alias("is_money"), S.is_positive(text).alias("is_positive"))
+
+
+def f10_display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.select("p_partkey", S.display_name(F.concat(F.lit("lot-"), (F.col("p_partkey") % 90).cast("string"), F.lit("th-half"))).alias("name"))
+
+
+def x1_refs_in_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References read from text built from customer rows, code spans masked."""
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    text = F.concat(F.lit("See {{ref: a"), F.col("c_custkey").cast("string"), F.lit("}} and `{{ref: hidden}}` and {{ref: b, format="), F.col("c_mktsegment"), F.lit("}}."))
+    refs = customer.select("c_custkey", F.explode(matches(S.mask_literals(text), P.REF, 2)).alias("x"))
+    return refs.select("c_custkey", F.col("x.g1").alias("target"), F.col("x.g2").alias("format"))
+
+
+PLAIN: dict[str, tuple[Query, str | None]] = {
+    "contract_diagnostics_by_rule": (contract_diagnostics_by_rule, f"SELECT rule, level, count(*) AS n FROM ({ALL}) GROUP BY ALL"),
+    "r60_frontmatter_invalid_yaml": (r60_frontmatter_invalid_yaml, YAML_FAILED),
+    "i4_sections_index": (i4_sections_index, f"""
+        SELECT o_orderkey AS doc_id, 'Terms' AS title, 'terms' AS identifier, 'terms' AS path, 1::INT AS level, '1' AS number FROM {ORDER}
+        UNION ALL SELECT l_orderkey, 'Item ' || n, id, 'terms.' || id, 2, '1.' || n FROM (SELECT *, CASE WHEN l_orderkey % 13 = 0 AND n = 2 THEN 'item-1-2' ELSE 'item-' || n END AS id FROM {ITEM})
+        UNION ALL SELECT o_orderkey, '1.2 Deep', 'deep', 'terms.' || coalesce(CASE WHEN o_orderkey % 13 = 0 AND items = 2 THEN 'item-1-2.' ELSE 'item-' || items || '.' END, '') || 'deep', 4, '1.' || coalesce(items || '.', '') || '1'
+          FROM {ORDER} LEFT JOIN (SELECT l_orderkey, count(*) AS items FROM lineitem GROUP BY ALL) ON l_orderkey = o_orderkey WHERE o_orderkey % 41 = 0"""),
+    "i5_section_keys": (i5_section_keys, f"SELECT o_orderkey AS doc_id, 1 + 2 * coalesce(k, 0) + CASE WHEN o_orderkey % 41 = 0 THEN 2 ELSE 0 END AS keys FROM {ORDER} LEFT JOIN (SELECT l_orderkey, count(*) AS k FROM lineitem GROUP BY ALL) ON l_orderkey = o_orderkey"),
+    "i1_i3_lookups": (i1_i3_lookups, f"""
+        SELECT o_orderkey AS doc_id, 'side' AS kind, 'buyers' AS id, 'Buyers' AS term FROM {ORDER}
+        UNION ALL SELECT o_orderkey, 'side', 'sellers', 'The Sellers' FROM {ORDER}
+        UNION ALL SELECT o_orderkey, 'party', 'c' || c_custkey, c_name FROM {ORDER}
+        UNION ALL SELECT o_orderkey, 'party', 's' || coalesce(l_suppkey, 0), 's' || coalesce(l_suppkey, 0) FROM {ORDER} LEFT JOIN {ITEM} i ON l_orderkey = o_orderkey AND n = 1
+        UNION ALL SELECT o_orderkey, 'attachment', 'schedule', 'Schedule' FROM {ORDER}"""),
+    "i6_definitions": (i6_definitions, f"SELECT o_orderkey AS doc_id, 'goods' AS id, 'Goods' AS term, 'terms' AS section_identifier, false AS inline, false AS auto_id FROM {ORDER}"),
+    "i8_definition_lookup": (i8_definition_lookup, f"SELECT o_orderkey AS doc_id, 'goods' AS id, 'Goods' AS term FROM {ORDER}"),
+    "i11_used_terms": (i11_used_terms, f"SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 29 = 0 THEN 'wares' ELSE 'goods' END AS term FROM {ORDER}"),
+    "i13_source_directives": (i13_source_directives, f"SELECT DISTINCT l_orderkey AS doc_id, 'ref' AS kind, CASE WHEN l_orderkey % 11 = 0 THEN 'nowhere' ELSE 'terms' END AS target FROM {ITEM} UNION ALL SELECT o_orderkey, 'term', CASE WHEN o_orderkey % 29 = 0 THEN 'wares' ELSE 'goods' END FROM {ORDER}"),
+    "x3_date_directives": (x3_date_directives, f"SELECT l_orderkey AS doc_id, n AS pos, strftime(l_shipdate, '%Y-%m-%d') AS value FROM {ITEM}"),
+    "x4_money_directives": (x4_money_directives, f"SELECT l_orderkey AS doc_id, n AS pos, l_extendedprice::DECIMAL(18, 2)::VARCHAR AS amount, CASE WHEN l_orderkey % 7 = 0 THEN '' ELSE 'USD' END AS currency FROM {ITEM}"),
+    "x5_duration_directives": (x5_duration_directives, f"SELECT l_orderkey AS doc_id, n AS pos, trunc(l_quantity)::INT::VARCHAR AS value, CASE WHEN l_orderkey % 5 = 1 THEN 'M' ELSE 'D' END AS unit FROM {ITEM}"),
+    "x9_placeholders": (x9_placeholders, f"SELECT o_orderkey AS doc_id, 'sign-date' AS id, 'date' AS type FROM {ORDER} UNION ALL SELECT o_orderkey, 'sign-date', 'text' FROM {ORDER} WHERE o_orderkey % 31 = 0"),
+    "p6_blocks_by_kind": (p6_blocks_by_kind, f"""
+        SELECT kind, sum(n)::BIGINT AS n FROM (
+          SELECT 'definition' AS kind, count(*) AS n FROM {ORDER} UNION ALL SELECT 'term', count(*) FROM {ORDER} UNION ALL SELECT 'paragraph', count(*) FROM {ORDER}
+          UNION ALL SELECT 'paragraph', count(*) FROM {ORDER} WHERE o_orderkey % 41 = 0 UNION ALL SELECT 'paragraph', count(*) FROM {ITEM} UNION ALL SELECT 'unordered_list', count(*) FROM {ITEM}) GROUP BY kind"""),
+    "p2_metadata": (p2_metadata, f"SELECT o_orderkey AS doc_id, 'Order ' || o_orderkey AS title, CASE WHEN o_orderkey % 17 = 0 THEN '2026-02-30' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS effective_date, c_name AS buyer, 1::INT AS attachments FROM {ORDER}"),
+    "g1_report_ignored": (g1_report_ignored, f"SELECT rule, count(*) AS n FROM ({ALL}) WHERE rule NOT IN ('ref-broken', 'duration-invalid-unit') GROUP BY rule"),
+    "g2_report_promoted": (g2_report_promoted, f"SELECT count(*) AS error, 0::BIGINT AS warning, 0::BIGINT AS info FROM ({ALL})"),
+    "g3_report_sorted": (g3_report_sorted, f"SELECT 'orders/' || doc_id || '.lgd' AS file, level, rule FROM ({ALL}) ORDER BY file, level, rule"),
+    "g4_counts_by_level": (g4_counts_by_level, f"SELECT count(*) FILTER (level = 'error') AS error, count(*) FILTER (level = 'warning') AS warning, 0::BIGINT AS info FROM ({ALL})"),
+    "g7_validity": (g7_validity, f"SELECT o_orderkey AS doc_id, count(*) FILTER (level = 'error') = 0 AS is_valid, count(*) FILTER (level = 'error') AS errors, count(*) FILTER (level = 'warning') AS warnings FROM orders LEFT JOIN ({ALL}) ON doc_id = o_orderkey GROUP BY o_orderkey"),
+    "k3_serialize_round_trip": (k3_serialize_round_trip, f"SELECT o_orderkey AS doc_id, true AS stable FROM {ORDER}"),
+    "u1_amendment_terms": (u1_amendment_terms, f"SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 1 THEN 'term-undefined' ELSE 'amend-term-undefined' END AS rule FROM {ORDER} WHERE o_orderkey % 29 = 0 AND o_orderkey % 3 <> 0"),
+    "f1_slugify": (f1_slugify, r"SELECT p_partkey, left(trim(regexp_replace(regexp_replace(lower(p_brand || ' ' || p_name || '_' || p_type), '[^a-z0-9\s_-]', '', 'g'), '[\s_]+', '-', 'g'), '-'), 64) AS slug FROM part"),
+    "f4_iso_dates": (f4_iso_dates, "SELECT o_orderkey, try_cast(strftime(o_orderdate, '%Y-%m-') || lpad((o_orderkey % 40)::VARCHAR, 2, '0') AS DATE) IS NOT NULL AS is_date FROM orders"),
+    "f6_money_amounts": (f6_money_amounts, "SELECT p_partkey, p_partkey % 3 <> 0 AND p_partkey % 5 <> 0 AS is_money, p_partkey % 3 <> 0 AND p_partkey % 5 <> 0 AND p_retailprice > 0 AS is_positive FROM part"),
+    "f10_display_names": (f10_display_names, "SELECT p_partkey, 'Lot ' || (p_partkey % 90) || 'Th Half' AS name FROM part"),
+    "x1_refs_in_comments": (x1_refs_in_comments, "SELECT c_custkey, 'a' || c_custkey AS target, '' AS format FROM customer UNION ALL SELECT c_custkey, 'b', c_mktsegment FROM customer"),
+}
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    rules = {name: rule_query(sql.split("'")[1]) for name, sql in EXPECTED.items()}
+    return {name: q for name, (q, _) in PLAIN.items()} | rules
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in PLAIN.items() if sql} | EXPECTED
