@@ -13,6 +13,7 @@ _SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3
 WS = f"[{_SPACES}]"
 WS_CHARACTERS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+ODD_LINE_END = r"[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 DIGIT = r"\p{Nd}"
 WORD = r"[\p{L}\p{N}_]"
 

@@ -29,8 +29,9 @@ ARRAYS = {"items": "array<string>", "headers": "array<string>", "rows": "array<a
 
 def split_lines(text: Column) -> Column:
     """The lines of a text, whatever ends them; a last line end opens no further line."""
-    lines = F.split(text, P.LINE_END)
-    return F.when(text == "", F.array().cast("array<string>")).when(text.rlike(rf"(?:{P.LINE_END})\z"), F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines)
+    odd = text.rlike(P.ODD_LINE_END)
+    lines = F.when(odd, F.split(text, P.LINE_END)).otherwise(F.split(text, "\n"))
+    return F.element_at(F.transform(F.array(lines), lambda x: F.when((F.element_at(x, -1) == "") & (F.size(x) > 0), F.slice(x, 1, F.size(x) - 1)).otherwise(x)), 1)
 
 
 def block(**fields: Column) -> Column:
@@ -157,6 +158,13 @@ def parse_sections(body: Column) -> Column:
     return F.coalesce(F.element_at(F.transform(F.array(split_lines(body)), with_lines), 1), F.array().cast(SECTIONS))
 
 
+#: The expression of each application: building it takes many calls to the JVM.
+_sections: dict[str, Column] = {}
+
+
 def with_sections(docs: DataFrame) -> DataFrame:
     """Adds ``sections`` to rows with ``body``; documents that failed to load have none."""
-    return docs.withColumn("sections", pinned(F.when(F.col("ok"), parse_sections(F.col("body"))).otherwise(F.array().cast(SECTIONS))))
+    application = docs.sparkSession.sparkContext.applicationId
+    if application not in _sections:
+        _sections[application] = pinned(F.when(F.col("ok"), parse_sections(F.col("body"))).otherwise(F.array().cast(SECTIONS)))
+    return docs.withColumn("sections", _sections[application])

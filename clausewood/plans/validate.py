@@ -464,34 +464,52 @@ def pin(docs: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return docs.withColumns({name: S.pinned(column) for name, column in columns.items()})
 
 
-def validate(parsed: DataFrame, amended: DataFrame | None = None, attached: DataFrame | None = None) -> DataFrame:
-    """Adds to parsed documents their indices and ``diagnostics``, an array in the order of report."""
+def steps() -> list[dict[str, Column]]:
+    """The columns of a validation, each step standing on the ones before."""
     m = F.col("metadata")
-    docs = with_imports(parsed, amended, attached)
-    docs = pin(docs, side_columns(m) | attachment_columns(m))
-    docs = pin(docs, {"__fold": section_fold()}).withColumn("section_index", F.col("__fold.entries"))
-    docs = pin(pin(docs, {"blocks": block_list()}), {"anchors": anchor_list()})
-    docs = pin(docs, {"accepted_anchors": accepted_anchors(), "definitions": definition_list()})
-    docs = pin(docs, {"section_lookup": section_lookup(), "own_definitions": own_definitions()})
-    docs = pin(docs, {"definition_lookup": definition_lookup(), "section_keys": F.transform("section_lookup", lambda e: e["key"])})
     body = F.filter(F.flatten(each(F.col("blocks"), lambda b: b["masked"])), lambda t: t.contains("{{"))
-    docs = pin(docs, {
-        "__front": placeholders_in(value_fields(m)),
-        "placeholders": F.concat(placeholders_in(value_fields(m)), placeholders_in(body)),
-        "used_terms": F.array_distinct(F.flatten(each(F.col("blocks"), lambda b: targets(b, "term", P.TERM)))),
-        "used_refs": F.array_distinct(F.flatten(each(F.col("blocks"), lambda b: targets(b, "ref", P.REF)))),
-        "used_attachments": F.array_distinct(F.flatten(each(body, lambda t: each(matches(t, P.ATTACH, 1), lambda x: x["g1"])))),
-        "dates": F.flatten(each(body, lambda t: each(matches(t, P.DATE, 1), lambda x: x["g1"]))),
-        "money": F.flatten(each(body, lambda t: each(matches(t, P.MONEY, 2), lambda x: F.struct(x["g1"].alias("amount"), x["g2"].alias("currency"))))),
-        "durations": F.flatten(each(body, lambda t: each(matches(t, P.DURATION, 2), lambda x: F.struct(x["g1"].alias("value"), x["g2"].alias("unit"))))),
-        "fields": F.flatten(each(body, lambda t: each(matches(t, P.FIELD, 2), lambda x: F.struct(x["g1"].alias("value"), x["g2"].alias("type"))))),
-    })
+    of_body = lambda pattern, groups, pick: F.flatten(each(body, lambda t: each(matches(t, pattern, groups), pick)))
     valid = F.filter("placeholders", lambda x: S.is_identifier(x["id"]) & x["type"].isin(*P.PLACEHOLDER_TYPES))
-    docs = pin(docs, {"placeholder_ids": F.transform(valid, lambda x: x["id"]), "placeholder_types": F.transform(valid, lambda x: x["type"])})
     found = F.concat(
         metadata_rules(m), F.col("__fold.found"), anchor_rules(), definition_rules(), definition_form_rules(), import_rules(m),
         structural_rules(m), placeholder_rules(F.col("__front")), directive_rules(m), unreferenced_rules(m),
     )
-    kept = F.filter(found, lambda d: d.isNotNull())
-    diagnostics = F.when(F.col("ok"), kept).otherwise(listed(say("frontmatter-invalid-yaml", F.coalesce("error", F.lit("")))))
-    return pin(docs, {"diagnostics": diagnostics}).drop("__fold", "__front", "placeholder_ids", "placeholder_types", "side_names", "party_names", "anchors")
+    failed = listed(say("frontmatter-invalid-yaml", F.coalesce("error", F.lit(""))))
+    return [
+        side_columns(m) | attachment_columns(m),
+        {"__fold": section_fold()},
+        {"section_index": F.col("__fold.entries"), "blocks": block_list()},
+        {"anchors": anchor_list()},
+        {"accepted_anchors": accepted_anchors(), "definitions": definition_list()},
+        {"section_lookup": section_lookup(), "own_definitions": own_definitions()},
+        {"definition_lookup": definition_lookup(), "section_keys": F.transform("section_lookup", lambda e: e["key"])},
+        {
+            "__front": placeholders_in(value_fields(m)),
+            "__body": placeholders_in(body),
+            "used_terms": F.array_distinct(F.flatten(each(F.col("blocks"), lambda b: targets(b, "term", P.TERM)))),
+            "used_refs": F.array_distinct(F.flatten(each(F.col("blocks"), lambda b: targets(b, "ref", P.REF)))),
+            "used_attachments": F.array_distinct(of_body(P.ATTACH, 1, lambda x: x["g1"])),
+            "dates": of_body(P.DATE, 1, lambda x: x["g1"]),
+            "money": of_body(P.MONEY, 2, lambda x: F.struct(x["g1"].alias("amount"), x["g2"].alias("currency"))),
+            "durations": of_body(P.DURATION, 2, lambda x: F.struct(x["g1"].alias("value"), x["g2"].alias("unit"))),
+            "fields": of_body(P.FIELD, 2, lambda x: F.struct(x["g1"].alias("value"), x["g2"].alias("type"))),
+        },
+        {"placeholders": F.concat("__front", "__body")},
+        {"placeholder_ids": F.transform(valid, lambda x: x["id"]), "placeholder_types": F.transform(valid, lambda x: x["type"])},
+        {"diagnostics": F.when(F.col("ok"), F.filter(found, lambda d: d.isNotNull())).otherwise(failed)},
+    ]
+
+
+#: The steps of each application: building expressions takes many calls to the JVM, and they fit any input.
+_steps: dict[str, list[dict[str, Column]]] = {}
+
+
+def validate(parsed: DataFrame, amended: DataFrame | None = None, attached: DataFrame | None = None) -> DataFrame:
+    """Adds to parsed documents their indices and ``diagnostics``, an array in the order of report."""
+    application = parsed.sparkSession.sparkContext.applicationId
+    if application not in _steps:
+        _steps[application] = steps()
+    docs = with_imports(parsed, amended, attached)
+    for columns in _steps[application]:
+        docs = pin(docs, columns)
+    return docs.drop("__fold", "__front", "__body", "placeholder_ids", "placeholder_types", "side_names", "party_names", "anchors")

@@ -30,7 +30,9 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parsed contracts; kept for the session, as many queries fan out from them."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _parsed:
-        _parsed[key] = engine.parse(contracts(spark, sf_dir)).persist()
+        # Validation is work per byte: without this, adaptive execution packs small contracts into one task.
+        rows = contracts(spark, sf_dir)
+        _parsed[key] = engine.parse(rows.repartition(4 * spark.sparkContext.defaultParallelism)).persist()
     return _parsed[key]
 
 
