@@ -117,12 +117,12 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def slices(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Parts of a batch with about SLICE_BYTES of text (one row at least), with their bytes and offsets."""
+def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Parts of a batch with about ``limit`` bytes of text (one row at least), with their bytes and offsets."""
     data, offsets = text_buffers(batch.column(batch.schema.get_field_index(text)))
     row = 0
     while row < batch.num_rows:
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, side="right")) - 1)
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, side="right")) - 1)
         yield batch.slice(row, end - row), data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
 

@@ -46,6 +46,8 @@ from clausewood.runtime import ship
 BLANK = "▁"
 #: Groups this far below the best can't win: a draw's spread is under 42.
 SPREAD = 90.0
+#: Bytes of text whose lattices are held at once; a lattice takes about a hundred times its text.
+LATTICE_BYTES = 1 << 20
 
 
 class Pieces:
@@ -142,22 +144,23 @@ class Lattices:
             place_of = pieces.find(span_hashes(text, begin, end))
             hit = (place_of >= 0) & is_node[end]
             some, place_of, end = some[hit], place_of[hit], end[hit]
-            src.append(some + inner)
-            dst.append(number[end])
+            src.append((some + inner).astype(np.int32))
+            dst.append(number[end].astype(np.int32))
             ids.append(pieces.ids[place_of])
             weight.append(pieces.weights[place_of])
             found_one[some[end == next_char[some + inner]] + inner] = True
         bare = np.flatnonzero(~found_one[inner:]) + inner
         width = next_char[bare] - nodes[bare]
-        src.append(bare)
-        dst.append(number[next_char[bare]])
-        ids.append(np.where(width == 1, pieces.byte_id[text[nodes[bare]]], -1 - nodes[bare]).astype(np.int64))
+        src.append(bare.astype(np.int32))
+        dst.append(number[next_char[bare]].astype(np.int32))
+        ids.append(np.where(width == 1, pieces.byte_id[text[nodes[bare]]], -1 - nodes[bare]).astype(np.int32))
         weight.append(pieces.byte_weight * width)
         self.text, self.byte_id = text, pieces.byte_id
         all_src = np.concatenate(src)
         by_src = np.argsort(all_src, kind="stable")
-        self.src, self.dst, self.ids, w = all_src[by_src], np.concatenate(dst)[by_src], np.concatenate([x.astype(np.int64) for x in ids])[by_src], np.concatenate(weight)[by_src]
+        self.src, self.dst, self.ids, w = all_src[by_src], np.concatenate(dst)[by_src], np.concatenate(ids)[by_src], np.concatenate(weight)[by_src]
         self.edge = np.searchsorted(self.src, np.arange(len(nodes) + 1))
+        del src, dst, ids, weight, all_src, by_src
         # Backward sums, level by level.
         beta = np.zeros(len(nodes))
         self.p = np.empty(len(w))
@@ -367,7 +370,7 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 2, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = vocabulary(model)
         for batch in batches:
-            for part, data, offsets in slices(batch, "text"):
+            for part, data, offsets in slices(batch, "text", LATTICE_BYTES):
                 seeds = mix(part.column(1).to_numpy().view(np.uint64))
                 rows, number, lists, scores, peaks, inclusions, trips = [], [], [], [], [], [], []
                 for row in np.flatnonzero(np.diff(offsets) == 0):
