@@ -7,6 +7,7 @@ the batch that Spark hands over.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -57,7 +58,7 @@ M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.ui
 #: Base of the word hash (odd, so it has an inverse modulo 2**64) and that inverse.
 BASE = 0x5851F42D4C957F2D
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -117,8 +118,18 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def give_back() -> None:
+    """Return memory that freed arrays have left in this worker to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of a batch with about ``limit`` bytes of text (one row at least), with their bytes and offsets."""
+    give_back()
     data, offsets = text_buffers(batch.column(batch.schema.get_field_index(text)))
     row = 0
     while row < batch.num_rows:
