@@ -129,10 +129,10 @@ def give_back() -> None:
 
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of a batch with about ``limit`` bytes of text (one row at least), with their bytes and offsets."""
-    give_back()
     data, offsets = text_buffers(batch.column(batch.schema.get_field_index(text)))
     row = 0
     while row < batch.num_rows:
+        give_back()
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, side="right")) - 1)
         yield batch.slice(row, end - row), data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
@@ -159,11 +159,18 @@ def runs(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each span, whatever its place."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+    return hashes_between(*hash_sums(data), starts, ends) if len(starts) else np.zeros(0, np.uint64)
+
+
+def hash_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums and inverse powers, from which ``hashes_between`` takes the hash of any span."""
     up, down = powers(len(data))
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(BYTE_HASH[data] * up[: len(data)], out=total[1:])
+    return total, down
+
+
+def hashes_between(total: np.ndarray, down: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * M1)
 
 

@@ -35,19 +35,18 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewood.llm.common import M1, M2, M3, mix, slices, span_hashes
+from clausewood.llm.common import M1, M2, M3, hash_sums, hashes_between, mix, slices, span_hashes
 from clausewood.runtime import ship
 
 BLANK = "▁"
 #: Groups this far below the best can't win: a draw's spread is under 42.
 SPREAD = 90.0
 #: Bytes of text whose lattices are held at once; a lattice takes about a hundred times its text.
-LATTICE_BYTES = 1 << 20
+LATTICE_BYTES = 1 << 19
 
 
 class Pieces:
@@ -135,13 +134,14 @@ class Lattices:
         after = np.cumsum(is_node) - 1
         by_place = np.flatnonzero(is_node)
         next_char[inner:] = by_place[after[at] + 1]
+        sums = hash_sums(text)
         for size in pieces.lengths:
             some = np.flatnonzero(room >= size)
             if not len(some):
                 break
             begin = at[some]
             end = begin + size
-            place_of = pieces.find(span_hashes(text, begin, end))
+            place_of = pieces.find(hashes_between(*sums, begin, end))
             hit = (place_of >= 0) & is_node[end]
             some, place_of, end = some[hit], place_of[hit], end[hit]
             src.append((some + inner).astype(np.int32))
@@ -160,7 +160,7 @@ class Lattices:
         by_src = np.argsort(all_src, kind="stable")
         self.src, self.dst, self.ids, w = all_src[by_src], np.concatenate(dst)[by_src], np.concatenate(ids)[by_src], np.concatenate(weight)[by_src]
         self.edge = np.searchsorted(self.src, np.arange(len(nodes) + 1))
-        del src, dst, ids, weight, all_src, by_src
+        del src, dst, ids, weight, all_src, by_src, sums, source, stop, place, order, number, by_place, count
         # Backward sums, level by level.
         beta = np.zeros(len(nodes))
         self.p = np.empty(len(w))
@@ -392,6 +392,8 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 2, id_col: str =
                     [part.column(0).take(pa.array(rows, pa.int64())), pa.array(number, pa.int32()), column, pa.array(sizes, pa.int32()), pa.array(scores, pa.float64()), pa.array(peaks, pa.float64()), pa.array(inclusions, pa.float64()), pa.array(trips, pa.bool_())],
                     ["doc_id", "sample", "pieces", "n_pieces", "log_prob", "perturbed", "inclusion", "round_trip"],
                 )
+                # Freed before the next slice is built, not when it replaces this one.
+                sampler = samples = edges = ids = lists = flat = column = None
 
     return narrow.mapInArrow(run, schema)
 
@@ -400,10 +402,10 @@ def decode(samples: DataFrame, model: str, pieces_col: str = "pieces") -> DataFr
     """``samples`` with the column ``text`` decoded from the pieces."""
     ship(samples.sparkSession)
 
-    @F.pandas_udf("string")
-    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = vocabulary(model)
         for ids in batches:
-            yield pd.Series([None if x is None else own.decode(list(x)) for x in ids])
+            yield pa.array([None if x is None else own.decode(x) for x in ids.to_pylist()], pa.string())
 
     return samples.withColumn("text", text(F.col(pieces_col)))
