@@ -7,7 +7,9 @@ lower case, a shingle is five of them; an item with fewer words is one shingle.
 
 1. A window over the threshold holds at least ``need`` of an item's m shingles, so
    it holds one of the item's m - need + 1 rarest ones (by their count of items).
-   Texts are met with those; texts that hold none are done.
+   Texts are met with those; texts that hold none are done. A text with fewer words
+   than the item is one window of k < m shingles, which needs fewer shared ones and
+   so is met with more of the item's.
 2. Windows are formed where they can be best: a window that doesn't begin with a
    shingle of the item loses nothing by moving on to the next one, so windows
    begin at the item's shingles, or end with the text.
@@ -53,9 +55,14 @@ def shingles(codes: Column, width: int) -> Column:
     return F.when(last >= 1, run)
 
 
-def least_shared(m: Column, threshold: float) -> Column:
-    """Shared shingles that windows of m shingles need: s / (2 m - s) >= threshold."""
-    return F.greatest(F.lit(1), F.ceil(2 * threshold / (1 + threshold) * m - 1e-9)).cast("int")
+def least_shared(m: Column, k: Column, threshold: float) -> Column:
+    """Shared shingles that windows of k shingles need with items of m: s / (m + k - s) >= threshold."""
+    return F.greatest(F.lit(1), F.ceil(threshold / (1 + threshold) * (m + k) - 1e-9)).cast("int")
+
+
+def least_of_any(m: Column, threshold: float) -> Column:
+    """Shared shingles that windows of any size need: s / m >= threshold, as k >= s."""
+    return F.greatest(F.lit(1), F.ceil(threshold * m - 1e-9)).cast("int")
 
 
 def fingerprint(rows: DataFrame, keys: list[str], hashes: str) -> DataFrame:
@@ -104,17 +111,21 @@ def find(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float = 0
 
 
 def find_width(keyed: DataFrame, items: DataFrame, width: int, threshold: float, radius: int) -> DataFrame:
-    own = items.select("item", F.explode(F.array_distinct("shingles")).alias("h"), F.size("shingles").alias("m"))
+    own = items.select("item", "words", F.explode(F.array_distinct("shingles")).alias("h"), F.size("shingles").alias("m"))
     small = items.agg(F.sum(F.size("shingles")).alias("n")).first()["n"] <= BROADCAST_SHINGLES
     hint = F.broadcast if small else (lambda df: df)
     rarity = own.groupBy("h").agg(F.count(F.lit(1)).alias("items"))
-    ranked = own.join(rarity, "h").groupBy("item", "m").agg(F.sort_array(F.collect_list(F.struct("items", "h"))).alias("order"))
+    ranked = own.join(rarity, "h").groupBy("item", "words", "m").agg(F.sort_array(F.collect_list(F.struct("items", "h"))).alias("order"))
     # Distinct shingles can be fewer than m; the multiset still has to share ``need``, so the prefix is counted from the end.
-    prefix = F.slice("order", 1, F.greatest(F.lit(1), F.least(F.size("order"), F.col("m") - least_shared(F.col("m"), threshold) + 1)))
-    rare = ranked.select("item", F.explode(F.transform(prefix, lambda x: x["h"])).alias("h"))
+    m = F.col("m")
+    full, wide = m - least_shared(m, m, threshold) + 1, m - least_of_any(m, threshold) + 1
+    prefix = F.slice("order", 1, F.greatest(F.lit(1), F.least(F.size("order"), wide)))
+    rare = ranked.select("item", "words", full.alias("full"), F.posexplode(F.transform(prefix, lambda x: x["h"])).alias("place", "h"))
 
     texts = keyed.withColumn("codes", word_codes(F.col("text")))
-    met = texts.select("key", F.explode(shingles(F.col("codes"), width)).alias("h")).join(hint(rare), "h").select("key", "item").distinct()
+    met = texts.select("key", F.size("codes").alias("n"), F.explode(shingles(F.col("codes"), width)).alias("h")).join(hint(rare), "h")
+    # Places beyond the prefix of full windows only matter to texts that are shorter than the item.
+    met = met.where("place < full OR place = 0 OR n < words").select("key", "item").distinct()
     met = materialize(met)
     keys = met.select("key").distinct()
     few = keys.count() <= BROADCAST_SHINGLES
@@ -122,9 +133,9 @@ def find_width(keyed: DataFrame, items: DataFrame, width: int, threshold: float,
     chosen = materialize(chosen.select("key", F.size("codes").alias("n"), shingles(F.col("codes"), width).alias("shingles")))
 
     places = chosen.select("key", "n", F.posexplode("shingles").alias("at", "h"))
-    anchors = places.join(hint(own), "h").join(met, ["key", "item"], "left_semi")
+    anchors = places.join(hint(own.drop("words")), "h").join(met, ["key", "item"], "left_semi")
     sized = items.select("item", "words")
-    starts = anchors.groupBy("key", "item", "m", "n").agg(F.sort_array(F.collect_list("at")).alias("at")).where(F.size("at") >= least_shared(F.col("m"), threshold))
+    starts = anchors.groupBy("key", "item", "m", "n").agg(F.sort_array(F.collect_list("at")).alias("at")).where(F.size("at") >= least_shared(m, F.least(m, F.col("n") - F.lit(width - 1)), threshold))
     starts = starts.join(hint(sized), "item").withColumn("starts", F.array_distinct(F.transform("at", lambda p: F.least(p, F.greatest(F.col("n") - F.col("words"), F.lit(0))))))
     cut = starts.select("key", "item", "m", "starts").join(chosen, "key")
     windows = materialize(cut.select("key", "item", F.explode(F.transform("starts", lambda s: F.struct(s.alias("start"), F.slice("shingles", s + 1, F.col("m")).alias("window")))).alias("x")).select("key", "item", "x.start", "x.window"))

@@ -343,3 +343,20 @@ def test_decontamination_against_brute_force(spark):
     assert sorted(r.doc_id for r in clean.collect()) == sorted(d for d, _ in rows if d not in {x for x, _ in want})
     assert decontamination.contaminated(frame(spark, []), benchmark).collect() == []
     assert decontamination.contaminated(frame(spark, rows), benchmark.where("false")).collect() == []
+
+
+def test_truncated_items_are_whole_documents(spark):
+    rng = random.Random(4)
+    vocabulary = [f"v{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(n))) for i, n in enumerate([9, 10, 14, 20, 20, 24, 36, 60])]
+    rows = []
+    for i, text in items:
+        w = text.split(" ")
+        for lost in range(len(w) // 3):
+            rows += [(1000 * i + 2 * lost, " ".join(w[: len(w) - lost])), (1000 * i + 2 * lost + 1, " ".join(w[lost:]))]
+    rows.append((9000, " ".join(items[3][1].split(" ")[:18])))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontamination.contaminated(frame(spark, rows), benchmark).collect()}
+    want = brute_contamination(rows, items)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert got[(9000, 3)] == 0.875
