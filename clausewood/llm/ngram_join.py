@@ -12,11 +12,14 @@ give. Overlap counts are only accumulated where they can matter:
 3. Of a row of n shingles only the first n - ceil(t n) + 1 columns enter the
    product: two rows over the bound share one of them. A size bound and a
    positional bound discard pairs before anything is counted.
-4. Crowded columns never emit their pairs. In each column block (shingle and size
+4. ``links`` emits every pair of every column, blocked by size class; crowded columns
+   are dealt over salts by their number of rows. All pairs are verified, so links
+   inside a component are found and counted (``join_links``).
+5. ``join_components`` alone, for ``keep_one``, needs no such count. In each column block (shingle and size
    class) rows are first held against the block's least row: a linear number of
    pairs. Those that link form components; in later rounds the columns whose rows
    are still in more than one component get leaders of another draw.
-5. Columns that then still span components emit the pairs across components
+   Columns that then still span components emit the pairs across components
    only, so that every pair that could join two components is counted. Links
    inside a component can't change it.
 6. A pair's rows are first held against each other by parity bitmaps, one bit per
@@ -53,6 +56,8 @@ from clausewood.runtime import ship
 COUNTERS = 1 << 15
 #: Ids up to which a filter on ids is broadcast (16 bytes each); beyond, it is a shuffled join.
 BROADCAST_IDS = 1_000_000
+#: Rows of a column that stand under one salt.
+SALT_ROWS = 512
 
 
 class FrequentItems:
@@ -189,11 +194,11 @@ def whole_sets(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_co
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the pairs whose accumulated overlap reaches the bound."""
+    """(a, b, overlap) of the pairs whose accumulated overlap reaches the bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
+            keep, overlap = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows, np.int64)
             left, right = batch.column(2), batch.column(3)
             for i in range(batch.num_rows):
                 x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (left, right))
@@ -201,13 +206,13 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 at = np.searchsorted(large, small)
                 at[at == len(large)] = 0
                 shared = int(np.count_nonzero(large[at] == small))
-                keep[i] = 100 * shared >= percent * (len(x) + len(y) - shared)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+                keep[i], overlap[i] = 100 * shared >= percent * (len(x) + len(y) - shared), shared
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(overlap)], ["a", "b", "overlap"]).filter(pa.array(keep))
 
     kind = sets.schema["id"].dataType.simpleString()
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
+    return both.select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}, overlap long")
 
 
 def possible(n1: str, at1: str, n2: str, at2: str, percent: int) -> str:
@@ -216,8 +221,8 @@ def possible(n1: str, at1: str, n2: str, at2: str, percent: int) -> str:
     return f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2}) AND {100 + percent} * {most} >= {percent} * ({n1} + {n2})"
 
 
-def join_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row; sets link at a Jaccard similarity of percent / 100 or more."""
+def prepared(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their sets' digests; a class per distinct set; the classes' prefix columns that more than one has."""
     ship(docs.sparkSession)
     rows = materialize(incidence(docs, width, percent, id_col, text_col))
     known = rows.where(F.col("id").isNotNull() & (F.col("n") > 0))
@@ -225,9 +230,61 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     classes = materialize(classes.select("n", "sig_a", "sig_b", "least.id", "least.prefix", "least.bits"))
     entries = classes.select("id", "n", "sig_a", F.posexplode("prefix").alias("at", "shingle"))
     crowded = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("shingle")
-    size_class = F.floor(F.log("n") / math.log(100 / percent)).cast("int")
-    shared = materialize(entries.join(crowded, "shingle").withColumn("class", size_class))
+    size_class = F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int")
+    return rows, classes, materialize(entries.join(crowded, "shingle").withColumn("class", size_class))
+
+
+def candidates(shared: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b, of every pair of classes that a column and the bounds leave, once."""
+    parts = shared.groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("parts"))
+    each = shared.join(parts, "shingle")
+    x = each.select("shingle", F.col("class").alias("block"), F.pmod(F.xxhash64("id"), "parts").cast("int").alias("salt"), F.col("id").alias("id1"), F.col("n").alias("n1"), F.col("at").alias("at1"))
+    # Sizes within the bound differ by one class at most, so the larger row comes to its own block and the one below.
+    y = each.select("shingle", "class", F.explode(F.array(F.col("class"), F.col("class") - 1)).alias("block"), "parts", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("at").alias("at2"))
+    y = y.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    met = x.join(y, ["shingle", "block", "salt"]).where("class > block AND id1 != id2 OR id1 < id2").where(possible("n1", "at1", "n2", "at2", percent))
+    return met.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
+
+
+def all_links(docs: DataFrame, classes: DataFrame, shared: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    close = materialize(not_too_different(candidates(shared, percent), classes, percent))
+    ends = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
+    sets = materialize(whole_sets(docs, ends.join(classes.select("id", "sig_a"), "id"), width, id_col, text_col))
+    return materialize(linked(close, sets, percent))
+
+
+def links(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(a, b, overlap), a < b, of every linked pair of different sets; a set stands under the least id that has it."""
+    _, classes, shared = prepared(docs, width, percent, id_col, text_col)
+    return all_links(docs, classes, shared, width, percent, id_col, text_col)
 
+
+def join_links(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, n_links, component_id of every row.
+
+    ``n_links`` counts the other identified documents that the row's set links with,
+    those with the same set included; it is null where the component is.
+    """
+    rows, classes, shared = prepared(docs, width, percent, id_col, text_col)
+    found = all_links(docs, classes, shared, width, percent, id_col, text_col)
+    roots = materialize(components(found.select("a", "b")))
+    key = ["n", "sig_a", "sig_b"]
+    sizes = rows.where(F.col("id").isNotNull()).select(*key, "id").distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("members"))
+    of_class = classes.select(*key, "id").join(sizes, key)
+    both = found.select("a", "b").union(found.select("b", "a"))
+    linked_to = both.join(of_class.select(F.col("id").alias("b"), "members"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("members").alias("others"))
+    of_class = of_class.join(linked_to, "id", "left").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
+    of_class = of_class.select(*key, (F.col("members") + F.coalesce("others", F.lit(0))).alias("near"), F.coalesce("root", "id").alias("component_id"))
+    out = rows.select("id", *key).join(of_class, key, "left")
+    empty = F.col("n") == 0
+    n_links = F.when(empty, F.lit(0)).otherwise(F.col("near") - F.col("id").isNotNull().cast("int")).cast("long")
+    own = F.when(empty, F.col("id")).otherwise(F.col("component_id"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), n_links.alias("n_links"), own.alias("component_id"))
+
+
+def join_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row; sets link at a Jaccard similarity of percent / 100 or more."""
+    rows, classes, shared = prepared(docs, width, percent, id_col, text_col)
     spark = docs.sparkSession
     kind = rows.schema["id"].dataType.simpleString()
     tested = spark.createDataFrame([], f"a {kind}, b {kind}")
@@ -251,7 +308,7 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         close = materialize(not_too_different(pairs, classes, percent))
         ends = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
         sets = materialize(whole_sets(docs, ends.join(classes.select("id", "sig_a"), "id"), width, id_col, text_col))
-        new = materialize(linked(close, sets, percent))
+        new = materialize(linked(close, sets, percent).select("a", "b"))
         tested = tested.union(pairs)
         roots = materialize(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new)))
         if number < rounds:

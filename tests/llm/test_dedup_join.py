@@ -140,3 +140,22 @@ def test_frequent_items_keep_every_frequent_one():
     for part in np.array_split(stream, 50):
         summary.add(part)
     assert len(summary.items) <= 64 and set(range(20_000, 20_005)) <= set(summary.items.tolist())
+
+
+def test_every_link_is_found_and_counted(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SALT_ROWS", 8)
+    base = [f"b{i}" for i in range(80)]
+    near = [(2000 + i, " ".join([*base[:i], f"z{i}", *base[i + 1 :]])) for i in range(0, 80, 4)]
+    rows = [*corpus(6, 100), *near, (3000, near[3][1]), (3001, None)]
+    sets = {}
+    for i, t in rows:
+        w = re.findall("[^\x20\x09-\x0d]+", lower(t))
+        sets[i] = set() if not w else {tuple(w)} if len(w) < 4 else {tuple(w[j : j + 4]) for j in range(len(w) - 3)}
+    pairs = {(a, b): len(sets[a] & sets[b]) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    least = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+    want = {(a, b): n for (a, b), n in pairs.items() if least[a] == a and least[b] == b and sets[a] != sets[b]}
+    assert {(r.a, r.b): r.overlap for r in ngram_join.links(frame(spark, rows), 4, 85).collect()} == want
+    truth = brute_components(rows, 4, 85)
+    got = {r.doc_id: (r.n_shingles, r.n_links, r.component_id) for r in ngram_join.join_links(frame(spark, rows), 4, 85).collect()}
+    assert got == {i: (truth[i][0], sum(i in p for p in pairs), truth[i][1]) for i in sets}
+    assert got[2000][1] >= 19
