@@ -8,9 +8,9 @@ the batch that Spark hands over.
 from __future__ import annotations
 
 import ctypes
-import tempfile
+import functools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,18 +29,32 @@ def lower_ascii(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder, or a new one where none is set."""
+    """The folder that driver and executors share: the session's checkpoint folder, or one on the default file system.
+
+    A cluster whose default file system is each machine's own disk must set ``spark.checkpoint.dir``.
+    """
+    context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jvm_dir.isDefined():
-            found = jvm_dir.get()
-        else:
-            found = tempfile.mkdtemp(prefix="clausewood-")
-            spark.sparkContext.setCheckpointDir(found)
+        known = context._jsc.sc().getCheckpointDir()
+        if known.isDefined():
+            return known.get()
+        home = context._jvm.org.apache.hadoop.fs.FileSystem.get(context._jsc.hadoopConfiguration()).getUri().toString()
+        if home.startswith("file:") and not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = f"{home.rstrip('/')}/tmp/clausewood-{context.applicationId}"
+        context.setCheckpointDir(found)
     return found
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores behind it until no column of the frames is called so."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: a lineage cut that outlives executors."""
     spark = df.sparkSession
@@ -58,7 +72,9 @@ M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.ui
 #: Base of the word hash (odd, so it has an inverse modulo 2**64) and that inverse.
 BASE = 0x5851F42D4C957F2D
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+#: Bytes of text after which a worker gives freed memory back.
+TRIM_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -127,12 +143,30 @@ def give_back() -> None:
         return
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """The same function over batches; at a task's end its worker gives freed memory back, as it may stay idle for long."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of a batch with about ``limit`` bytes of text (one row at least), with their bytes and offsets."""
     data, offsets = text_buffers(batch.column(batch.schema.get_field_index(text)))
-    row = 0
+    row = done = 0
     while row < batch.num_rows:
-        give_back()
+        if offsets[row] - done >= TRIM_BYTES:
+            done = offsets[row]
+            give_back()
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, side="right")) - 1)
         yield batch.slice(row, end - row), data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewood.llm.common import M1, mix, runs, slices, span_hashes
+from clausewood.llm.common import M1, mix, runs, slices, span_hashes, tidy
 from clausewood.llm.quality import fold
 from clausewood.runtime import ship
 
@@ -259,6 +259,7 @@ def train(docs: DataFrame, folds: int, held: int, max_rows: int, id_col: str, te
     total = known.select("lang").groupBy().count().first()["count"]
     sample = known.where(F.col("place") < int((1 << 40) * min(1.0, max_rows / max(1, total))))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if got:
@@ -284,6 +285,7 @@ def identify(docs: DataFrame, folds: int = 4, held: int = 2, max_rows: int = 4_0
     narrow = docs.select(docs[id_col].alias("doc_id"), F.when(lettered, docs[text_col]).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # tables of fixed size
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in slices(batch, "text"):

@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewood.llm.common import materialize, mix, salt, shingle_sets, slices, word_hashes
+from clausewood.llm.common import materialize, mix, salt, shingle_sets, slices, word_hashes, tidy
 from clausewood.llm.components import components
 from clausewood.runtime import ship
 
@@ -81,6 +81,7 @@ class FrequentItems:
 def frequent_shingles(docs: DataFrame, width: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """(shingle, rank): frequent shingles, sorted by hash, with their places 1.. by rising count; at most COUNTERS."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         summary = FrequentItems()
         for batch in batches:
@@ -107,6 +108,7 @@ def incidence(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
     """(id, n, sig_a, sig_b, prefix, bits) of every row: the set's size and digest, its first columns in order and its parity bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, width, text_col))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, ranks = shared.value
         for batch in batches:
@@ -152,6 +154,7 @@ def differing_bits(x: np.ndarray, y: np.ndarray) -> int:
 def not_too_different(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(a, b) of the pairs whose bitmaps don't rule them out."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total = batch.column(4).to_numpy() + batch.column(5).to_numpy()
@@ -181,6 +184,7 @@ def whole_sets(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_co
     narrow = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     chosen = narrow.join(F.broadcast(named) if ids.count() <= BROADCAST_IDS else named, "id")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in slices(batch, "text"):
@@ -196,6 +200,7 @@ def whole_sets(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_co
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, overlap) of the pairs whose accumulated overlap reaches the bound."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, overlap = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows, np.int64)

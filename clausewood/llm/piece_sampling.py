@@ -18,7 +18,8 @@ and the place, so a row gives the same samples wherever it is run.
 
 No piece has a blank behind another character or a newline, so lattices are parted
 there and equal parts share one lattice; the whole text is always covered. All
-lattices of a slice of rows are built and walked at once as arrays.
+lattices of a slice of rows are built and walked at once as arrays; a worker keeps
+those of the first parts it meets, up to a bound.
 
 Decoding joins the pieces' bytes and drops the blank that encoding puts in front.
 
@@ -32,6 +33,7 @@ columns play no part.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,14 +41,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewood.llm.common import M1, M2, M3, hash_sums, hashes_between, mix, slices, span_hashes
+from clausewood.llm.common import M1, M2, M3, hash_sums, mix, slices, span_hashes, tidy
 from clausewood.runtime import ship
 
 BLANK = "▁"
 #: Groups this far below the best can't win: a draw's spread is under 42.
 SPREAD = 90.0
 #: Bytes of text whose lattices are held at once; a lattice takes about a hundred times its text.
-LATTICE_BYTES = 1 << 19
+LATTICE_BYTES = 1 << 18
+#: Edges of lattices that a worker keeps for the slices to come: those of the parts it met first.
+KEPT_EDGES = 700_000
+#: Steps of a path that are looked at before the whole path is.
+HEAD = 256
+SLOT_BITS = 21
 
 
 class Pieces:
@@ -73,30 +80,31 @@ class Pieces:
         lengths = np.array([len(self.raw[i]) for i in ids])
         ends = np.cumsum(lengths)
         data = np.frombuffer(b"".join(self.raw[i] for i in ids), np.uint8)
-        hashes = span_hashes(data, ends - lengths, ends)
-        order = np.argsort(hashes)
-        self.hashes, self.ids = hashes[order], np.array(ids, np.int32)[order]
+        keys = span_keys(*hash_sums(data), ends - lengths, ends)
+        order = np.argsort(keys)
+        self.keys, self.ids = keys[order], np.array(ids, np.int32)[order]
         self.weights = np.array(weights)[order]
         self.lengths = sorted(set(lengths.tolist()))
         self.byte_weight = -np.log(float(size))
-        # Slots by the low bits of a hash hold the place in ``hashes``; the few that clash are searched for.
-        self.bits = np.uint64((1 << 21) - 1)
-        self.slots = np.full(1 << 21, -1, np.int32)
-        self.slots[(self.hashes & self.bits).astype(np.int64)] = np.arange(len(ids), dtype=np.int32)
-        lost = self.slots[(self.hashes & self.bits).astype(np.int64)] != np.arange(len(ids))
-        self.crowded = np.zeros(1 << 21, bool)
-        self.crowded[(self.hashes[lost] & self.bits).astype(np.int64)] = True
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Place of each hash in ``hashes``, or -1."""
-        slot = (hashes & self.bits).astype(np.int64)
+        # Slots by the high bits of a key hold the place in ``keys``; the few that clash are searched for.
+        self.shift = np.uint64(64 - SLOT_BITS)
+        slot = (self.keys >> self.shift).astype(np.int64)
+        self.slots = np.full(1 << SLOT_BITS, -1, np.int32)
+        self.slots[slot] = np.arange(len(ids), dtype=np.int32)
+        self.crowded = np.zeros(1 << SLOT_BITS, bool)
+        self.crowded[slot[self.slots[slot] != np.arange(len(ids))]] = True
+        self.kept = Lattices(self.byte_id)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key in ``keys``, or -1."""
+        slot = (keys >> self.shift).astype(np.int64)
         place = self.slots[slot]
-        hit = (place >= 0) & (self.hashes[place] == hashes)
+        hit = (place >= 0) & (self.keys[place] == keys)
         out = np.where(hit, place, -1)
         again = np.flatnonzero(~hit & self.crowded[slot])
         if len(again):
-            at = np.minimum(np.searchsorted(self.hashes, hashes[again]), len(self.hashes) - 1)
-            out[again] = np.where(self.hashes[at] == hashes[again], at, -1)
+            at = np.minimum(np.searchsorted(self.keys, keys[again]), len(self.keys) - 1)
+            out[again] = np.where(self.keys[at] == keys[again], at, -1)
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -105,87 +113,136 @@ class Pieces:
         return b"".join([raw[i] for i in ids])[1:].decode("utf-8", "surrogatepass") if ids else ""
 
 
-class Lattices:
-    """The lattices of the distinct parts of a slice, as arrays; nodes are numbered by rising distance from their part's end."""
+def span_keys(total: np.ndarray, down: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each span's bytes; its high bits are well spread."""
+    return (total[ends] - total[starts]) * down[starts]
+
 
-    def __init__(self, pieces: Pieces, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        hashes = span_hashes(data, starts, ends)
-        _, first, self.kind = np.unique(hashes, return_index=True, return_inverse=True)
-        sizes = (ends - starts)[first]
+class Lattices:
+    """Lattices of distinct parts as arrays: the edges of each node in a row, nodes numbered from 1; node 0 is every part's end.
+
+    A worker keeps the lattices of the first parts it meets, up to ``KEPT_EDGES``; those of a
+    slice's other parts stand behind them and give way to the next slice's.
+    """
+
+    FIELDS = {"src": np.int32, "dst": np.int32, "ids": np.int32, "p": np.float32, "log_p": np.float64, "log_rest": np.float32}
+
+    def __init__(self, byte_id: np.ndarray) -> None:
+        self.byte_id = byte_id
+        for name, kind in self.FIELDS.items():
+            setattr(self, name, np.zeros(0, kind))
+        self.edge = np.zeros(2, np.int32)
+        self.nodes, self.edges = 1, 0  # kept
+        self.known, self.known_first = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+
+    def put(self, name: str, at: int, values: np.ndarray) -> None:
+        """Write values behind the kept ones, in a new array if there is no room or far too much."""
+        held = getattr(self, name)
+        need = at + len(values)
+        if len(held) < need or len(held) > 4 * need + (1 << 20):
+            held = np.concatenate([held[:at], np.zeros(need - at + (need >> 3), held.dtype)])
+            setattr(self, name, held)
+        held[at:need] = values
+
+    def firsts(self, pieces: Pieces, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The first node of each part; parts that aren't kept get their lattices."""
+        hashes, first, kind = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        node = np.zeros(len(hashes), np.int32)
+        old = np.zeros(len(hashes), bool)
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+            old = self.known[at] == hashes
+            node[old] = self.known_first[at[old]]
+        new = np.flatnonzero(~old)
+        if len(new):
+            node[new], nodes, edges = self.build(pieces, data, starts[first[new]], ends[first[new]])
+            if edges <= KEPT_EDGES:
+                self.nodes, self.edges = nodes, edges
+                known = np.concatenate([self.known, hashes[new]])
+                order = np.argsort(known)
+                self.known, self.known_first = known[order], np.concatenate([self.known_first, node[new]])[order]
+        return node[kind]
+
+    def build(self, pieces: Pieces, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, int, int]:
+        """(first node of each part, nodes, edges): write the lattices of distinct parts behind the kept ones."""
+        sizes = ends - starts
         base = np.cumsum(sizes + 1) - sizes - 1
-        source = np.repeat(starts[first] - base, sizes + 1) + np.arange(int((sizes + 1).sum()))
-        text = data[np.minimum(source, len(data) - 1)]
+        text = data[np.minimum(np.repeat(starts - base, sizes + 1) + np.arange(int((sizes + 1).sum())), len(data) - 1)]
         total = len(text)
-        stop = np.repeat(base + sizes, sizes + 1)
-        place = np.arange(total)
-        is_node = ((text & 0xC0) != 0x80) | (place == stop)
-        nodes = np.flatnonzero(is_node)
-        count = np.cumsum(is_node)
-        level = count[stop[nodes]] - count[nodes]
+        stop = np.repeat((base + sizes).astype(np.int32), sizes + 1)
+        is_node = ((text & 0xC0) != 0x80) | (np.arange(total) == stop)
+        by_place = np.flatnonzero(is_node).astype(np.int32)
+        count = np.cumsum(is_node, dtype=np.int32)
+        level = count[stop[by_place]] - count[by_place]
         order = np.argsort(level.astype(np.uint16) if level.max(initial=0) < 65536 else level, kind="stable")
-        nodes, level = nodes[order], level[order]
-        number = np.full(total, -1, np.int64)
-        number[nodes] = np.arange(len(nodes))
-        self.first_node = number[base]
-        inner = int(np.searchsorted(level, 1))
-        src, dst, ids, weight, found_one = [], [], [], [], np.zeros(len(nodes), bool)
-        next_char = np.empty(len(nodes), np.int64)
-        at, room = nodes[inner:], (stop[nodes] - nodes)[inner:]
-        after = np.cumsum(is_node) - 1
-        by_place = np.flatnonzero(is_node)
-        next_char[inner:] = by_place[after[at] + 1]
+        inner = int(np.count_nonzero(level == 0))
+        # Nodes in the order of their distance from the part's end; the ends themselves are node 0.
+        order = order[inner:]
+        at, level = by_place[order], level[order]
+        after = by_place[order + 1]
+        number = np.zeros(total, np.int32)
+        number[at] = np.arange(self.nodes, self.nodes + len(at), dtype=np.int32)
+        room = stop[at] - at
         sums = hash_sums(text)
+        src, dst, ids, weight, found_one = [], [], [], [], np.zeros(len(at), bool)
+        some = np.arange(len(at), dtype=np.int32)
         for size in pieces.lengths:
-            some = np.flatnonzero(room >= size)
+            some = some[room[some] >= size]
             if not len(some):
                 break
             begin = at[some]
             end = begin + size
-            place_of = pieces.find(hashes_between(*sums, begin, end))
-            hit = (place_of >= 0) & is_node[end]
-            some, place_of, end = some[hit], place_of[hit], end[hit]
-            src.append((some + inner).astype(np.int32))
-            dst.append(number[end].astype(np.int32))
-            ids.append(pieces.ids[place_of])
-            weight.append(pieces.weights[place_of])
-            found_one[some[end == next_char[some + inner]] + inner] = True
-        bare = np.flatnonzero(~found_one[inner:]) + inner
-        width = next_char[bare] - nodes[bare]
-        src.append(bare.astype(np.int32))
-        dst.append(number[next_char[bare]].astype(np.int32))
-        ids.append(np.where(width == 1, pieces.byte_id[text[nodes[bare]]], -1 - nodes[bare]).astype(np.int32))
+            place = pieces.find(span_keys(*sums, begin, end))
+            hit = np.flatnonzero((place >= 0) & is_node[end])
+            own, place, end = some[hit], place[hit], end[hit]
+            src.append(own)
+            dst.append(number[end])
+            ids.append(pieces.ids[place])
+            weight.append(pieces.weights[place])
+            found_one[own[end == after[own]]] = True
+        bare = np.flatnonzero(~found_one).astype(np.int32)
+        width = after[bare] - at[bare]
+        src.append(bare)
+        dst.append(number[after[bare]])
+        ids.append(np.where(width == 1, self.byte_id[text[at[bare]]], -1 - code_points(text, at[bare], width)).astype(np.int32))
         weight.append(pieces.byte_weight * width)
-        self.text, self.byte_id = text, pieces.byte_id
-        all_src = np.concatenate(src)
-        by_src = np.argsort(all_src, kind="stable")
-        self.src, self.dst, self.ids, w = all_src[by_src], np.concatenate(dst)[by_src], np.concatenate(ids)[by_src], np.concatenate(weight)[by_src]
-        self.edge = np.searchsorted(self.src, np.arange(len(nodes) + 1))
-        del src, dst, ids, weight, all_src, by_src, sums, source, stop, place, order, number, by_place, count
+        own_src = np.concatenate(src)
+        by_src = np.argsort(own_src, kind="stable")
+        own_src = own_src[by_src]
+        w, own_dst = np.concatenate(weight)[by_src], np.concatenate(dst)[by_src]
+        edge = np.searchsorted(own_src, np.arange(len(at) + 1)).astype(np.int32)
+        self.put("src", self.edges, own_src + np.int32(self.nodes))
+        self.put("dst", self.edges, own_dst)
+        self.put("ids", self.edges, np.concatenate(ids)[by_src])
+        del src, dst, ids, weight, by_src, sums, stop, order, by_place, count, after, room
         # Backward sums, level by level.
-        beta = np.zeros(len(nodes))
-        self.p = np.empty(len(w))
+        beta = np.zeros(len(at) + 1)
+        target = np.where(own_dst == 0, len(at), own_dst - self.nodes)
+        p = np.empty(len(w))
         bounds = np.searchsorted(level, np.arange(1, int(level.max(initial=0)) + 2))
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            a, b = self.edge[lo], self.edge[hi]
-            value = w[a:b] + beta[self.dst[a:b]]
-            cuts = self.edge[lo:hi] - a
-            own = self.src[a:b] - lo
+            a, b = edge[lo], edge[hi]
+            value = w[a:b] + beta[target[a:b]]
+            cuts = edge[lo:hi] - a
+            own = own_src[a:b] - lo
             most = np.maximum.reduceat(value, cuts)
             e = np.exp(value - most[own])
             s = np.add.reduceat(e, cuts)
             beta[lo:hi] = most + np.log(s)
-            self.p[a:b] = e / s[own]
-        self.inner = inner
+            p[a:b] = e / s[own]
+        alone = (edge[1:] - edge[:-1])[own_src] == 1
         with np.errstate(divide="ignore"):
-            self.log_p = np.log(self.p)
-            self.log_rest = np.log1p(-np.minimum(self.p, 1.0))
-        alone = (self.edge[1:] - self.edge[:-1])[self.src] == 1
-        self.log_rest[alone] = -np.inf
-        self.raw_edges = bool((self.ids < 0).any())
+            rest = np.log1p(-np.minimum(p, 1.0))
+            rest[alone] = -np.inf
+            self.put("p", self.edges, p)
+            self.put("log_p", self.edges, np.log(p))
+            self.put("log_rest", self.edges, rest)
+        self.put("edge", self.nodes, edge + np.int32(self.edges))
+        return number[base], self.nodes + len(at), self.edges + len(w)
 
     def walk(self, nodes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(edges of all paths in order, edges of each path): a random path from each node to its part's end."""
-        live = np.flatnonzero(nodes >= self.inner)
+        live = np.flatnonzero(nodes > 0).astype(np.int32)
         at, seed = nodes[live], seeds[live]
         owners, edges = [], []
         step = 0
@@ -203,13 +260,11 @@ class Lattices:
             owners.append(live)
             edges.append(edge)
             at = self.dst[edge]
-            on = at >= self.inner
+            on = at > 0
             live, at, seed = live[on], at[on], seed[on]
-        counts = np.zeros(len(nodes), np.int64)
-        for o in owners:
-            counts[o] += 1
+        counts = np.bincount(np.concatenate(owners), minlength=len(nodes)) if owners else np.zeros(len(nodes), np.int64)
         begin = np.cumsum(counts) - counts
-        out = np.empty(int(counts.sum()), np.int64)
+        out = np.empty(int(counts.sum()), np.int32)
         for number, (o, e) in enumerate(zip(owners, edges, strict=True)):
             out[begin[o] + number] = e
         return out, counts
@@ -217,20 +272,27 @@ class Lattices:
     def piece_ids(self, edges: np.ndarray) -> np.ndarray:
         """Piece ids of a path; an edge of byte pieces gives several."""
         ids = self.ids[edges]
-        if not self.raw_edges or not (ids < 0).any():
-            return ids.astype(np.int32)
+        if not len(ids) or ids.min() >= 0:
+            return ids
         out: list[int] = []
         for i in ids.tolist():
             if i >= 0:
                 out.append(i)
             else:
-                place = -1 - i
-                lead = int(self.text[place])
-                width = 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-                out += self.byte_id[self.text[place : place + width]].tolist()
+                out += self.byte_id[list(chr(-1 - i).encode())].tolist()
         return np.array(out, np.int32)
 
 
+def code_points(text: np.ndarray, at: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The code point of the UTF-8 character of ``width`` bytes at each place."""
+    lead = text[at].astype(np.int32)
+    point = np.where(width == 1, lead, lead & (0x7F >> np.minimum(width, 4)))
+    for k in range(1, 4):
+        more = width > k
+        point[more] = point[more] << 6 | (text[at[more] + k] & 0x3F)
+    return point
+
+
 def uniform(x: np.ndarray) -> np.ndarray:
     """Draws in (0, 1) from hashes."""
     return ((mix(x) >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
@@ -240,6 +302,15 @@ def gumbel(x: np.ndarray) -> np.ndarray:
     return -np.log(-np.log(uniform(x)))
 
 
+def one_uniform(x: int) -> float:
+    """``uniform`` of a single number."""
+    mask = (1 << 64) - 1
+    x &= mask
+    x = (x ^ x >> 30) * int(M2) & mask
+    x = (x ^ x >> 27) * int(M3) & mask
+    return (((x ^ x >> 31) >> 11) + 0.5) / float(1 << 53)
+
+
 def part_bounds(data: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Where the parts of texts begin: at a text, at a blank behind another character, and before and behind a newline."""
     blank, newline = data == 32, data == 10
@@ -261,8 +332,8 @@ class Sampler:
         first = offsets[self.full] + np.arange(len(self.full))
         starts = part_bounds(text, first)
         ends = np.append(starts[1:], len(text))
-        self.lattices = Lattices(pieces, text, starts, ends)
-        self.starts = self.lattices.first_node[self.lattices.kind]
+        self.lattices = pieces.kept
+        self.starts = self.lattices.firsts(pieces, text, starts, ends)
         self.part_cuts = np.append(np.searchsorted(starts, first), len(starts))
 
     def draw(self) -> Iterator[tuple[int, list[tuple[np.ndarray, float, float]], float]]:
@@ -273,75 +344,77 @@ class Sampler:
         paths: list[list[tuple[np.ndarray, np.ndarray, float, float]]] = [[] for _ in range(n)]
         queues: list[list[tuple[float, int, int, tuple[int, ...]]]] = [[] for _ in range(n)]
         peaks = gumbel(seeds + M2)
-        prefix: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * n
+        prefix: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         active = np.arange(n)
         begin = cuts[:-1].copy()
-        entry = np.full(n, -1, np.int64)  # a node inside a part from which the first walk goes on
+        entry = np.zeros(n, np.int32)  # a node inside a part from which the first walk goes on
         for sample in range(self.k):
-            nodes_list, seed_list, sizes = [], [], []
-            for d in active:
-                own = self.starts[begin[d] : cuts[d + 1]]
-                if entry[d] >= 0:
-                    own = np.concatenate([[entry[d]], own])
-                nodes_list.append(own)
-                sizes.append(len(own))
-            sizes_at = np.array(sizes, np.int64)
-            nodes = np.concatenate(nodes_list) if nodes_list else np.zeros(0, np.int64)
-            number = np.arange(len(nodes)) - np.repeat(np.cumsum(sizes_at) - sizes_at, sizes_at)
-            seed_at = np.repeat(seeds[active] + np.uint64((sample + 1) * int(M1) % (1 << 64)), sizes_at) + number.astype(np.uint64) * M2
+            inside = entry[active] > 0
+            sizes = cuts[active + 1] - begin[active] + inside
+            node_ends = np.concatenate([[0], np.cumsum(sizes)])
+            number = np.arange(node_ends[-1]) - np.repeat(node_ends[:-1], sizes)
+            part_of = number + np.repeat(begin[active] - inside, sizes)
+            nodes = self.starts[part_of]
+            nodes[node_ends[:-1][inside]] = entry[active][inside]
+            seed_at = np.repeat(seeds[active] + np.uint64((sample + 1) * int(M1) % (1 << 64)), sizes) + number.astype(np.uint64) * M2
             edges, counts = lat.walk(nodes, mix(seed_at))
-            node_ends = np.concatenate([[0], np.cumsum(sizes_at)])
-            edge_ends = np.concatenate([[0], np.cumsum(counts)])
-            for place, d in enumerate(active):
-                lo, hi = node_ends[place], node_ends[place + 1]
-                walked = edges[edge_ends[lo] : edge_ends[hi]]
-                parts = np.repeat(np.arange(lo, hi) - lo + begin[d] - (entry[d] >= 0), counts[lo:hi])
-                before, before_parts = prefix[d]
-                path = np.concatenate([before, walked]) if len(before) else walked
-                path_parts = np.concatenate([before_parts, parts]) if len(before) else parts
-                total = lat.log_p[path]
-                paths[d].append((path, path_parts, float(total.sum()), float(peaks[d])))
-                self.push(queues[d], path, total, len(before), float(peaks[d]), sample, seeds[d])
+            edge_ends = np.concatenate([[0], np.cumsum(counts)])[node_ends]
+            parts, logs = np.repeat(part_of.astype(np.int32), counts), lat.log_p[edges]
+            for place, d in enumerate(active.tolist()):
+                lo, hi = edge_ends[place], edge_ends[place + 1]
+                path, path_parts, log_p = edges[lo:hi], parts[lo:hi], logs[lo:hi]
+                kept = 0
+                if d in prefix:
+                    before, before_parts = prefix[d]
+                    kept = len(before)
+                    path, path_parts, log_p = np.concatenate([before, path]), np.concatenate([before_parts, path_parts]), np.concatenate([lat.log_p[before], log_p])
+                peak = float(peaks[d])
+                paths[d].append((path, path_parts, float(log_p.sum()), peak))
+                self.push(queues[d], path, log_p, kept, peak, sample, int(seeds[d]))
             if sample + 1 == self.k:
                 break
-            active = np.array([d for d in active if queues[d]], np.int64)
-            for d in active:
+            active = np.array([d for d in active.tolist() if queues[d]], np.int64)
+            for d in active.tolist():
                 value, source, step, used = heapq.heappop(queues[d])
+                seed = int(seeds[d])
                 peaks[d] = -value
                 path, path_parts, _, _ = paths[d][source]
                 node = lat.src[path[step]]
-                others = np.array([e for e in range(lat.edge[node], lat.edge[node + 1]) if e not in used])
-                p = lat.p[others]
-                u = float(uniform(np.array([seeds[d] ^ np.uint64((sample * 7919 + step) * int(M3) % (1 << 64))]))[0])
-                chosen = int(others[min(int(np.searchsorted(np.cumsum(p) / p.sum(), u, side="right")), len(others) - 1)])
+                others = [e for e in range(lat.edge[node], lat.edge[node + 1]) if e not in used]
+                shares = lat.p[others].astype(np.float64)
+                u = one_uniform(seed ^ (sample * 7919 + step) * int(M3) % (1 << 64))
+                chosen = others[min(int(np.searchsorted(np.cumsum(shares) / shares.sum(), u, side="right")), len(others) - 1)]
                 excluded = (*used, chosen)
-                left = float(1.0 - lat.p[list(excluded)].sum())
+                left = float(1.0 - np.exp(lat.log_p[list(excluded)]).sum())
                 if len(others) > 1 and left > 0:
-                    loc = float(lat.log_p[path[:step]].sum()) + np.log(left)
-                    g = float(gumbel(np.array([seeds[d] ^ np.uint64((sample * 104729 + step + 1) * int(M2) % (1 << 64))]))[0]) + loc
-                    heapq.heappush(queues[d], (float(np.logaddexp(-peaks[d], -g)), source, step, excluded))
-                prefix[d] = (np.append(path[:step], chosen), np.append(path_parts[:step], path_parts[step]))
-                target = lat.dst[chosen]
-                entry[d] = target if target >= lat.inner else -1
+                    loc = float(lat.log_p[path[:step]].sum()) + math.log(left)
+                    g = -math.log(-math.log(one_uniform(seed ^ (sample * 104729 + step + 1) * int(M2) % (1 << 64)))) + loc
+                    heapq.heappush(queues[d], (float(np.logaddexp(value, -g)), source, step, excluded))
+                prefix[d] = (np.append(path[:step], np.int32(chosen)), path_parts[: step + 1])
+                entry[d] = lat.dst[chosen]
                 begin[d] = path_parts[step] + 1
         for d in range(n):
             kappa = -queues[d][0][0] if queues[d] else -np.inf
             yield int(self.full[d]), [(path, log_prob, peak) for path, _, log_prob, peak in paths[d]], kappa
 
-    def push(self, queue: list[tuple[float, int, int, tuple[int, ...]]], path: np.ndarray, log_p: np.ndarray, kept: int, peak: float, sample: int, seed: np.uint64) -> None:
+    def push(self, queue: list[tuple[float, int, int, tuple[int, ...]]], path: np.ndarray, log_p: np.ndarray, kept: int, peak: float, sample: int, seed: int) -> None:
         """Queue the groups beside a path's steps from ``kept`` on; only those that can be among the next k."""
         lat = self.lattices
-        before = np.cumsum(log_p) - log_p
-        loc = before[kept:] + lat.log_rest[path[kept:]]
-        if not len(loc):
-            return
-        best = loc.max()
+        for size in (kept + HEAD, len(path)):
+            head = log_p[:size]
+            before = np.cumsum(head) - head
+            loc = before[kept:] + lat.log_rest[path[kept:size]]
+            best = loc.max(initial=-np.inf)
+            at = np.flatnonzero(loc > best - SPREAD) if best > -np.inf else np.zeros(0, np.int64)
+            # Probabilities only fall along a path: what follows the head can't come near the best any more.
+            if size >= len(path) or (len(at) > self.k and before[-1] < best - SPREAD):
+                break
         if best == -np.inf:
             return
-        at = np.flatnonzero(loc > best - SPREAD)
         if len(at) <= self.k:
             at = np.flatnonzero(loc > -np.inf)
-        g = gumbel((at + kept).astype(np.uint64) * M3 + mix(np.array([seed]) + np.uint64((sample + 31) * int(M1) % (1 << 64)))) + loc[at]
+        own = np.uint64(mix(np.array([seed + (sample + 31) * int(M1) & (1 << 64) - 1], np.uint64))[0])
+        g = gumbel((at + kept).astype(np.uint64) * M3 + own) + loc[at]
         value = np.logaddexp(-peak, -g)
         if len(at) > self.k:
             top = np.argpartition(value, self.k)[: self.k + 1]
@@ -367,37 +440,43 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 2, id_col: str =
     narrow = docs.select(docs[id_col].alias("doc_id"), key.alias("key"), docs[text_col].alias("text"))
     schema = f"doc_id {kind}, sample int, pieces array<int>, n_pieces int, log_prob double, perturbed double, inclusion double, round_trip boolean"
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = vocabulary(model)
-        for batch in batches:
-            for part, data, offsets in slices(batch, "text", LATTICE_BYTES):
-                seeds = mix(part.column(1).to_numpy().view(np.uint64))
-                rows, number, lists, scores, peaks, inclusions, trips = [], [], [], [], [], [], []
-                for row in np.flatnonzero(np.diff(offsets) == 0):
-                    rows.append(int(row)), number.append(0), lists.append(np.zeros(0, np.int32)), scores.append(0.0)
-                    peaks.append(float(gumbel(seeds[row : row + 1])[0])), inclusions.append(1.0), trips.append(True)
-                if offsets[-1]:
-                    sampler = Sampler(pieces, data, offsets, seeds, k)
-                    for row, samples, kappa in sampler.draw():
-                        raw = data[offsets[row] : offsets[row + 1]].tobytes()
-                        for i, (edges, log_prob, peak) in enumerate(samples):
-                            ids = sampler.lattices.piece_ids(edges)
-                            rows.append(row), number.append(i), lists.append(ids), scores.append(log_prob), peaks.append(peak)
-                            inclusions.append(float(-np.expm1(-np.exp(min(log_prob - kappa, 700.0)))) if kappa > -np.inf else 1.0)
-                            trips.append(b"".join([pieces.raw[p] for p in ids.tolist()])[1:] == raw)
-                sizes = np.array([len(x) for x in lists], np.int64)
-                flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
-                column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(rows, pa.int64())), pa.array(number, pa.int32()), column, pa.array(sizes, pa.int32()), pa.array(scores, pa.float64()), pa.array(peaks, pa.float64()), pa.array(inclusions, pa.float64()), pa.array(trips, pa.bool_())],
-                    ["doc_id", "sample", "pieces", "n_pieces", "log_prob", "perturbed", "inclusion", "round_trip"],
-                )
-                # Freed before the next slice is built, not when it replaces this one.
-                sampler = samples = edges = ids = lists = flat = column = None
+        yield from sample_batches(vocabulary(model), batches, k)
 
     return narrow.mapInArrow(run, schema)
 
 
+def sample_batches(pieces: Pieces, batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The samples of batches (id, key, text)."""
+    names = ["doc_id", "sample", "pieces", "n_pieces", "log_prob", "perturbed", "inclusion", "round_trip"]
+    for batch in batches:
+        for part, data, offsets in slices(batch, "text", LATTICE_BYTES):
+            seeds = mix(part.column(1).to_numpy().view(np.uint64))
+            rows, number, lists, scores, peaks, inclusions, trips = [], [], [], [], [], [], []
+            for row in np.flatnonzero(np.diff(offsets) == 0):
+                rows.append(int(row)), number.append(0), lists.append(np.zeros(0, np.int32)), scores.append(0.0)
+                peaks.append(float(gumbel(seeds[row : row + 1])[0])), inclusions.append(1.0), trips.append(True)
+            if offsets[-1]:
+                sampler = Sampler(pieces, data, offsets, seeds, k)
+                for row, samples, kappa in sampler.draw():
+                    raw = data[offsets[row] : offsets[row + 1]].tobytes()
+                    for i, (edges, log_prob, peak) in enumerate(samples):
+                        ids = sampler.lattices.piece_ids(edges)
+                        rows.append(row), number.append(i), lists.append(ids), scores.append(log_prob), peaks.append(peak)
+                        inclusions.append(-math.expm1(-math.exp(min(log_prob - kappa, 700.0))) if kappa > -np.inf else 1.0)
+                        trips.append(b"".join([pieces.raw[p] for p in ids.tolist()])[1:] == raw)
+            sizes = np.array([len(x) for x in lists], np.int64)
+            flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
+            column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, pa.int32()))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(pa.array(rows, pa.int64())), pa.array(number, pa.int32()), column, pa.array(sizes, pa.int32()), pa.array(scores, pa.float64()), pa.array(peaks, pa.float64()), pa.array(inclusions, pa.float64()), pa.array(trips, pa.bool_())],
+                names,
+            )
+            # Freed before the next slice is built, not when it replaces this one.
+            sampler = samples = edges = ids = lists = flat = column = None
+
+
 def decode(samples: DataFrame, model: str, pieces_col: str = "pieces") -> DataFrame:
     """``samples`` with the column ``text`` decoded from the pieces."""
     ship(samples.sparkSession)

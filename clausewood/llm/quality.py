@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewood.llm.common import LOWER_BYTES, M1, M3, SPACE, mix, runs, slices, span_hashes
+from clausewood.llm.common import LOWER_BYTES, M1, M3, SPACE, mix, runs, slices, span_hashes, tidy
 from clausewood.runtime import ship
 
 BITS = 18
@@ -126,6 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int, id_c
     chosen = known.where(F.col("place") < int((1 << 40) * min(1.0, max_rows / max(1, total))))
     sample = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(chosen, "id").select("place", "id", "text", "label")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if held:
@@ -154,6 +155,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, keep: list[str], te
     narrow = docs.select(*columns, text_col)
     whole = text_col in keep
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in slices(batch, text_col):

@@ -27,6 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clausewood.llm.common import tidy
 from clausewood.runtime import ship
 
 #: Entries after which a cache of counts is emptied.
@@ -146,6 +147,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if vocabulary not in _counters:  # a worker keeps it over its tasks
             _counters[vocabulary] = PairCounter(vocabulary)
