@@ -17,8 +17,8 @@ The loss mask holds the place (code points) of each assistant text.
 Defined results: null role, text or kind count as empty, empty and ``message``;
 a turn whose first event is no message opens one; events of equal conversation,
 sequence and turn are ordered by kind, role and text, repeated ones all count;
-a null conversation id is a conversation of its own, null sequence numbers come
-first; an empty log gives an empty result; further columns play no part.
+a null conversation id is a conversation of its own; a sequence number may have any
+type that can be ordered, null ones come first; an empty log gives an empty result; further columns play no part.
 """
 
 from __future__ import annotations
@@ -111,8 +111,33 @@ def digest(chats: DataFrame) -> DataFrame:
 
 
 def conversation_events(conversations: DataFrame) -> DataFrame:
-    """The rows of a finished conversation as a log: each is a message, in the order of its turn."""
-    return conversations.select("conv_id", F.col("turn").alias("seq"), "turn", F.lit("message").alias("kind"), "role", "text")
+    """A log from which the rows of finished conversations can be reconstructed.
+
+    A hash of a row's place decides how its text came about: said at once; streamed in
+    deltas; written otherwise and edited; or begun otherwise, regenerated and streamed.
+    Rows of equal conversation and turn follow each other by role and text.
+    """
+    tie = F.row_number().over(W.partitionBy("conv_id", "turn").orderBy(F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()))
+    rows = conversations.select("conv_id", "turn", "role", "text", tie.alias("tie")).withColumn("size", F.coalesce(F.length("text"), F.lit(0)))
+    third = F.floor(F.col("size") / 3).cast("int")
+    begin, middle = F.substr("text", F.lit(1), third), F.substr("text", third + 1, third)
+    deltas = [("delta", begin), ("delta", middle), ("delta", F.substr("text", 2 * third + 1, F.col("size")))]
+    ways = [
+        [("message", F.col("text"))],
+        [("message", F.lit("")), *deltas],
+        [("message", F.reverse("text")), ("edit", F.col("text"))],
+        [("message", F.reverse("text")), ("delta", begin), ("regenerate", F.lit(None)), *deltas],
+    ]
+
+    def log(events: list[tuple[str, Column]]) -> Column:
+        return F.array(*[F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), (F.col("role") if step == 0 else F.lit(None)).cast("string").alias("role"), text.cast("string").alias("text")) for step, (kind, text) in enumerate(events)])
+
+    way = F.pmod(F.xxhash64("conv_id", "turn", "tie"), F.lit(len(ways)))
+    logs = log(ways[0])
+    for number, events in enumerate(ways[1:], 1):
+        logs = F.when(way == number, log(events)).otherwise(logs)
+    events = rows.select("conv_id", "turn", "tie", F.explode(logs).alias("e"))
+    return events.select("conv_id", F.struct("turn", "tie", F.col("e.step").alias("step")).alias("seq"), "turn", "e.kind", "e.role", "e.text")
 
 
 #: The added conversation -1.

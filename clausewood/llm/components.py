@@ -31,9 +31,9 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
     mark = None
     while True:
-        row = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum((F.col("a") + F.col("b")).cast("decimal(38,0)")).alias("s")).first()
-        if row["n"] == 0 or (row["n"], row["x"], row["s"]) == mark:
+        row = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.bit_xor(F.xxhash64("b", "a", F.lit(1))).alias("y")).first()
+        if row["n"] == 0 or (row["n"], row["x"], row["y"]) == mark:
             break
-        mark = (row["n"], row["x"], row["s"])
+        mark = (row["n"], row["x"], row["y"])
         now = materialize(small_star(large_star(now)))
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -5,23 +5,27 @@ A document is contaminated by an item if one of its windows of the item's length
 greater multiplicities, of at least the threshold. Words are ``[\p{L}\p{N}]+`` in
 lower case, a shingle is five of them; an item with fewer words is one shingle.
 
-1. A window over the threshold holds at least ``need`` of an item's m shingles, so
-   it holds one of the item's m - need + 1 rarest ones (by their count of items).
-   Texts are met with those; texts that hold none are done. A text with fewer words
-   than the item is one window of k < m shingles, which needs fewer shared ones and
-   so is met with more of the item's.
-2. Windows are formed where they can be best: a window that doesn't begin with a
-   shingle of the item loses nothing by moving on to the next one, so windows
-   begin at the item's shingles, or end with the text.
-3. A window's SimHash is held against the index of items: the 64 bits are cut into
-   radius + 1 blocks, and any two fingerprints within the radius agree on one of
-   them, so the join on (item, block, value) finds them all.
-4. What is left is verified by the exact similarity.
-
-At the default radius a window at the threshold itself has about 10 differing bits
-on average; 24 is over four standard deviations above.
-
-Documents are keyed by a hash of the text, so copies are settled once and rows
+1. Every text is cut into shingles and every distinct text that shares one with the
+   benchmark has its item-sized windows hashed: for each length that items have,
+   the windows that hold as many shingles of items of that length as the threshold
+   needs at least. Fewer can't reach it, and a window that doesn't begin with such a
+   shingle loses nothing by moving on to the next one, so windows begin at those or
+   end with the text; nothing is lost. Which item it may be isn't known here.
+2. A window's SimHash is held against the index of the items' fingerprints. The 64
+   bits are cut into BLOCKS blocks. If two fingerprints differ in at most RADIUS
+   bits, they differ in at most TOLERANCE bits in one of the blocks, as BLOCKS *
+   (TOLERANCE + 1) > RADIUS. The index holds each item's block values with all their
+   neighbours of up to TOLERANCE bits, so an equi-join on (length, block, value)
+   finds every pair within the radius; a random pair meets it with a probability
+   of about a quarter.
+3. What is within the radius is verified by the exact similarity, from counts of
+   shingles, in time linear in the window.
+
+At a similarity of 0.8 fingerprints differ in 9.7 bits on average with a standard
+deviation of 2.9, so the radius of 19 lies 3.4 deviations above: what SimHash
+loses stands in the README, measured against brute force.
+
+Documents are keyed by the SHA-256 of the text, so copies are settled once and rows
 without an id count as well. The index of items is broadcast up to a checked
 number of shingles and shuffled beyond it.
 
@@ -33,13 +37,19 @@ give an empty result; further columns play no part.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewood.llm.common import materialize
+from clausewood.functions.scalars import let
+from clausewood.llm.common import fresh, materialize
 
-BROADCAST_SHINGLES = 300_000
+#: Rows of 16 bytes or a little more up to which a side is broadcast.
+BROADCAST_ROWS = 1_000_000
 BITS = 64
+BLOCKS, TOLERANCE = 5, 3
+RADIUS = BLOCKS * (TOLERANCE + 1) - 1
 
 
 def word_codes(text: Column) -> Column:
@@ -50,9 +60,13 @@ def word_codes(text: Column) -> Column:
 
 def shingles(codes: Column, width: int) -> Column:
     """A hash of each run of ``width`` words; null if there are fewer."""
-    last = F.size(codes) - F.lit(width - 1)
-    run = F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.xxhash64(*[F.get(codes, i + F.lit(j)) for j in range(width)]))
-    return F.when(last >= 1, run)
+
+    def of(held: Column) -> Column:
+        last = F.size(held) - F.lit(width - 1)
+        run = F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.xxhash64(*[F.get(held, i + F.lit(j)) for j in range(width)]))
+        return F.when(last >= 1, run)
+
+    return let(codes, of)
 
 
 def least_shared(m: Column, k: Column, threshold: float) -> Column:
@@ -60,107 +74,119 @@ def least_shared(m: Column, k: Column, threshold: float) -> Column:
     return F.greatest(F.lit(1), F.ceil(threshold / (1 + threshold) * (m + k) - 1e-9)).cast("int")
 
 
-def least_of_any(m: Column, threshold: float) -> Column:
-    """Shared shingles that windows of any size need: s / m >= threshold, as k >= s."""
-    return F.greatest(F.lit(1), F.ceil(threshold * m - 1e-9)).cast("int")
+def bit(number: int) -> Column:
+    """A long with one bit set."""
+    return F.lit(1 << number if number < 63 else -(1 << 63)).cast("long")
 
 
-def fingerprint(rows: DataFrame, keys: list[str], hashes: str) -> DataFrame:
-    """(keys, fp): the SimHash of each row's array of hashes, weighted by multiplicity."""
-    each = rows.select(*keys, F.explode(hashes).alias("h"))
+def fingerprint(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, fp): the SimHash of each key's rows (h, c), weighted by the counts."""
     # Bits are taken from a second hash, since equal words share parts of none but the first.
-    each = each.withColumn("h", F.xxhash64("h", F.lit(7)))
-    votes = [F.sum(F.when(F.col("h").bitwiseAND(F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")) != 0, 1).otherwise(-1)).alias(f"v{b}") for b in range(BITS)]
+    each = counts.withColumn("bits", F.xxhash64("h", F.lit(7)))
+    votes = [F.sum(F.when(F.col("bits").bitwiseAND(bit(b)) != 0, F.col("c")).otherwise(-F.col("c"))).alias(f"v{b}") for b in range(BITS)]
     counted = each.groupBy(*keys).agg(*votes)
     fp = F.lit(0).cast("long")
     for b in range(BITS):
-        fp = fp.bitwiseOR(F.when(F.col(f"v{b}") > 0, F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
+        fp = fp.bitwiseOR(F.when(F.col(f"v{b}") > 0, bit(b)).otherwise(F.lit(0).cast("long")))
     return counted.select(*keys, fp.alias("fp"))
 
 
-def blocks(fp: str, radius: int) -> Column:
-    """(block, value) of radius + 1 cuts of the 64 bits."""
-    count = radius + 1
-    cuts = [BITS * i // count for i in range(count + 1)]
-    parts = [F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(F.col(fp), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long")).alias("value")) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))]
-    return F.array(*parts)
+def block_bounds() -> list[tuple[int, int]]:
+    cuts = [BITS * i // BLOCKS for i in range(BLOCKS + 1)]
+    return list(itertools.pairwise(cuts))
+
+
+def block_values(fp: str) -> Column:
+    """(block, value) of the cuts of the 64 bits."""
+    parts = [F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(F.col(fp), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long")).alias("value")) for i, (lo, hi) in enumerate(block_bounds())]
+    return F.explode(F.array(*parts))
+
+
+def neighbours(spark) -> DataFrame:
+    """(block, mask): every set of up to TOLERANCE bits of each block; fixed, under 2,000 rows."""
+    rows = [(i, sum(1 << b for b in bits)) for i, (lo, hi) in enumerate(block_bounds()) for n in range(TOLERANCE + 1) for bits in itertools.combinations(range(hi - lo), n)]
+    return spark.createDataFrame(rows, "block int, mask long")
+
+
+def near_items(prints: DataFrame, item_prints: DataFrame) -> DataFrame:
+    """(key, words, start, item) of the pairs of one length whose fingerprints differ in RADIUS bits or fewer, by the blocks' index."""
+    masks = F.broadcast(neighbours(prints.sparkSession))
+    index = item_prints.select("item", "words", F.col("fp").alias("item_fp"), block_values("fp").alias("b")).join(masks, F.col("b.block") == masks["block"])
+    index = materialize(index.select("item", "words", "item_fp", "b.block", F.col("b.value").bitwiseXOR(F.col("mask")).alias("value")))
+    hint = F.broadcast if index.count() <= BROADCAST_ROWS else (lambda df: df)
+    probes = prints.select("key", "words", "start", "fp", block_values("fp").alias("b")).select("key", "words", "start", "fp", "b.block", "b.value")
+    met = probes.join(hint(index), ["words", "block", "value"])
+    return met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("key", "words", "start", "item").distinct()
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Exact weighted Jaccard similarity of two arrays of hashes, by multiplicity."""
-    of = lambda x, h: F.size(F.filter(x, lambda y: y == h))
-    shared = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, h: acc + F.least(of(a, h), of(b, h)))
-    return shared / (F.size(a) + F.size(b) - shared)
+def text_key(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
-def find(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float = 0.8, radius: int = 24, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(key, item_id, similarity, start_word): the best window of each contaminated text, keyed by xxhash64 of the text."""
-    spark = docs.sparkSession
+def find(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float = 0.8, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(key, item_id, similarity, start_word): the best window of each contaminated text, keyed by the SHA-256 of the text."""
     coded = materialize(items.select(items[item_id].alias("item_id"), word_codes(items[item_text]).alias("codes")).where(F.size("codes") > 0).withColumn("item", F.monotonically_increasing_id()))
     widths = [r[0] for r in coded.select(F.least(F.size("codes"), F.lit(width)).alias("w")).distinct().orderBy("w").collect()]  # at most ``width`` values
-    keyed = docs.select(F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("key"), docs[text_col].alias("text"))
+    keyed = docs.select(text_key(docs[text_col]).alias("key"), docs[text_col].alias("text"))
     found = None
     for w in widths:
-        own = coded.where(F.least(F.size("codes"), F.lit(width)) == w).select("item_id", "item", F.size("codes").alias("words"), shingles(F.col("codes"), w).alias("shingles"))
-        part = find_width(keyed, materialize(own), w, threshold, radius)
+        own = coded.where(F.least(F.size("codes"), F.lit(width)) == w).select("item_id", "item", F.size("codes").alias("words"), F.explode(shingles(F.col("codes"), w)).alias("h"))
+        part = find_width(keyed, materialize(own.groupBy("item_id", "item", "words", "h").agg(F.count(F.lit(1)).alias("c"))), w, threshold)
         found = part if found is None else found.unionByName(part)
     if found is None:
         kind = items.schema[item_id].dataType.simpleString()
-        return spark.createDataFrame([], f"key long, item_id {kind}, similarity double, start_word long")
+        return docs.sparkSession.createDataFrame([], f"key string, item_id {kind}, similarity double, start_word long")
     return found
 
 
-def find_width(keyed: DataFrame, items: DataFrame, width: int, threshold: float, radius: int) -> DataFrame:
-    own = items.select("item", "words", F.explode(F.array_distinct("shingles")).alias("h"), F.size("shingles").alias("m"))
-    small = items.agg(F.sum(F.size("shingles")).alias("n")).first()["n"] <= BROADCAST_SHINGLES
-    hint = F.broadcast if small else (lambda df: df)
-    rarity = own.groupBy("h").agg(F.count(F.lit(1)).alias("items"))
-    ranked = own.join(rarity, "h").groupBy("item", "words", "m").agg(F.sort_array(F.collect_list(F.struct("items", "h"))).alias("order"))
-    # Distinct shingles can be fewer than m; the multiset still has to share ``need``, so the prefix is counted from the end.
-    m = F.col("m")
-    full, wide = m - least_shared(m, m, threshold) + 1, m - least_of_any(m, threshold) + 1
-    prefix = F.slice("order", 1, F.greatest(F.lit(1), F.least(F.size("order"), wide)))
-    rare = ranked.select("item", "words", full.alias("full"), F.posexplode(F.transform(prefix, lambda x: x["h"])).alias("place", "h"))
-
-    texts = keyed.withColumn("codes", word_codes(F.col("text")))
-    met = texts.select("key", F.size("codes").alias("n"), F.explode(shingles(F.col("codes"), width)).alias("h")).join(hint(rare), "h")
-    # Places beyond the prefix of full windows only matter to texts that are shorter than the item.
-    met = met.where("place < full OR place = 0 OR n < words").select("key", "item").distinct()
-    met = materialize(met)
-    keys = met.select("key").distinct()
-    few = keys.count() <= BROADCAST_SHINGLES
-    chosen = keyed.join(F.broadcast(keys) if few else keys, "key").dropDuplicates(["key"]).withColumn("codes", word_codes(F.col("text")))
-    chosen = materialize(chosen.select("key", F.size("codes").alias("n"), shingles(F.col("codes"), width).alias("shingles")))
-
-    places = chosen.select("key", "n", F.posexplode("shingles").alias("at", "h"))
-    anchors = places.join(hint(own.drop("words")), "h").join(met, ["key", "item"], "left_semi")
-    sized = items.select("item", "words")
-    starts = anchors.groupBy("key", "item", "m", "n").agg(F.sort_array(F.collect_list("at")).alias("at")).where(F.size("at") >= least_shared(m, F.least(m, F.col("n") - F.lit(width - 1)), threshold))
-    starts = starts.join(hint(sized), "item").withColumn("starts", F.array_distinct(F.transform("at", lambda p: F.least(p, F.greatest(F.col("n") - F.col("words"), F.lit(0))))))
-    cut = starts.select("key", "item", "m", "starts").join(chosen, "key")
-    windows = materialize(cut.select("key", "item", F.explode(F.transform("starts", lambda s: F.struct(s.alias("start"), F.slice("shingles", s + 1, F.col("m")).alias("window")))).alias("x")).select("key", "item", "x.start", "x.window"))
-
-    prints = fingerprint(windows, ["key", "item", "start"], "window")
-    item_prints = fingerprint(items, ["item"], "shingles").withColumnRenamed("fp", "item_fp")
-    index = item_prints.select("item", "item_fp", F.explode(blocks("item_fp", radius)).alias("b")).select("item", "item_fp", "b.block", "b.value")
-    probes = prints.select("key", "item", "start", "fp", F.explode(blocks("fp", radius)).alias("b")).select("key", "item", "start", "fp", "b.block", "b.value")
-    near = probes.join(hint(index), ["item", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("key", "item", "start").distinct()
-
-    sides = near.join(windows, ["key", "item", "start"]).join(hint(items.select("item", "item_id", "shingles")), "item")
-    scored = sides.select("key", "item_id", similarity(F.col("window"), F.col("shingles")).alias("similarity"), F.col("start").cast("long").alias("start_word")).where(F.col("similarity") >= threshold - 1e-12)
-    best = scored.groupBy("key", "item_id").agg(F.max(F.struct("similarity", (-F.col("start_word")).alias("back"))).alias("best"))
+def find_width(keyed: DataFrame, items: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Hits of the items (item_id, item, words, h, c) whose shingles have ``width`` words."""
+    marks = materialize(items.select("words", "h").distinct())
+    hint = F.broadcast if marks.count() <= BROADCAST_ROWS else (lambda df: df)
+    known = marks.select("h").distinct()
+
+    # Texts that share a shingle with the benchmark, each once.
+    texts = keyed.select("key", F.explode(shingles(word_codes(F.col("text")), width)).alias("h"))
+    keys = materialize(texts.join(hint(known), "h", "left_semi").select("key").distinct())
+    few = keys.count() <= BROADCAST_ROWS // 4
+    chosen = keyed.join(F.broadcast(keys) if few else keys, "key", "left_semi").dropDuplicates(["key"])
+    chosen = materialize(chosen.select("key", shingles(word_codes(F.col("text")), width).alias("shingles")).withColumn("n", F.size("shingles")))
+
+    # Their windows, for each length of items.
+    places = chosen.select("key", "n", F.posexplode("shingles").alias("at", "h")).join(hint(marks), "h")
+    by_length = places.groupBy("key", "n", "words").agg(F.sort_array(F.collect_list("at")).alias("at")).withColumn("m", F.col("words") - F.lit(width - 1))
+    need, last = least_shared(F.col("m"), F.least("m", "n"), threshold), F.greatest(F.col("n") - F.col("m"), F.lit(0))
+    inside = F.filter(F.transform("at", lambda p, i: F.struct(p.alias("start"), F.get("at", i + F.col("need") - 1).alias("reach"))), lambda x: (x["start"] < F.col("last")) & (x["reach"] < x["start"] + F.col("m")))
+    final = F.when(F.size(F.filter("at", lambda p: p >= F.col("last"))) >= F.col("need"), F.array("last")).otherwise(F.array().cast("array<int>"))
+    starts = by_length.withColumns({"need": need, "last": last}).select("key", "words", "m", "n", F.explode(F.array_distinct(F.concat(F.transform(inside, lambda x: x["start"]), final))).alias("start"))
+    # A window's shingles come by their places, not as a slice of the text's: a long text isn't copied for each window.
+    reach = starts.select("key", "words", "start", F.explode(F.sequence("start", F.least(F.col("start") + F.col("m"), "n") - 1)).alias("at"))
+    spots = chosen.select("key", F.posexplode("shingles").alias("at", "h"))
+    bags = materialize(reach.join(spots, ["key", "at"]).groupBy("key", "words", "start", "h").agg(F.count(F.lit(1)).alias("c")))
+
+    own = ["key", "words", "start"]
+    near = near_items(fingerprint(bags, own), fingerprint(items, ["item", "words"]))
+    hint = F.broadcast if items.count() <= BROADCAST_ROWS else (lambda df: df)
+    shared = near.join(bags, own).join(hint(items.select("item", "h", F.col("c").alias("item_c"))), ["item", "h"])
+    shared = shared.groupBy(*own, "item").agg(F.sum(F.least("c", "item_c")).alias("shared"))
+    sizes = bags.groupBy(*own).agg(F.sum("c").alias("k"))
+    item_sizes = items.groupBy("item", "item_id").agg(F.sum("c").alias("m"))
+    scored = shared.join(sizes, own).join(hint(item_sizes), "item").withColumn("similarity", F.col("shared") / (F.col("m") + F.col("k") - F.col("shared")))
+    best = scored.where(F.col("similarity") >= threshold - 1e-12).groupBy("key", "item_id").agg(F.max(F.struct("similarity", (-F.col("start").cast("long")).alias("back"))).alias("best"))
     return best.select("key", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).alias("start_word"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
     """doc_id, item_id, similarity, start_word of every (document, item) pair over the threshold."""
     hits = materialize(find(docs, items, text_col=text_col, **options))
-    narrow = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("key"))
-    return narrow.join(hits, "key").select("doc_id", "item_id", "similarity", "start_word").distinct()
+    narrow = docs.select(docs[id_col].alias("doc_id"), text_key(docs[text_col]).alias("key"))
+    few = hits.count() <= BROADCAST_ROWS // 4
+    return narrow.join(F.broadcast(hits) if few else hits, "key").select("doc_id", "item_id", "similarity", "start_word").distinct()
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", **options: float) -> DataFrame:
-    """The rows of ``docs`` whose text holds no benchmark item, all columns as they were."""
-    hits = materialize(find(docs, items, text_col=text_col, **options)).select(F.col("key").alias("__key")).distinct()
-    few = hits.count() <= BROADCAST_SHINGLES
-    return docs.join(F.broadcast(hits) if few else hits, F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("__key"), "left_anti")
+    """The rows of ``docs`` whose text holds no benchmark item, all columns as they were, whatever their names."""
+    key = fresh("hit_key", docs)
+    hits = materialize(find(docs, items, text_col=text_col, **options).select(F.col("key").alias(key)).distinct())
+    few = hits.count() <= BROADCAST_ROWS // 4
+    return docs.join(F.broadcast(hits) if few else hits, text_key(docs[text_col]) == hits[key], "left_anti")

@@ -15,10 +15,10 @@ further columns of the input, whatever their names, play no part.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewood.llm.common import lower_ascii, materialize
+from clausewood.llm.common import fresh, lower_ascii, materialize
 
 #: Dropped rows up to which their (id, digest) pairs are broadcast; beyond, the join is shuffled.
 BROADCAST_ROWS = 300_000
@@ -38,10 +38,15 @@ def winners(rows: DataFrame, support: float) -> DataFrame:
     return counted.join(F.broadcast(total), F.col("group_size") > F.col("total") * support).drop("total")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = 0.001) -> DataFrame:
+def least_support(rows: DataFrame) -> float:
+    """The support at which the rows of a digest that isn't taken out are a tenth of a shuffle partition's share, within bounds."""
+    return min(0.001, max(1e-5, 0.1 / int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = materialize(digests(docs, id_col, text_col))
-    heavy = materialize(winners(rows, support))
+    heavy = materialize(winners(rows, support or least_support(rows)))
     marked = rows.join(F.broadcast(heavy), "digest", "left")
     frequent = marked.where(F.col("group_size").isNotNull())
     rest = rows.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
@@ -58,22 +63,27 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = 0.001) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns as they were."""
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float | None = None) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns as they were, whatever their names."""
+    own_id, own_digest = fresh("lost_id", docs), fresh("lost_digest", docs)
     decided = materialize(exact_dedup(docs, id_col, text_col, support))
-    lost = decided.where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
-    best = decided.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
-    repeated = materialize(best.join(lost, ["__id", "__digest"], "left_semi").unionByName(lost.where("__id IS NULL").join(best.where("__id IS NULL"), "__digest", "left_semi").distinct()))
+    named = lambda kept: decided.where(kept).select(F.col("doc_id").alias(own_id), F.col("text_sha256").alias(own_digest))
+    lost, best = named("NOT kept"), named("kept")
+    repeated = materialize(best.join(lost, [own_id, own_digest], "left_semi").unionByName(lost.where(F.col(own_id).isNull()).join(best.where(F.col(own_id).isNull()), own_digest, "left_semi").distinct()))
     lost = materialize(lost.distinct())
     few = lost.count() <= BROADCAST_ROWS
-    marked = docs.withColumn("__digest", F.sha2(lower_ascii(F.coalesce(docs[text_col], F.lit(""))), 256))
-    same = (marked[id_col].eqNullSafe(F.col("l.__id"))) & (marked["__digest"] == F.col("l.__digest"))
-    out = marked.join((F.broadcast(lost) if few else lost).alias("l"), same, "left_anti")
+    digest = F.sha2(lower_ascii(F.coalesce(docs[text_col], F.lit(""))), 256)
+
+    def same(other: DataFrame) -> Column:
+        return docs[id_col].eqNullSafe(other[own_id]) & (digest == other[own_digest])
+
+    out = docs.join(F.broadcast(lost) if few else lost, same(lost), "left_anti")
     if not repeated.isEmpty():
         # Rows repeated with the same id and text went with their keeper; one of each comes back.
-        again = (marked[id_col].eqNullSafe(F.col("r.__id"))) & (marked["__digest"] == F.col("r.__digest"))
-        out = out.unionByName(marked.join(repeated.alias("r"), again, "left_semi").dropDuplicates([id_col, "__digest"]))
-    return out.select(*docs.columns)
+        again = docs.join(repeated, same(repeated), "left_semi")
+        mark = fresh("digest", docs)
+        out = out.unionByName(again.withColumn(mark, F.sha2(lower_ascii(F.coalesce(again[text_col], F.lit(""))), 256)).dropDuplicates([id_col, mark]).drop(mark))
+    return out
 
 
 #: DuckDB SQL of the query on documents. Ties of repeated rows don't occur in the given tables.

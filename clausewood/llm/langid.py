@@ -8,10 +8,12 @@ backward gives each word's label distribution, so code-switched text gets labels
 by word; a text's label is the one with the largest expected share of words.
 
 The weights, transitions included, are learned by AdaGrad on the conditional
-likelihood of word windows of labelled rows. Neighbouring windows of different
-languages are put in one sequence, so transitions see switches. The fit reads at
-most about ``max_rows`` rows and WINDOW words of each (documented bounds), in one
-task; every word of every text is labelled afterwards.
+likelihood of the word windows of labelled rows. Windows are shuffled, so that
+those of different languages come to stand in one sequence and transitions see
+switches. The fit reads at most about ``max_rows`` rows (a documented bound), each in
+whole, as consecutive windows of WINDOW words; these are sorted once for each epoch
+and streamed through one task, which holds the model and a few windows. Every word of
+every text is labelled afterwards.
 
 Forward-backward runs over all texts of a slice at once: texts are cut into pieces
 of PIECE words, each piece's transfer matrix is formed, the pieces of a text are
@@ -41,6 +43,8 @@ WORD_MASK, GRAM_MASK = np.uint64((1 << WORD_BITS) - 1), (1 << GRAM_BITS) - 1
 #: Lexicon, prefixes of 1-3 bytes, suffixes of 1-3 bytes.
 KINDS = 7
 WINDOW, PIECE = 48, 64
+#: Windows of a step of learning.
+MINIBATCH = 128
 LETTER = np.zeros(256, dtype=bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 
@@ -178,67 +182,81 @@ def transfer_first(_: np.ndarray, grid: np.ndarray, pieces: np.ndarray, live: np
     return state
 
 
-def fit(texts: pa.Array, langs: list[str], seeds: np.ndarray, epochs: int = 4, batch_size: int = 64, rate: float = 0.25) -> Model:
-    """Learn a model from texts and their languages; ``seeds`` (one per row) choose windows and neighbours."""
-    labels = sorted(set(langs))
-    count = len(labels)
-    words, trigrams = np.zeros((1 << WORD_BITS, count), np.float32), np.zeros((1 << GRAM_BITS, count), np.float32)
-    transition, begin = np.zeros((count, count)), np.zeros(count)
-    model: Model = (labels, words, trigrams, transition, begin)
-    sums = [np.full_like(x, 1e-6) for x in (words, trigrams, transition, begin)]
-    gold_of = np.array([labels.index(x) for x in langs])
-    held = []
-    at = 0
+def word_windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of the consecutive windows of WINDOW words of each text; the last one may be shorter."""
+    starts, ends, rows = runs(LETTER[data], offsets)
+    first = np.searchsorted(rows, rows)
+    head = np.flatnonzero((np.arange(len(rows)) - first) % WINDOW == 0)
+    last = np.minimum(head + WINDOW, np.searchsorted(rows, rows[head], side="right")) - 1
+    return starts[head], ends[last], rows[head]
+
+
+class Learner:
+    """The model while it is learned, by minibatches of sequences of windows."""
+
+    def __init__(self, labels: list[str], rate: float = 0.25) -> None:
+        count = len(labels)
+        self.rate = rate
+        self.model: Model = (labels, np.zeros((1 << WORD_BITS, count), np.float32), np.zeros((1 << GRAM_BITS, count), np.float32), np.zeros((count, count)), np.zeros(count))
+        self.sums = [np.full_like(x, 1e-6) for x in self.model[1:]]
+        self.rng = np.random.default_rng(7)
+
+    def learn(self, windows: list[bytes], gold_of: np.ndarray) -> None:
+        """One step on windows (their text and their label's number); sequences hold one to three of them, whatever their labels."""
+        _, words, trigrams, transition, begin = self.model
+        labels = len(begin)
+        offsets = np.concatenate([[0], np.cumsum([len(w) for w in windows])])
+        numbers, grams, starts, ends, rows = word_features(np.frombuffer(b"".join(windows), np.uint8), offsets)
+        cuts = np.cumsum(self.rng.integers(1, 4, len(windows)))
+        sequence = np.searchsorted(cuts, np.arange(len(windows)), side="right")
+        lengths = np.bincount(sequence[rows])
+        lengths = lengths[lengths > 0]
+        gold = gold_of[rows]
+        scores = emissions(self.model, numbers, grams, starts, ends)
+        post = marginals(scores, lengths, transition, begin)
+        wrong = post.copy()
+        wrong[np.arange(len(gold)), gold] -= 1.0
+        first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        inner = np.ones(len(gold), bool)
+        inner[first] = False
+        later = np.flatnonzero(inner)
+        # Expected moves: pair posteriors of neighbours.
+        pair = post[later - 1][:, :, None] * np.exp(transition)[None] * (np.exp(scores[later] - scores[later].max(axis=1, keepdims=True)))[:, None, :]
+        pair = pair / np.maximum(pair.sum(axis=1, keepdims=True), 1e-300) * post[later][:, None, :]
+        seen = np.zeros((labels, labels))
+        np.add.at(seen, (gold[later - 1], gold[later]), 1.0)
+        size = ends - starts
+        place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - starts, size)
+        self.sparse(0, numbers.ravel(), np.repeat(wrong, KINDS, axis=0))
+        self.sparse(1, grams[place], np.repeat(wrong / size[:, None], size, axis=0))
+        for i, x, g in ((2, transition, pair.sum(axis=0) - seen), (3, begin, wrong[first].sum(axis=0))):
+            self.sums[i] += g * g
+            x -= self.rate * g / np.sqrt(self.sums[i])
+        np.clip(transition, -8, 8, out=transition)
+
+    def sparse(self, table: int, numbers: np.ndarray, gradients: np.ndarray) -> None:
+        """AdaGrad on the rows of a table that a minibatch touches."""
+        at, inverse = np.unique(numbers, return_inverse=True)
+        g = np.stack([np.bincount(inverse, weights=gradients[:, j], minlength=len(at)) for j in range(gradients.shape[1])], axis=1)
+        self.sums[table][at] += (g * g).astype(np.float32)
+        self.model[1 + table][at] -= (self.rate * g / np.sqrt(self.sums[table][at])).astype(np.float32)
+
+
+def fit(texts: pa.Array, langs: list[str], seeds: np.ndarray, epochs: int = 3) -> Model:
+    """Learn a model from texts and their languages; ``seeds``, one per row, order the windows."""
+    learner = Learner(sorted(set(langs)))
+    numbers = {x: i for i, x in enumerate(learner.model[0])}
+    held, at = [], 0
     for part, data, offsets in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text"):
-        numbers, grams, starts, ends, rows = word_features(data, offsets)
-        cuts = np.searchsorted(rows, np.arange(part.num_rows + 1))
-        for i in range(part.num_rows):
-            lo, hi = cuts[i], cuts[i + 1]
-            if hi > lo:
-                lo += int(seeds[at + i] % np.uint64(max(1, hi - lo - WINDOW + 1)))
-                hi = min(hi, lo + WINDOW)
-                held.append((gold_of[at + i], numbers[lo:hi], [grams[s:e] for s, e in zip(starts[lo:hi], ends[lo:hi], strict=True)]))
+        for s, e, row in zip(*word_windows(data, offsets), strict=True):
+            held.append((mix(seeds[at + row : at + row + 1] + np.uint64(s))[0], data[s:e].tobytes(), numbers[langs[at + row]]))
         at += part.num_rows
-    rng = np.random.default_rng(7)
+    held.sort()
     for _ in range(epochs):
-        order = rng.permutation(len(held))
-        # Sequences of one to three windows, whatever their languages.
-        cuts = np.cumsum(rng.integers(1, 4, len(order)))
-        groups = np.split(order, cuts[cuts < len(order)])
-        for b in range(0, len(groups), batch_size):
-            own = groups[b : b + batch_size]
-            numbers = np.concatenate([held[i][1] for g in own for i in g])
-            gram_lists = [x for g in own for i in g for x in held[i][2]]
-            gold = np.concatenate([np.full(len(held[i][1]), held[i][0]) for g in own for i in g])
-            lengths = np.array([sum(len(held[i][1]) for i in g) for g in own])
-            grams = np.concatenate(gram_lists)
-            gram_sizes = np.array([len(x) for x in gram_lists])
-            ends = np.cumsum(gram_sizes)
-            scores = emissions(model, numbers, grams, ends - gram_sizes, ends)
-            post = marginals(scores, lengths, transition, begin)
-            wrong = post.copy()
-            wrong[np.arange(len(gold)), gold] -= 1.0
-            first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            inner = np.ones(len(gold), bool)
-            inner[first] = False
-            later = np.flatnonzero(inner)
-            # Expected moves: pair posteriors of neighbours.
-            pair = post[later - 1][:, :, None] * np.exp(transition)[None] * (np.exp(scores[later] - scores[later].max(axis=1, keepdims=True)))[:, None, :]
-            target = post[later][:, None, :]
-            pair = pair / np.maximum(pair.sum(axis=1, keepdims=True), 1e-300) * target
-            seen = np.zeros((count, count))
-            np.add.at(seen, (gold[later - 1], gold[later]), 1.0)
-            grads = [np.zeros_like(words), np.zeros_like(trigrams), pair.sum(axis=0) - seen, wrong[first].sum(axis=0)]
-            share = wrong / gram_sizes[:, None]
-            for label in range(count):
-                for k in range(KINDS):
-                    grads[0][:, label] += np.bincount(numbers[:, k], weights=wrong[:, label], minlength=1 << WORD_BITS)
-                grads[1][:, label] += np.bincount(grams, weights=np.repeat(share[:, label], gram_sizes), minlength=1 << GRAM_BITS)
-            for x, g, s in zip((words, trigrams, transition, begin), grads, sums, strict=True):
-                s += g * g
-                x -= (rate * g / np.sqrt(s)).astype(x.dtype)
-            np.clip(transition, -8, 8, out=transition)
-    return model
+        for b in range(0, len(held), MINIBATCH):
+            own = held[b : b + MINIBATCH]
+            learner.learn([w for _, w, _ in own], np.array([g for _, _, g in own]))
+    return learner.model
 
 
 def label_texts(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -251,33 +269,48 @@ def label_texts(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np
     return np.where(lengths > 0, share.argmax(axis=1), -1), np.clip(share.max(axis=1), 0.0, 1.0)
 
 
-def train(docs: DataFrame, folds: int, held: int, max_rows: int, id_col: str, text_col: str, lang_col: str) -> Model | None:
+def train(docs: DataFrame, folds: int, held: int, max_rows: int, id_col: str, text_col: str, lang_col: str, epochs: int = 3) -> Model | None:
     ship(docs.sparkSession)
     base = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
     base = base.withColumn("place", F.pmod(F.xxhash64("id"), F.lit(1 << 40)))
     known = base.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("id"), folds) != held))
     total = known.select("lang").groupBy().count().first()["count"]
-    sample = known.where(F.col("place") < int((1 << 40) * min(1.0, max_rows / max(1, total))))
+    sample = known.where(F.col("place") < int((1 << 40) * min(1.0, max_rows / max(1, total)))).select("lang", "place", "text")
+    labels = sorted(r["lang"] for r in sample.select("lang").distinct().collect())  # the languages of max_rows rows
+
+    @tidy
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in slices(batch, "text"):
+                starts, ends, rows = word_windows(data, offsets)
+                order = mix(part.column(1).to_numpy().astype(np.uint64)[rows] + (starts - offsets[rows]).astype(np.uint64)).view(np.int64)
+                windows = pa.array([data[s:e].tobytes() for s, e in zip(starts, ends, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(order), windows], ["lang", "order", "window"])
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if got:
-            t = pa.Table.from_batches(got).sort_by([("place", "ascending"), ("id", "ascending"), ("text", "ascending")]).combine_chunks()
-            texts = t.column("text").chunk(0)
-            labels, *arrays = fit(texts, t.column("lang").to_pylist(), t.column("place").to_numpy().astype(np.uint64))
-            raw = [np.ascontiguousarray(x, np.float32).tobytes() for x in arrays]
-            yield pa.RecordBatch.from_arrays([pa.array([labels], pa.list_(pa.string())), *[pa.array([x], pa.binary()) for x in raw]], ["labels", "words", "trigrams", "transition", "begin"])
-
-    row = sample.repartition(1).mapInArrow(run, "labels array<string>, words binary, trigrams binary, transition binary, begin binary").collect()
-    if not row:
+        learner, numbers = Learner(labels), {x: i for i, x in enumerate(labels)}
+        windows, gold = [], []
+        for batch in batches:
+            for lang, window in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                windows.append(window), gold.append(numbers[lang])
+                if len(windows) == MINIBATCH:
+                    learner.learn(windows, np.array(gold))
+                    windows, gold = [], []
+        if windows:
+            learner.learn(windows, np.array(gold))
+        raw = [np.ascontiguousarray(x, np.float32).tobytes() for x in learner.model[1:]]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in raw], ["words", "trigrams", "transition", "begin"])
+
+    if not labels:
         return None
-    labels = list(row[0]["labels"])
-    load = lambda name: np.frombuffer(row[0][name], np.float32).reshape(-1, len(labels))
+    windows = sample.mapInArrow(cut, "lang string, order long, window binary").withColumn("epoch", F.explode(F.array(*map(F.lit, range(epochs)))))
+    row = windows.repartition(1).sortWithinPartitions("epoch", "order", "lang", "window").select("lang", "window").mapInArrow(run, "words binary, trigrams binary, transition binary, begin binary").first()
+    load = lambda name: np.frombuffer(row[name], np.float32).reshape(-1, len(labels))
     return labels, load("words"), load("trigrams"), load("transition").astype(np.float64), load("begin")[0].astype(np.float64)
 
 
-def identify(docs: DataFrame, folds: int = 4, held: int = 2, max_rows: int = 4_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(docs: DataFrame, folds: int = 4, held: int = 2, max_rows: int = 2_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row; rows of the held fold are never learned from."""
     model = train(docs, folds, held, max_rows, id_col, text_col, lang_col)
     kind = docs.schema[id_col].dataType.simpleString()

@@ -2,40 +2,43 @@
 
 The incidence matrix has a row per distinct shingle set and a column per shingle;
 links are the pairs of rows whose overlap count reaches the bound that their sizes
-give. Overlap counts are only accumulated where they can matter:
+give. The product is only formed where it can matter:
 
 1. Equal sets become one row, by a digest of the set, with map-side combination.
-2. Columns get one global order: a Misra-Gries summary over all shingles of all
+2. Columns get one global order. A Misra-Gries summary over all shingles of all
    documents names the frequent ones, which come last, by their counts; the rest
-   stand in the order of their hashes. Any order gives the same links, the
-   frequent-last one keeps crowded columns out of the product.
-3. Of a row of n shingles only the first n - ceil(t n) + 1 columns enter the
-   product: two rows over the bound share one of them. A size bound and a
-   positional bound discard pairs before anything is counted.
-4. ``links`` emits every pair of every column, blocked by size class; crowded columns
-   are dealt over salts by their number of rows. All pairs are verified, so links
-   inside a component are found and counted (``join_links``).
-5. ``join_components`` alone, for ``keep_one``, needs no such count. In each column block (shingle and size
-   class) rows are first held against the block's least row: a linear number of
-   pairs. Those that link form components; in later rounds the columns whose rows
-   are still in more than one component get leaders of another draw.
-   Columns that then still span components emit the pairs across components
-   only, so that every pair that could join two components is counted. Links
-   inside a component can't change it.
-6. A pair's rows are first held against each other by parity bitmaps, one bit per
-   shingle or fewer: bits that differ are a lower bound of the shingles that
-   differ, and sizes bound those from above. The overlap of what is left is
-   accumulated over the two whole rows.
-
-Shingles are 64-bit hashes. The result is exact but for collisions within one
-pair of documents.
+   stand in the order of their hashes. Any order gives the same links.
+3. Of a row of n shingles only the first n - ceil(t n) + 1 columns can be the first
+   that it shares with another row over the bound. Columns that more than HOT_ROWS
+   rows have among those are put last, too, by their exact counts, and their rows
+   take other columns: so a passage that many documents share doesn't bring
+   together documents that share nothing else.
+4. Rows that meet in one of those columns are pairs to be counted. Columns are blocked
+   by size class and dealt over salts by their number of rows; a size bound and a
+   positional bound discard pairs at once, a parity bitmap (one bit per shingle or
+   fewer; bits that differ are a lower bound of the shingles that do) most others.
+5. The product itself: rows are dealt into row blocks, the cells are pairs of row
+   blocks, and a cell gets each of its rows' whole sets once, however many pairs they
+   stand in. Within a cell overlap counts are accumulated over one block of columns
+   after another; a pair is discarded as soon as its count and the columns left to
+   its smaller rest can't reach the bound of its sizes.
+
+``links`` and ``join_links`` count every pair, so links inside a component are found,
+too. ``join_components`` alone, for ``keep_one``, needs no such count: in each column
+block rows are first held against one leader, a linear number of pairs; those that
+link form components, and columns whose rows are all in one are done with. Only what
+then still spans components is met in pairs across components.
+
+Shingles are 64-bit hashes, of which a cell compares 44 bits. The result is exact but
+for collisions within one pair of documents.
 
 Defined results: a null or empty text, or one without words, has the empty set
 and links with nothing; a text with fewer words than the width has its whole
-sequence as its one shingle; repeated rows get equal results; a row with a null
-id joins the component of its set if an identified row has the same set, else its
-component is null; an empty table gives an empty result; further columns play
-no part.
+sequence as its one shingle; repeated rows get equal results; rows of one id with
+different texts are documents of their own; ids may have any type that can be
+compared; a row with a null id joins the component of its set if an identified row
+has the same set, else its component is null; an empty table gives an empty result;
+further columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,19 +48,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewood.llm.common import materialize, mix, salt, shingle_sets, slices, word_hashes, tidy
+from clausewood.llm.common import fresh, materialize, mix, salt, shingle_sets, slices, tidy, word_hashes
 from clausewood.llm.components import components
 from clausewood.runtime import ship
 
 #: Counters of the frequent-shingle summary, for a task and in all.
 COUNTERS = 1 << 15
-#: Ids up to which a filter on ids is broadcast (16 bytes each); beyond, it is a shuffled join.
+#: Rows up to which a filter on ids is broadcast (some 16 bytes each); beyond, it is a shuffled join.
 BROADCAST_IDS = 1_000_000
 #: Rows of a column that stand under one salt.
 SALT_ROWS = 512
+#: Rows beyond which a column is put last, and how often the order is mended so.
+HOT_ROWS, MENDS = 512, 2
+#: A row block has about so many bytes of sets and rows at most; there are ROW_BLOCKS at least.
+BLOCK_BYTES, BLOCK_ROWS, ROW_BLOCKS = 1 << 24, 1 << 18, 16
+#: Column blocks of a cell, and entries that are looked up at once.
+COLUMN_BITS, ENTRIES = 3, 1 << 20
+#: Bits of a shingle that a cell compares; the row stands above them.
+SHINGLE_BITS = 44
+
+Order = tuple[np.ndarray, np.ndarray]
 
 
 class FrequentItems:
@@ -78,8 +92,26 @@ class FrequentItems:
             self.items, self.counts = self.items[keep], self.counts[keep] - least
 
 
+def ranked(items: np.ndarray, seen: np.ndarray) -> Order:
+    """(shingles sorted by hash, their places 1.. by rising count); of equal shingles the greatest count holds."""
+    by = np.lexsort((-seen, items))
+    items, seen = items[by], seen[by]
+    first = np.ones(len(items), bool)
+    first[1:] = items[1:] != items[:-1]
+    items, seen = items[first], seen[first]
+    rank = np.empty(len(items), np.int64)
+    rank[np.lexsort((items, seen))] = np.arange(1, len(items) + 1)
+    return items, rank
+
+
+def collected(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The COUNTERS most frequent rows of (shingle, seen)."""
+    top = found.orderBy(F.desc("seen"), "shingle").limit(COUNTERS).toArrow()
+    return top.column("shingle").to_numpy().astype(np.int64).view(np.uint64), top.column("seen").to_numpy().astype(np.int64)
+
+
 def frequent_shingles(docs: DataFrame, width: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """(shingle, rank): frequent shingles, sorted by hash, with their places 1.. by rising count; at most COUNTERS."""
+    """(shingle, count): frequent shingles by a Misra-Gries summary; at most COUNTERS."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,12 +123,7 @@ def frequent_shingles(docs: DataFrame, width: int, text_col: str) -> tuple[np.nd
         yield pa.RecordBatch.from_arrays([pa.array(summary.items[keep].view(np.int64)), pa.array(summary.counts[keep])], ["shingle", "seen"])
 
     found = docs.select(docs[text_col].alias("text")).mapInArrow(run, "shingle long, seen long").groupBy("shingle").agg(F.sum("seen").alias("seen")).where("seen >= 8")
-    top = found.orderBy(F.desc("seen"), "shingle").limit(COUNTERS).toArrow()
-    items, seen = top.column("shingle").to_numpy().astype(np.int64).view(np.uint64), top.column("seen").to_numpy()
-    rank = np.empty(len(items), np.int64)
-    rank[np.lexsort((items, seen))] = np.arange(1, len(items) + 1)
-    order = np.argsort(items)
-    return items[order], rank[order]
+    return collected(found)
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -104,31 +131,42 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n + (-percent * n) // 100 + 1, 0)
 
 
-def incidence(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, sig_a, sig_b, prefix, bits) of every row: the set's size and digest, its first columns in order and its parity bitmap."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, width, text_col))
+def prefixes(h: np.ndarray, cuts: np.ndarray, order: Order, percent: int) -> pa.Array:
+    """The first columns, in the global order, of each row that can be the first it shares with a row over the bound."""
+    frequent, ranks = order
+    n = np.diff(cuts)
+    row = np.repeat(np.arange(len(n)), n)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+        rank = np.where(frequent[at] == h, ranks[at], 0)
+        h = h[np.argsort(row * (len(frequent) + 1) + rank, kind="stable")]
+    size = prefix_length(n, percent)
+    kept = h[np.arange(len(h)) - cuts[row] < size[row]]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(kept.view(np.int64)))
+
+
+def text_key(text: Column) -> Column:
+    """A digest that tells the texts of rows with one id apart."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def incidence(docs: DataFrame, order: Order, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, key, n, sig_a, sig_b, prefix, bits) of every row: the text's digest, the set's size and digest, its first columns in order and its parity bitmap."""
+    shared = docs.sparkSession.sparkContext.broadcast(order)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, ranks = shared.value
         for batch in batches:
             for part, data, offsets in slices(batch, "text"):
                 h, cuts = shingle_sets(*word_hashes(data, offsets), part.num_rows, width)
                 n = np.diff(cuts)
-                row = np.repeat(np.arange(part.num_rows), n)
                 sig_a, sig_b = signature(h, cuts)
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
-                    rank = np.where(frequent[at] == h, ranks[at], 0)
-                    h = h[np.argsort(row * (len(frequent) + 1) + rank, kind="stable")]
-                size = prefix_length(n, percent)
-                kept = h[np.arange(len(h)) - cuts[row] < size[row]]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(kept.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(sig_a), pa.array(sig_b), lists, parity_bitmaps(h, row, n)], ["id", "n", "sig_a", "sig_b", "prefix", "bits"])
+                bits = parity_bitmaps(h, np.repeat(np.arange(part.num_rows), n), n)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(sig_a), pa.array(sig_b), prefixes(h, cuts, shared.value, percent), bits], ["id", "key", "n", "sig_a", "sig_b", "prefix", "bits"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    narrow = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return narrow.mapInArrow(run, f"id {kind}, n long, sig_a long, sig_b long, prefix array<long>, bits binary")
+    narrow = docs.select(docs[id_col].alias("id"), text_key(docs[text_col]).alias("key"), docs[text_col].alias("text"))
+    return narrow.mapInArrow(run, f"id {kind}, key binary, n long, sig_a long, sig_b long, prefix array<long>, bits binary")
 
 
 def parity_bitmaps(h: np.ndarray, row: np.ndarray, n: np.ndarray) -> pa.Array:
@@ -142,30 +180,45 @@ def parity_bitmaps(h: np.ndarray, row: np.ndarray, n: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(packed.tobytes())])
 
 
-def differing_bits(x: np.ndarray, y: np.ndarray) -> int:
-    """Bits in which two parity bitmaps differ, the longer one folded to the size of the shorter."""
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+def binary_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and n+1 offsets of a binary column without nulls."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), at
+
+
+def differing_bits(left: pa.Array, right: pa.Array) -> np.ndarray:
+    """Bits in which the parity bitmaps of each row differ, the longer one folded to the size of the shorter."""
+    (x, x_at), (y, y_at) = binary_parts(left), binary_parts(right)
+    sizes = np.stack([np.diff(x_at), np.diff(y_at)], axis=1)
+    out = np.zeros(len(left), np.int64)
+    # Sizes are powers of two, so the rows of a batch fall into few groups.
+    for a, b in np.unique(sizes, axis=0):
+        rows = np.flatnonzero((sizes[:, 0] == a) & (sizes[:, 1] == b))
+        folded = []
+        for data, at, size in ((x, x_at, a), (y, y_at, b)):
+            bits = data[at[rows][:, None] + np.arange(size)]
+            while bits.shape[1] > min(a, b):
+                half = bits.shape[1] // 2
+                bits = bits[:, :half] ^ bits[:, half:]
+            folded.append(bits)
+        out[rows] = np.bitwise_count(folded[0] ^ folded[1]).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def not_too_different(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the pairs whose bitmaps don't rule them out."""
+    """(a, b) of the pairs of nodes whose bitmaps don't rule them out."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total = batch.column(4).to_numpy() + batch.column(5).to_numpy()
-            left, right = batch.column(2), batch.column(3)
-            differ = np.array([differing_bits(*(np.frombuffer(c[i].as_buffer(), np.uint8) for c in (left, right))) for i in range(batch.num_rows)], np.int64)
+            differ = differing_bits(batch.column(2), batch.column(3))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((100 + percent) * differ <= (100 - percent) * total))
 
-    kind = classes.schema["id"].dataType.simpleString()
-    both = pairs.join(classes.select(F.col("id").alias("a"), F.col("bits").alias("x"), F.col("n").alias("n1")), "a")
-    both = both.join(classes.select(F.col("id").alias("b"), F.col("bits").alias("y"), F.col("n").alias("n2")), "b")
-    return both.select("a", "b", "x", "y", "n1", "n2").mapInArrow(run, f"a {kind}, b {kind}")
+    both = pairs.join(classes.select(F.col("node").alias("a"), F.col("bits").alias("x"), F.col("n").alias("n1")), "a")
+    both = both.join(classes.select(F.col("node").alias("b"), F.col("bits").alias("y"), F.col("n").alias("n2")), "b")
+    return both.select("a", "b", "x", "y", "n1", "n2").mapInArrow(run, "a long, b long")
 
 
 def signature(h: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,46 +231,143 @@ def signature(h: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def whole_sets(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, shingles) with the sorted hashes, as bytes, of the rows (id, sig_a) named in ``ids``."""
-    named = ids.select(F.col("id").alias("id"), F.col("sig_a").alias("sig"))
+def sets_of(docs: DataFrame, chosen: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, text) of a document for each of the chosen classes (node, id, key)."""
+    named = chosen.select("node", F.col("id").alias("own"), "key")
     narrow = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    chosen = narrow.join(F.broadcast(named) if ids.count() <= BROADCAST_IDS else named, "id")
+    met = narrow.join(F.broadcast(named) if chosen.count() <= BROADCAST_IDS else named, F.col("id") == F.col("own"))
+    return met.where(F.col("key") == text_key(F.col("text"))).select("node", "text")
+
+
+def whole_sets(docs: DataFrame, chosen: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, shingles) with the sorted hashes, as bytes, of the chosen classes; repeated rows give repeated sets."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in slices(batch, "text"):
                 h, cuts = shingle_sets(*word_hashes(data, offsets), part.num_rows, width)
-                sig, _ = signature(h, cuts)
-                raw = [h[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                out = pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary())], ["id", "shingles"])
-                yield out.filter(pa.array(sig == part.column(2).to_numpy(zero_copy_only=False)))
+                raw = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((cuts * 8).astype(np.int32).tobytes()), pa.py_buffer(h.tobytes())])
+                yield pa.RecordBatch.from_arrays([part.column(0), raw], ["node", "shingles"])
 
-    return chosen.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, shingles binary")
+    return sets_of(docs, chosen, width, id_col, text_col).mapInArrow(run, "node long, shingles binary")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, overlap) of the pairs whose accumulated overlap reaches the bound."""
+def mended(docs: DataFrame, classes: DataFrame, seen: tuple[np.ndarray, np.ndarray], width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
+    """The classes with their hot columns put last, and ``seen`` with those; both as they were if none is hot."""
+    entries = classes.select("node", F.explode("prefix").alias("shingle"))
+    hot = collected(entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("seen")).where(F.col("seen") > HOT_ROWS))
+    new = ~np.isin(hot[0], seen[0])
+    if not new.any():
+        return classes, seen
+    items, counts = (np.concatenate([x, y[new]]) for x, y in zip(seen, hot, strict=True))
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(ranked(items, counts))
+    columns = spark.createDataFrame(pa.table({"shingle": hot[0][new].view(np.int64)}))
+    moved = materialize(entries.join(F.broadcast(columns), "shingle", "left_semi").select("node").distinct())
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in slices(batch, "text"):
+                h, cuts = shingle_sets(*word_hashes(data, offsets), part.num_rows, width)
+                yield pa.RecordBatch.from_arrays([part.column(0), prefixes(h, cuts, shared.value, percent)], ["node", "other"])
+
+    named = classes.join(moved, "node").select("node", "id", "key")
+    found = sets_of(docs, named, width, id_col, text_col).mapInArrow(run, "node long, other array<long>").dropDuplicates(["node"])
+    return materialize(classes.join(found, "node", "left").withColumn("prefix", F.coalesce("other", "prefix")).drop("other")), (items, counts)
+
+
+# ---------------------------------------------------------------- the product
+
+
+class Cell:
+    """The rows of a pair of row blocks, as sorted codes: the row's number above SHINGLE_BITS bits of a shingle."""
+
+    def __init__(self, nodes: np.ndarray, parts: list[pa.Array]) -> None:
+        nodes, first = np.unique(nodes, return_index=True)  # repeated rows come with equal sets
+        held = [binary_parts(p) for p in parts]
+        sets = np.concatenate([np.frombuffer(data[at[0] : at[-1]].tobytes(), np.uint64) for data, at in held]) if held else np.zeros(0, np.uint64)
+        sizes = np.concatenate([np.diff(at) // 8 for _, at in held]) if held else np.zeros(0, np.int64)
+        start = np.cumsum(sizes) - sizes
+        self.nodes, self.n = nodes, sizes[first]
+        self.row = np.cumsum(self.n) - self.n
+        row = np.repeat(np.arange(len(nodes)), self.n)
+        h = sets[np.arange(len(row)) - np.repeat(self.row - start[first], self.n)]
+        self.code = (row.astype(np.uint64) << np.uint64(SHINGLE_BITS)) | (h >> np.uint64(64 - SHINGLE_BITS))
+        # Where each column block of each row begins.
+        counts = np.bincount(row << COLUMN_BITS | (h >> np.uint64(64 - COLUMN_BITS)).astype(np.int64), minlength=len(nodes) << COLUMN_BITS)
+        self.block = np.concatenate([[0], np.cumsum(counts)])
+
+    def overlaps(self, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+        """Overlap count of each pair of rows that reaches the bound of its sizes, else -1."""
+        need = -(-percent * (self.n[a] + self.n[b]) // (100 + percent))
+        small, large = np.where(self.n[a] <= self.n[b], a, b), np.where(self.n[a] <= self.n[b], b, a)
+        total, live = np.zeros(len(a), np.int64), np.arange(len(a))
+        mask = np.uint64((1 << SHINGLE_BITS) - 1)
+        for column in range(1 << COLUMN_BITS):
+            lo = self.block[(small[live] << COLUMN_BITS) + column]
+            hi = self.block[(small[live] << COLUMN_BITS) + column + 1]
+            cuts = np.concatenate([[0], np.cumsum(hi - lo)])
+            begin = 0
+            while begin < len(live):
+                end = max(begin + 1, int(np.searchsorted(cuts, cuts[begin] + ENTRIES, side="right")) - 1)
+                sizes = (hi - lo)[begin:end]
+                pair = np.repeat(np.arange(begin, end), sizes)
+                at = np.arange(len(pair)) - np.repeat(cuts[begin:end] - cuts[begin] - lo[begin:end], sizes)
+                wanted = (large[live[pair]].astype(np.uint64) << np.uint64(SHINGLE_BITS)) | (self.code[at] & mask)
+                found = np.minimum(np.searchsorted(self.code, wanted), len(self.code) - 1)
+                total[live[begin:end]] += np.bincount(pair[self.code[found] == wanted] - begin, minlength=end - begin)
+                begin = end
+            left = np.minimum((self.row + self.n)[small[live]] - hi, (self.row + self.n)[large[live]] - self.block[(large[live] << COLUMN_BITS) + column + 1])
+            live = live[total[live] + left >= need[live]]
+            if not len(live):
+                break
+        out = np.full(len(a), -1, np.int64)
+        out[live] = total[live]
+        return np.where(out >= need, out, -1)
+
+
+def products(percent: int):
+    """A function over batches (cell, kind, a, b, shingles), sorted by cell and kind: a cell's sets (kind 0), then its pairs (kind 1)."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, sets, cell = None, [], [], None
         for batch in batches:
-            keep, overlap = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows, np.int64)
-            left, right = batch.column(2), batch.column(3)
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (left, right))
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                shared = int(np.count_nonzero(large[at] == small))
-                keep[i], overlap[i] = 100 * shared >= percent * (len(x) + len(y) - shared), shared
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(overlap)], ["a", "b", "overlap"]).filter(pa.array(keep))
-
-    kind = sets.schema["id"].dataType.simpleString()
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = both.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}, overlap long")
+            group = batch.column(0).to_numpy() * 2 + batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if hi == lo:
+                    continue
+                part, own = batch.slice(lo, hi - lo), int(group[lo]) >> 1
+                if own != now:
+                    now, nodes, sets, cell = own, [], [], None
+                if not group[lo] & 1:
+                    nodes.append(part.column(2).to_numpy())
+                    sets.append(part.column(4))
+                    continue
+                if cell is None:
+                    cell = Cell(np.concatenate(nodes), sets)
+                    nodes, sets = [], []
+                a, b = (np.searchsorted(cell.nodes, part.column(i).to_numpy()) for i in (2, 3))
+                overlap = cell.overlaps(a, b, percent)
+                yield pa.RecordBatch.from_arrays([part.column(2), part.column(3), pa.array(overlap)], ["a", "b", "overlap"]).filter(pc.greater_equal(pa.array(overlap), 0))
+
+    return run
+
+
+def linked(pairs: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, overlap) of the pairs of nodes whose overlap in the product reaches the bound."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    held = classes.join(ends, "node", "left_semi").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).first()
+    blocks = max(ROW_BLOCKS, math.ceil((held["n"] or 0) * 8 / BLOCK_BYTES), math.ceil(held["rows"] / BLOCK_ROWS))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    placed = pairs.withColumn("cell", block("a") * blocks + block("b"))
+    wanted = placed.select("cell", F.col("a").alias("node")).union(placed.select("cell", "b")).distinct()
+    rows = wanted.join(sets, "node").select("cell", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(0).cast("long").alias("b"), "shingles")
+    both = rows.unionByName(placed.select("cell", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("shingles")))
+    return both.repartition("cell").sortWithinPartitions("cell", "kind").select("cell", "kind", "a", "b", "shingles").mapInArrow(products(percent), "a long, b long, overlap long")
 
 
 def possible(n1: str, at1: str, n2: str, at2: str, percent: int) -> str:
@@ -227,41 +377,61 @@ def possible(n1: str, at1: str, n2: str, at2: str, percent: int) -> str:
 
 
 def prepared(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows with their sets' digests; a class per distinct set; the classes' prefix columns that more than one has."""
+    """Rows with their sets' digests; a class, with a node's number, per distinct set; the classes' first columns that more than one has."""
     ship(docs.sparkSession)
-    rows = materialize(incidence(docs, width, percent, id_col, text_col))
+    seen = frequent_shingles(docs, width, text_col)
+    rows = materialize(incidence(docs, ranked(*seen), width, percent, id_col, text_col))
     known = rows.where(F.col("id").isNotNull() & (F.col("n") > 0))
-    classes = known.groupBy("n", "sig_a", "sig_b").agg(F.min(F.struct("id", "prefix", "bits")).alias("least"))
-    classes = materialize(classes.select("n", "sig_a", "sig_b", "least.id", "least.prefix", "least.bits"))
-    entries = classes.select("id", "n", "sig_a", F.posexplode("prefix").alias("at", "shingle"))
+    classes = known.groupBy("n", "sig_a", "sig_b").agg(F.min(F.struct("id", "key", "prefix", "bits")).alias("least"))
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "n", "sig_a", "sig_b", "least.id", "least.key", "least.prefix", "least.bits"))
+    for _ in range(MENDS):
+        known_before = len(seen[0])
+        classes, seen = mended(docs, classes, seen, width, percent, id_col, text_col)
+        if len(seen[0]) == known_before:
+            break
+    entries = classes.select("node", "n", F.posexplode("prefix").alias("at", "shingle"))
     crowded = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("shingle")
-    size_class = F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int")
+    # Sizes over the bound differ by one class at most; at 100 percent they are equal.
+    size_class = F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int") if percent < 100 else F.col("n").cast("int")
     return rows, classes, materialize(entries.join(crowded, "shingle").withColumn("class", size_class))
 
 
 def candidates(shared: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b, of every pair of classes that a column and the bounds leave, once."""
+    """(a, b), a < b, of every pair of classes that a column and the bounds leave, once; of different roots, if ``shared`` has them."""
     parts = shared.groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("parts"))
-    each = shared.join(parts, "shingle")
-    x = each.select("shingle", F.col("class").alias("block"), F.pmod(F.xxhash64("id"), "parts").cast("int").alias("salt"), F.col("id").alias("id1"), F.col("n").alias("n1"), F.col("at").alias("at1"))
+    each = shared if "root" in shared.columns else shared.withColumn("root", F.col("node"))
+    each = each.join(parts, "shingle")
+    x = each.select("shingle", F.col("class").alias("block"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("salt"), F.col("node").alias("id1"), F.col("n").alias("n1"), F.col("at").alias("at1"), F.col("root").alias("r1"))
     # Sizes within the bound differ by one class at most, so the larger row comes to its own block and the one below.
-    y = each.select("shingle", "class", F.explode(F.array(F.col("class"), F.col("class") - 1)).alias("block"), "parts", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("at").alias("at2"))
+    y = each.select("shingle", "class", F.explode(F.array(F.col("class"), F.col("class") - 1)).alias("block"), "parts", F.col("node").alias("id2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("root").alias("r2"))
     y = y.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    met = x.join(y, ["shingle", "block", "salt"]).where("class > block AND id1 != id2 OR id1 < id2").where(possible("n1", "at1", "n2", "at2", percent))
+    met = x.join(y, ["shingle", "block", "salt"]).where("(class > block AND id1 != id2 OR id1 < id2) AND r1 != r2").where(possible("n1", "at1", "n2", "at2", percent))
     return met.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
 
 
-def all_links(docs: DataFrame, classes: DataFrame, shared: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    close = materialize(not_too_different(candidates(shared, percent), classes, percent))
-    ends = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
-    sets = materialize(whole_sets(docs, ends.join(classes.select("id", "sig_a"), "id"), width, id_col, text_col))
-    return materialize(linked(close, sets, percent))
+def counted(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b, overlap) of the pairs of nodes that link."""
+    close = materialize(not_too_different(pairs, classes, percent))
+    ends = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
+    sets = materialize(whole_sets(docs, classes.join(ends, "node", "left_semi").select("node", "id", "key"), width, id_col, text_col))
+    return materialize(linked(close, sets, classes, percent))
 
 
 def links(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(a, b, overlap), a < b, of every linked pair of different sets; a set stands under the least id that has it."""
     _, classes, shared = prepared(docs, width, percent, id_col, text_col)
-    return all_links(docs, classes, shared, width, percent, id_col, text_col)
+    found = counted(docs, candidates(shared, percent), classes, width, percent, id_col, text_col)
+    for end in ("a", "b"):
+        found = found.join(classes.select(F.col("node").alias(end), F.col("id").alias(f"id_{end}")), end)
+    return found.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "overlap")
+
+
+def placed_classes(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The classes with component_id, the least id of their component."""
+    roots = components(edges)
+    own = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = own.groupBy("root").agg(F.min("id").alias("component_id"))
+    return own.join(least, "root")
 
 
 def join_links(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,15 +441,13 @@ def join_links(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     those with the same set included; it is null where the component is.
     """
     rows, classes, shared = prepared(docs, width, percent, id_col, text_col)
-    found = all_links(docs, classes, shared, width, percent, id_col, text_col)
-    roots = materialize(components(found.select("a", "b")))
+    found = counted(docs, candidates(shared, percent), classes, width, percent, id_col, text_col)
     key = ["n", "sig_a", "sig_b"]
     sizes = rows.where(F.col("id").isNotNull()).select(*key, "id").distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("members"))
-    of_class = classes.select(*key, "id").join(sizes, key)
+    of_class = placed_classes(classes.select("node", *key, "id"), found.select("a", "b")).join(sizes, key)
     both = found.select("a", "b").union(found.select("b", "a"))
-    linked_to = both.join(of_class.select(F.col("id").alias("b"), "members"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("members").alias("others"))
-    of_class = of_class.join(linked_to, "id", "left").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
-    of_class = of_class.select(*key, (F.col("members") + F.coalesce("others", F.lit(0))).alias("near"), F.coalesce("root", "id").alias("component_id"))
+    linked_to = both.join(of_class.select(F.col("node").alias("b"), "members"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("members").alias("others"))
+    of_class = of_class.join(linked_to, "node", "left").select(*key, (F.col("members") + F.coalesce("others", F.lit(0))).alias("near"), "component_id")
     out = rows.select("id", *key).join(of_class, key, "left")
     empty = F.col("n") == 0
     n_links = F.when(empty, F.lit(0)).otherwise(F.col("near") - F.col("id").isNotNull().cast("int")).cast("long")
@@ -287,55 +455,64 @@ def join_links(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), n_links.alias("n_links"), own.alias("component_id"))
 
 
-def join_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row; sets link at a Jaccard similarity of percent / 100 or more."""
-    rows, classes, shared = prepared(docs, width, percent, id_col, text_col)
+def spanning_links(docs: DataFrame, classes: DataFrame, shared: DataFrame, rounds: int, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b) of enough links to join every component."""
     spark = docs.sparkSession
-    kind = rows.schema["id"].dataType.simpleString()
-    tested = spark.createDataFrame([], f"a {kind}, b {kind}")
-    roots = spark.createDataFrame([], f"node {kind}, root {kind}")
-    still = shared.withColumn("root", F.col("id"))
+    tested = spark.createDataFrame([], "a long, b long")
+    edges = spark.createDataFrame([], "a long, b long")
+    still = shared.withColumn("root", F.col("node"))
     for number in range(rounds + 1):
         if number < rounds:
-            draw = F.col("id") if number == 0 else F.xxhash64("id", "shingle", F.lit(number))
-            leaders = still.groupBy("shingle", "class").agg(F.min(F.struct(draw.alias("draw"), F.col("id"), F.col("n"), F.col("at"), F.col("root"))).alias("l"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+            draw = F.col("node") if number == 0 else F.xxhash64("node", "shingle", F.lit(number))
+            leaders = still.groupBy("shingle", "class").agg(F.min(F.struct(draw.alias("draw"), F.col("node"), F.col("n"), F.col("at"), F.col("root"))).alias("l"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
             met = still.join(leaders, ["shingle", "class"]).where("root != l.root").where(possible("n", "at", "l.n", "l.at", percent))
-            pairs = met.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b"))
+            pairs = met.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
         else:
-            x = still.select("shingle", F.col("id").alias("a"), F.col("n").alias("n1"), F.col("at").alias("at1"), F.col("root").alias("r1"))
-            y = still.select("shingle", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("root").alias("r2"))
-            pairs = x.join(y, "shingle").where("a < b AND r1 != r2").where(possible("n1", "at1", "n2", "at2", percent)).select("a", "b")
-        pairs = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
+            pairs = candidates(still, percent)
+        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
-            if number < rounds:
-                continue
-            break
-        close = materialize(not_too_different(pairs, classes, percent))
-        ends = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
-        sets = materialize(whole_sets(docs, ends.join(classes.select("id", "sig_a"), "id"), width, id_col, text_col))
-        new = materialize(linked(close, sets, percent).select("a", "b"))
-        tested = tested.union(pairs)
-        roots = materialize(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new)))
+            continue
+        new = counted(docs, pairs, classes, width, percent, id_col, text_col)
+        tested, edges = tested.union(pairs), edges.union(new.select("a", "b"))
         if number < rounds:
             # Columns whose rows all belong to one component are done with.
-            placed = shared.join(roots, shared["id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "id")).drop("node")
+            roots = materialize(components(edges))
+            placed = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             spanning = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("shingle")
             still = materialize(placed.join(spanning, "shingle"))
-    of_class = classes.select("n", "sig_a", "sig_b", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("n", "sig_a", "sig_b", F.coalesce("root", "id").alias("component_id"))
-    out = rows.select("id", "n", "sig_a", "sig_b").join(of_class, ["n", "sig_a", "sig_b"], "left")
-    own = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return edges
+
+
+def components_of(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, rounds: int) -> DataFrame:
+    """(id, key, n, component_id) of every row."""
+    rows, classes, shared = prepared(docs, width, percent, id_col, text_col)
+    edges = spanning_links(docs, classes, shared, rounds, width, percent, id_col, text_col)
+    key = ["n", "sig_a", "sig_b"]
+    of_class = placed_classes(classes.select("node", *key, "id"), edges).select(*key, "component_id")
+    out = rows.select("id", "key", *key).join(of_class, key, "left")
+    return out.select("id", "key", "n", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def join_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row; sets link at a Jaccard similarity of percent / 100 or more."""
+    return components_of(docs, width, percent, id_col, text_col, rounds).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the least id of their component, all columns as they were.
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
+    """The rows of ``docs`` with the least id of their component, all columns as they were, whatever their names.
 
-    Rows with equal ids are one document. Rows without an id or without words stay.
+    Rows with equal ids and texts are one document and stay or go together; of different
+    texts of that id in the component, the one with the least digest stays. Rows without
+    an id or without words stay.
     """
-    member = join_components(docs, width, percent, id_col, text_col)
-    lost = materialize(member.where("doc_id != component_id").select(F.col("doc_id").alias("__id")).distinct())
+    member = materialize(components_of(docs, width, percent, id_col, text_col, rounds).where(F.col("id").isNotNull() & (F.col("n") > 0)))
+    best = member.where("id = component_id").groupBy("component_id").agg(F.min("key").alias("best"))
+    own_id, own_key = fresh("lost_id", docs), fresh("lost_key", docs)
+    # A component's own row is in ``member``, so none is without its best.
+    lost = member.join(best, "component_id").where("id != component_id OR key != best").select(F.col("id").alias(own_id), F.col("key").alias(own_key))
+    lost = materialize(lost.distinct())
     few = lost.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(lost) if few else lost, docs[id_col] == F.col("__id"), "left_anti")
+    return docs.join(F.broadcast(lost) if few else lost, (docs[id_col] == lost[own_id]) & (text_key(docs[text_col]) == lost[own_key]), "left_anti")
 
 
 def oracle(width: int = 4, percent: int = 85) -> str:

@@ -10,8 +10,9 @@ fitted by FTRL-Proximal with per-coordinate rates, one row after another in the
 order of a hash of the id.
 
 The fit reads at most about ``max_rows`` labelled rows (a documented bound: ids
-whose hash falls under the ratio), in one task whose memory that bound limits.
-Every row of every text is scored, in whole. The model, 2**BITS floats, is all
+whose hash falls under the ratio), each in whole. Their features are counted where
+the rows lie, sorted once for each epoch and streamed through one task, which holds
+the model and a batch. Every row of every text is scored, in whole. The model, 2**BITS floats, is all
 that reaches the driver and is broadcast.
 
 Defined results: null and empty texts have no features and score by the bias
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewood.llm.common import LOWER_BYTES, M1, M3, SPACE, mix, runs, slices, span_hashes, tidy
+from clausewood.llm.common import LOWER_BYTES, M1, M3, SPACE, fresh, mix, runs, slices, span_hashes, tidy
 from clausewood.runtime import ship
 
 BITS = 18
@@ -85,58 +86,74 @@ def dots(weights: np.ndarray, bias: float, data: np.ndarray, offsets: np.ndarray
     return 1.0 / (1.0 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 3, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1) -> tuple[np.ndarray, float]:
-    """FTRL-Proximal over (feature numbers, values, label) rows; the last coordinate is the bias."""
-    size = (1 << BITS) + 1
-    z, n = np.zeros(size), np.zeros(size)
+class Leader:
+    """FTRL-Proximal, one row (feature numbers, values, label) after another; the last coordinate is the bias."""
 
-    def weight(at: np.ndarray) -> np.ndarray:
-        zs = z[at]
-        return np.where(np.abs(zs) <= l1, 0.0, -(zs - np.sign(zs) * l1) / ((beta + np.sqrt(n[at])) / alpha + l2))
+    def __init__(self, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1) -> None:
+        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
+        self.z, self.n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
 
-    for _ in range(epochs):
-        for numbers, values, label in rows:
-            w = weight(numbers)
-            p = 1.0 / (1.0 + np.exp(-np.clip(w @ values, -35, 35)))
-            g = (p - label) * values
-            step = (np.sqrt(n[numbers] + g * g) - np.sqrt(n[numbers])) / alpha
-            z[numbers] += g - step * w
-            n[numbers] += g * g
-    w = weight(np.arange(size))
-    return w[:-1].astype(np.float32), float(w[-1])
+    def weight(self, at: np.ndarray) -> np.ndarray:
+        z = self.z[at]
+        return np.where(np.abs(z) <= self.l1, 0.0, -(z - np.sign(z) * self.l1) / ((self.beta + np.sqrt(self.n[at])) / self.alpha + self.l2))
 
+    def learn(self, numbers: np.ndarray, values: np.ndarray, label: int) -> None:
+        w = self.weight(numbers)
+        p = 1.0 / (1.0 + np.exp(-np.clip(w @ values, -35, 35)))
+        g = (p - label) * values
+        step = (np.sqrt(self.n[numbers] + g * g) - np.sqrt(self.n[numbers])) / self.alpha
+        self.z[numbers] += g - step * w
+        self.n[numbers] += g * g
 
-def training_rows(texts: pa.Array, labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    batch = pa.RecordBatch.from_arrays([texts, pa.array(labels)], ["text", "label"])
-    for part, data, offsets in slices(batch, "text"):
-        numbers, rows = features(data, offsets)
-        cuts = np.searchsorted(rows, np.arange(part.num_rows + 1))
-        for i, label in enumerate(part.column(1).to_pylist()):
-            own, counts = np.unique(numbers[cuts[i] : cuts[i + 1]], return_counts=True)
-            values = np.append(SCALE * counts / max(1, cuts[i + 1] - cuts[i]), 1.0)
-            yield np.append(own, 1 << BITS).astype(np.int64), values, label
+    def model(self) -> tuple[np.ndarray, float]:
+        w = self.weight(np.arange(len(self.z)))
+        return w[:-1].astype(np.float32), float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int, id_col: str, text_col: str) -> tuple[np.ndarray, float]:
+def counted(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(feature numbers, their counts, tokens) of each text."""
+    numbers, rows = features(data, offsets)
+    cuts = np.searchsorted(rows, np.arange(len(offsets)))
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        own, counts = np.unique(numbers[lo:hi], return_counts=True)
+        yield own.astype(np.int32), counts.astype(np.int32), int(hi - lo)
+
+
+def training_row(numbers: np.ndarray, counts: np.ndarray, tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers and values of a row, the bias behind them."""
+    return np.append(numbers, 1 << BITS).astype(np.int64), np.append(SCALE * counts / max(1, tokens), 1.0)
+
+
+def train(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int, id_col: str, text_col: str, epochs: int = 3) -> tuple[np.ndarray, float]:
     """Weights and bias from the labelled rows whose id ``learn`` accepts."""
     ship(docs.sparkSession)
     known = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("label")).where(F.col("id").isNotNull() & F.col("label").isNotNull()).where(learn).groupBy("id").agg(F.max("label").alias("label"))
     known = known.withColumn("place", F.pmod(F.xxhash64("id"), F.lit(1 << 40)))
     total = known.count()
     chosen = known.where(F.col("place") < int((1 << 40) * min(1.0, max_rows / max(1, total))))
-    sample = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(chosen, "id").select("place", "id", "text", "label")
+    sample = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(chosen, "id").select("place", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), "label", "text")
 
     @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if held:
-            t = pa.Table.from_batches(held).sort_by([("place", "ascending"), ("id", "ascending"), ("text", "ascending")])
-            texts = t.column("text").combine_chunks()
-            rows = list(training_rows(texts if isinstance(texts, pa.Array) else texts.chunk(0), t.column("label").to_numpy()))
-            weights, bias = fit(rows)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in slices(batch, "text"):
+                numbers, counts, tokens = zip(*counted(data, offsets), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(numbers, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), pa.array(tokens, pa.int32())], ["place", "digest", "label", "numbers", "counts", "tokens"])
+
+    @tidy
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leader, any_row = Leader(), False
+        for batch in batches:
+            for label, numbers, counts, tokens in zip(*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)), strict=True):
+                leader.learn(*training_row(numbers, counts, tokens), label)
+                any_row = True
+        if any_row:
+            weights, bias = leader.model()
             yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], ["weights", "bias"])
 
-    fitted = sample.repartition(1).mapInArrow(run, "weights binary, bias double").collect()  # one row
+    rows = sample.mapInArrow(count, "place long, digest string, label int, numbers array<int>, counts array<int>, tokens int")
+    rows = rows.withColumn("epoch", F.explode(F.array(*map(F.lit, range(epochs))))).repartition(1).sortWithinPartitions("epoch", "place", "digest", "label")
+    fitted = rows.select("label", "numbers", "counts", "tokens").mapInArrow(fit, "weights binary, bias double").collect()  # one row
     if not fitted:
         return np.zeros(1 << BITS, np.float32), 0.0
     return np.frombuffer(fitted[0]["weights"], np.float32), fitted[0]["bias"]
@@ -147,12 +164,12 @@ def fold(id_col: Column, parts: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % parts
 
 
-def score(docs: DataFrame, weights: np.ndarray, bias: float, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` and ``__score`` of every row."""
+def score(docs: DataFrame, weights: np.ndarray, bias: float, keep: list[str], text_col: str, name: str) -> DataFrame:
+    """The columns ``keep`` and the score, as ``name``, of every row."""
     ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast((weights, bias))  # 2**BITS floats
     columns = [c for c in keep if c != text_col]
-    narrow = docs.select(*columns, text_col)
+    narrow = docs.select(*[docs[c] for c in columns], docs[text_col])
     whole = text_col in keep
 
     @tidy
@@ -161,21 +178,24 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, keep: list[str], te
             for part, data, offsets in slices(batch, text_col):
                 kept = part.columns if whole else part.columns[:-1]
                 names = part.schema.names if whole else part.schema.names[:-1]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(dots(*model.value, data, offsets))], [*names, "__score"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(dots(*model.value, data, offsets))], [*names, name])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields if whole or f.name != text_col)
-    return narrow.mapInArrow(run, f"{fields}, __score double").select(*keep, "__score")
+    return narrow.mapInArrow(run, f"{fields}, `{name}` double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the classifier, fitted on all labels, doesn't reject; all columns as they were."""
+    """The rows of ``docs`` that the classifier, fitted on all labels, doesn't reject; all columns as they were, whatever their names."""
     weights, bias = train(docs, labels, F.lit(True), max_rows, id_col, text_col)
-    return score(docs, weights, bias, docs.columns, text_col).where(F.col("__score") >= CUT).select(*docs.columns)
+    name = fresh("quality_score", docs)
+    scored = score(docs, weights, bias, docs.columns, text_col, name)
+    return scored.where(scored[name] >= CUT).select(*[scored[c] for c in docs.columns])
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max_rows: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every row; rows of the held fold are never learned from."""
     weights, bias = train(docs, labels, fold(F.col("id"), folds) != held, max_rows, id_col, text_col)
-    scored = score(docs, weights, bias, [id_col], text_col)
+    scored = score(docs, weights, bias, [id_col], text_col, fresh("quality_score", docs))
     held_out = F.coalesce(fold(F.col(id_col), folds) == held, F.lit(False))
-    return scored.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= CUT).cast("int").alias("predicted"))
+    own = F.col(scored.columns[-1])
+    return scored.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), own.alias("score"), (own >= CUT).cast("int").alias("predicted"))
