@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausewood.functions import patterns as P
-from clausewood.functions.scalars import definition_id, definition_term, is_single_quoted, lstrip, pinned, slugify, strip
+from clausewood.functions.scalars import definition_id, definition_term, is_single_quoted, let, lstrip, pinned, slugify, strip
 from clausewood.schema import BLOCK, BLOCK_FIELDS, SECTION, SECTIONS
 
 BLOCKS = "_+|[rR]|[qQ]+|[tT]+|[uU][uRQTUOP]*|[oO][oRQTUOP]*|[pP][^_]*"
@@ -31,7 +31,7 @@ def split_lines(text: Column) -> Column:
     """The lines of a text, whatever ends them; a last line end opens no further line."""
     odd = text.rlike(P.ODD_LINE_END)
     lines = F.when(odd, F.split(text, P.LINE_END)).otherwise(F.split(text, "\n"))
-    return F.element_at(F.transform(F.array(lines), lambda x: F.when((F.element_at(x, -1) == "") & (F.size(x) > 0), F.slice(x, 1, F.size(x) - 1)).otherwise(x)), 1)
+    return let(lines, lambda x: F.when((F.element_at(x, -1) == "") & (F.size(x) > 0), F.slice(x, 1, F.size(x) - 1)).otherwise(x))
 
 
 def block(**fields: Column) -> Column:
@@ -52,12 +52,14 @@ def not_blank(texts: Column) -> Column:
 
 
 def line_letter(line: Column) -> Column:
-    bare = strip(line)
-    kind = (
-        F.when(bare == "---", "r").when(bare.startswith(">"), "q").when(bare.startswith("|"), "t")
-        .when(line.rlike(BULLET), "u").when(line.rlike(NUMBER), "o").otherwise("p")
-    )
-    return F.when(bare == "", "_").otherwise(F.when(line.startswith("  ") | line.startswith("\t"), F.upper(kind)).otherwise(kind))
+    def of(bare: Column) -> Column:
+        kind = (
+            F.when(bare == "---", "r").when(bare.startswith(">"), "q").when(bare.startswith("|"), "t")
+            .when(bare.startswith("-") & line.rlike(BULLET), "u").when(line.rlike(NUMBER), "o").otherwise("p")
+        )
+        return F.when(bare == "", "_").when(line.startswith("  ") | line.startswith("\t"), F.upper(kind)).otherwise(kind)
+
+    return let(strip(line), of)
 
 
 def quote_block(lines: Column) -> Column:
@@ -67,37 +69,49 @@ def quote_block(lines: Column) -> Column:
 
 def table_block(lines: Column) -> Column:
     rows = F.transform(lines, lambda line: F.transform(F.split(F.regexp_replace(strip(line), r"\A\|+|\|+\z", ""), r"\|"), strip))
-    data = F.filter(tail(rows, 2), lambda row: F.exists(row, lambda cell: cell != ""))
-    return block(kind=F.lit("table"), headers=F.filter(F.element_at(rows, 1), lambda h: h != ""), rows=data)
+
+    def of(rows: Column) -> Column:
+        data = F.filter(tail(rows, 2), lambda row: F.exists(row, lambda cell: cell != ""))
+        return block(kind=F.lit("table"), headers=F.filter(F.element_at(rows, 1), lambda h: h != ""), rows=data)
+
+    return let(rows, of)
 
 
 def list_block(lines: Column, kind: Column) -> Column:
     """An item is a marker line and the lines up to the next one."""
-    begins = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.element_at(lines, i).rlike(ITEM))
 
-    def item(i: Column, number: Column) -> Column:
-        stop = F.coalesce(F.try_element_at(begins, number + 2), F.size(lines) + 1)
-        more = F.transform(F.slice(lines, i + 1, stop - i - 1), strip)
-        return F.array_join(F.concat(F.array(strip(F.regexp_extract(F.element_at(lines, i), ITEM, 1))), more), " ")
+    def items(begins: Column) -> Column:
+        def item(i: Column, number: Column) -> Column:
+            stop = F.coalesce(F.try_element_at(begins, number + 2), F.size(lines) + 1)
+            more = F.transform(F.slice(lines, i + 1, stop - i - 1), strip)
+            return F.array_join(F.concat(F.array(strip(F.regexp_extract(F.element_at(lines, i), ITEM, 1))), more), " ")
+
+        return not_blank(F.transform(begins, item))
 
-    items = not_blank(F.transform(begins, item))
-    return block(kind=kind, items=F.when(F.size(items) > 0, items).otherwise(F.array(F.lit(""))))
+    begins = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.element_at(lines, i).rlike(ITEM))
+    return block(kind=kind, items=let(let(begins, items), lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("")))))
 
 
 def paragraph_block(lines: Column) -> Column:
     """A definition, a reference, a term or plain text, by the first pattern that fits."""
-    said = strip(F.array_join(lines, " "))
     led = rf"\A{P.DEFINITION}"
-    match = F.regexp_extract(said, led, 0)
-    defined = (match != "") & ~said.rlike(rf"\A{P.EMPHASISED_DEFINITION}") & ~is_single_quoted(match)
-    part = lambda pattern, group: F.regexp_extract(said, pattern, group)
-    linked = lambda pattern: strip(part(pattern, 2)) != ""
-    return (
-        F.when(defined, block(kind=F.lit("definition"), definition_id=definition_id(match), term=definition_term(match), text=strip(F.regexp_replace(said, led, ""))))
-        .when(linked(P.REF_BLOCK), block(kind=F.lit("ref"), prefix=part(P.REF_BLOCK, 1), target=strip(part(P.REF_BLOCK, 2)), format=strip(part(P.REF_BLOCK, 3)), suffix=part(P.REF_BLOCK, 4)))
-        .when(linked(P.TERM_BLOCK), block(kind=F.lit("term"), prefix=part(P.TERM_BLOCK, 1), target=strip(part(P.TERM_BLOCK, 2)), label=strip(part(P.TERM_BLOCK, 3)), suffix=part(P.TERM_BLOCK, 4)))
-        .otherwise(block(kind=F.lit("paragraph"), text=said))
-    )
+
+    def of(said: Column) -> Column:
+        part = lambda pattern, group: F.regexp_extract(said, pattern, group)
+        linked = lambda name, pattern: said.contains(f"{{{{{name}:") & (strip(part(pattern, 2)) != "")
+        plain = (
+            F.when(linked("ref", P.REF_BLOCK), block(kind=F.lit("ref"), prefix=part(P.REF_BLOCK, 1), target=strip(part(P.REF_BLOCK, 2)), format=strip(part(P.REF_BLOCK, 3)), suffix=part(P.REF_BLOCK, 4)))
+            .when(linked("term", P.TERM_BLOCK), block(kind=F.lit("term"), prefix=part(P.TERM_BLOCK, 1), target=strip(part(P.TERM_BLOCK, 2)), label=strip(part(P.TERM_BLOCK, 3)), suffix=part(P.TERM_BLOCK, 4)))
+            .otherwise(block(kind=F.lit("paragraph"), text=said))
+        )
+
+        def by_match(match: Column) -> Column:
+            defined = (match != "") & ~said.rlike(rf"\A{P.EMPHASISED_DEFINITION}") & ~is_single_quoted(match)
+            return F.when(defined, block(kind=F.lit("definition"), definition_id=definition_id(match), term=definition_term(match), text=strip(F.regexp_replace(said, led, ""))))
+
+        return F.coalesce(F.when(said.contains("def:"), let(F.regexp_extract(said, led, 0), by_match)), plain)
+
+    return let(strip(F.array_join(lines, " ")), of)
 
 
 def one_block(letter: Column, lines: Column) -> Column:
@@ -113,20 +127,21 @@ def one_block(letter: Column, lines: Column) -> Column:
 
 def section_blocks(lines: Column) -> Column:
     """The blocks of a section's lines; a table of one line gives none."""
-    chunk = strip(F.array_join(lines, "\n"))
+    none = F.array().cast("array<struct<at:int,letter:string,size:int>>")
 
     def with_lines(own: Column) -> Column:
         letters = F.array_join(F.transform(own, line_letter), "")
         runs = F.regexp_extract_all(letters, F.lit(f"({BLOCKS})"), F.lit(1))
-        # Runs tile the letters, so a run begins where the runs before it end.
-        state = F.aggregate(
-            runs,
-            F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<at:int,letter:string,size:int>>").alias("runs")),
-            lambda acc, run: F.struct((acc["at"] + F.length(run)).alias("at"), F.concat(acc["runs"], F.array(F.struct(acc["at"].alias("at"), F.lower(F.substring(run, 1, 1)).alias("letter"), F.length(run).alias("size")))).alias("runs")),
-        )["runs"]
+
+        def step(acc: Column, run: Column) -> Column:
+            # Runs tile the letters, so a run begins where the runs before it end.
+            one = F.struct(acc["at"].alias("at"), F.lower(F.substring(run, 1, 1)).alias("letter"), F.length(run).alias("size"))
+            return F.struct((acc["at"] + F.length(run)).alias("at"), F.concat(acc["runs"], F.array(one)).alias("runs"))
+
+        state = F.aggregate(runs, F.struct(F.lit(1).alias("at"), none.alias("runs")), step, lambda acc: acc["runs"])
         return F.filter(F.transform(state, lambda run: one_block(run["letter"], F.slice(own, run["at"], run["size"]))), lambda b: b.isNotNull())
 
-    return F.when(chunk == "", F.array().cast(f"array<{BLOCK}>")).otherwise(F.element_at(F.transform(F.array(F.split(chunk, "\n")), with_lines), 1))
+    return let(strip(F.array_join(lines, "\n")), lambda chunk: F.when(chunk == "", F.array().cast(f"array<{BLOCK}>")).otherwise(let(F.split(chunk, "\n"), with_lines)))
 
 
 # ---------------------------------------------------------------- sections
@@ -134,28 +149,34 @@ def section_blocks(lines: Column) -> Column:
 
 def parse_sections(body: Column) -> Column:
     """The sections of a body; lines before the first heading and from the signature block on don't count."""
+    part = lambda line, group: F.regexp_extract(line, P.HEADING, group)
 
     def with_lines(lines: Column) -> Column:
-        part = lambda line, group: F.regexp_extract(line, P.HEADING, group)
-        heads = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.element_at(lines, i).rlike(P.HEADING))
-        ends = F.filter(heads, lambda i: (strip(part(F.element_at(lines, i), 2)) == SIGNATURE_TITLE) & (part(F.element_at(lines, i), 3) == SIGNATURE_ID))
-        stop = F.coalesce(F.array_min(ends), F.size(lines) + 1)
-        kept = F.filter(heads, lambda i: i < stop)
-        spans = F.transform(kept, lambda i, n: F.struct(i.alias("at"), F.coalesce(F.try_element_at(kept, n + 2), stop).alias("stop")))
-
-        def section(span: Column) -> Column:
-            line = F.element_at(lines, span["at"])
-            title, given = strip(part(line, 2)), part(line, 3)
-            return F.struct(
-                F.when(title == "", F.lit("New Section")).otherwise(title).alias("title"),
-                F.length(part(line, 1)).alias("level"),
-                F.when(given == "", slugify(title)).otherwise(given).alias("identifier"),
-                section_blocks(F.slice(lines, span["at"] + 1, span["stop"] - span["at"] - 1)).alias("blocks"),
-            ).cast(SECTION)
-
-        return F.when(F.size(lines) > 0, F.transform(spans, section))
-
-    return F.coalesce(F.element_at(F.transform(F.array(split_lines(body)), with_lines), 1), F.array().cast(SECTIONS))
+        def line_at(i: Column) -> Column:
+            return F.element_at(lines, i)
+
+        def section(at: Column, stop: Column) -> Column:
+            def of(head: Column) -> Column:
+                return F.struct(
+                    F.when(head["title"] == "", F.lit("New Section")).otherwise(head["title"]).alias("title"),
+                    head["level"].alias("level"),
+                    F.when(head["given"] == "", slugify(head["title"])).otherwise(head["given"]).alias("identifier"),
+                    section_blocks(F.slice(lines, at + 1, stop - at - 1)).alias("blocks"),
+                ).cast(SECTION)
+
+            return let(F.struct(strip(part(line_at(at), 2)).alias("title"), part(line_at(at), 3).alias("given"), F.length(part(line_at(at), 1)).alias("level")), of)
+
+        def up_to(heads: Column) -> Column:
+            ends = F.filter(heads, lambda i: (part(line_at(i), 3) == SIGNATURE_ID) & (strip(part(line_at(i), 2)) == SIGNATURE_TITLE))
+            return let(F.coalesce(F.array_min(ends), F.size(lines) + 1), lambda stop: let(F.filter(heads, lambda i: i < stop), lambda kept: spans(kept, stop)))
+
+        def spans(kept: Column, stop: Column) -> Column:
+            return F.transform(kept, lambda i, n: section(i, F.coalesce(F.try_element_at(kept, n + 2), stop)))
+
+        heads = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: line_at(i).startswith("#") & line_at(i).rlike(P.HEADING))
+        return F.when(F.size(lines) > 0, let(heads, up_to))
+
+    return F.coalesce(let(split_lines(body), with_lines), F.array().cast(SECTIONS))
 
 
 #: The expression of each application: building it takes many calls to the JVM.

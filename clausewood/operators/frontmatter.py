@@ -26,7 +26,12 @@ class TextDates(yaml.SafeLoader):
     """YAML 1.1 whose timestamps stay text."""
 
 
-TextDates.add_constructor("tag:yaml.org,2002:timestamp", lambda loader, node: loader.construct_scalar(node))
+class FastTextDates(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
+    """The same by the C library, where there is one."""
+
+
+for _loader in (TextDates, FastTextDates):
+    _loader.add_constructor("tag:yaml.org,2002:timestamp", lambda loader, node: loader.construct_scalar(node))
 
 # ---------------------------------------------------------------- coercion
 
@@ -108,10 +113,18 @@ def coerce_metadata(given: Any) -> dict:
     return record(METADATA_FIELDS)(given)
 
 
+def read_yaml(source: str) -> Any:
+    """What the text holds; the pure loader has the last word on texts that the fast one refuses, and the message."""
+    try:
+        return yaml.load(source, Loader=FastTextDates)  # noqa: S506
+    except (yaml.YAMLError, UnicodeError, ValueError):
+        return yaml.load(source, Loader=TextDates)  # noqa: S506
+
+
 def load(source: str | None) -> tuple[str | None, str | None]:
     """(metadata as JSON, error) of one frontmatter text; None is an absent one."""
     try:
-        return json.dumps(coerce_metadata(yaml.load(source, Loader=TextDates) if source else {}), ensure_ascii=False), None  # noqa: S506
+        return json.dumps(coerce_metadata(read_yaml(source) if source else {}), ensure_ascii=False), None
     except Exception as failure:  # the message is the diagnostic
         return None, str(failure)
 
@@ -121,7 +134,7 @@ def load(source: str | None) -> tuple[str | None, str | None]:
 
 def split_frontmatter(source: Column) -> tuple[Column, Column]:
     """(frontmatter or null, body) of a source text."""
-    found = source.rlike(P.FRONTMATTER)
+    found = source.startswith("---") & source.rlike(P.FRONTMATTER)
     return F.when(found, F.regexp_extract(source, P.FRONTMATTER, 1)), F.when(found, F.regexp_replace(source, P.FRONTMATTER, "")).otherwise(source)
 
 

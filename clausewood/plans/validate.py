@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from clausewood.functions import patterns as P
 from clausewood.functions import scalars as S
+from clausewood.functions.scalars import let
 from clausewood.plans.messages import MESSAGES
 from clausewood.schema import DIAGNOSTIC
 
@@ -44,18 +45,14 @@ def listed(*found: Column) -> Column:
     return F.array(*found).cast(DIAGNOSTICS)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def each(values: Column, body: Callable[..., Column]) -> Column:
     return F.transform(values, body)
 
 
 def matches(text: Column, pattern: str, groups: int) -> Column:
     """Of every match its groups g1.., stripped."""
-    return each(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), lambda m: F.struct(*[S.strip(F.regexp_extract(m, pattern, i + 1)).alias(f"g{i + 1}") for i in range(groups)]))
+    found = [F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(i + 1)), S.strip) for i in range(groups)]
+    return F.transform(found[0], lambda x: F.struct(x.alias("g1"))) if groups == 1 else F.arrays_zip(*[x.alias(f"g{i + 1}") for i, x in enumerate(found)])
 
 
 def contains(values: Column, value: Column) -> Column:
@@ -64,7 +61,7 @@ def contains(values: Column, value: Column) -> Column:
 
 def firsts(values: Column) -> Column:
     """Indices (from 0) of the first occurrence of each value."""
-    return F.filter(F.sequence(F.lit(0), F.greatest(F.size(values) - 1, F.lit(0))), lambda i: (F.size(values) > 0) & (F.array_position(values, F.get(values, i)) == i + 1))
+    return let(values, lambda v: F.filter(F.sequence(F.lit(0), F.greatest(F.size(v) - 1, F.lit(0))), lambda i: (F.size(v) > 0) & (F.array_position(v, F.get(v, i)) == i + 1)))
 
 
 def bad_date(text: Column) -> Column:
@@ -201,7 +198,8 @@ def section_fold() -> Column:
                 when(F.exists("attachment_lookup", lambda a: a["id"] == x["final"]), "attachment-id-collision", x["final"]),
             )
             entry = F.struct(title.alias("title"), x["final"].alias("identifier"), F.array_join(path, ".").alias("path"), level.alias("level"), S.section_number(counters, level).alias("number"))
-            return F.struct(F.concat(acc["used"], F.array(x["final"])), counters, path, level, F.concat(acc["entries"], F.array(entry.cast(ENTRY))), F.concat(acc["found"], found)).cast(FOLD)
+            # Of the accumulator's type but for its fields' names, which the start gives: a cast would copy it at each step.
+            return F.struct(F.concat(acc["used"], F.array(x["final"])), counters, path, level, F.concat(acc["entries"], F.array(entry.cast(ENTRY))), F.concat(acc["found"], F.filter(found, lambda d: d.isNotNull())))
 
         wanted = F.when(S.is_identifier(first), first).otherwise(S.slugify(first))
         return let(let(wanted, lambda w: F.struct(w.alias("wanted"), unused(w, acc["used"]).alias("final"))), settle)
@@ -230,14 +228,13 @@ def anchor_list() -> Column:
 
 
 def accepted_anchors() -> Column:
-    ids = each(F.col("anchors"), lambda a: a["id"])
-    kept = F.filter(firsts(ids), lambda i: S.is_identifier(F.get(ids, i)) & ~F.exists("section_index", lambda e: e["identifier"] == F.get(ids, i)))
+    ids = F.col("__anchor_ids")
+    kept = F.filter(firsts(ids), lambda i: S.is_identifier(F.get(ids, i)) & ~contains(F.col("__section_ids"), F.get(ids, i)))
     return each(kept, lambda i: F.get(F.col("anchors"), i))
 
 
 def anchor_rules() -> Column:
-    ids = each(F.col("anchors"), lambda a: a["id"])
-    taken = lambda a, i: F.exists("section_index", lambda e: e["identifier"] == a["id"]) | (F.array_position(ids, a["id"]) < i + 1)
+    taken = lambda a, i: contains(F.col("__section_ids"), a["id"]) | (F.array_position("__anchor_ids", a["id"]) < i + 1)
     return each(F.col("anchors"), lambda a, i: F.when(~S.is_identifier(a["id"]), say("anchor-format", a["id"])).when(taken(a, i), say("anchor-duplicate", a["id"])))
 
 
@@ -273,7 +270,7 @@ def definition_list() -> Column:
 
 
 def own_definitions() -> Column:
-    ids = each(F.col("definitions"), lambda d: d["id"])
+    ids = F.col("__definition_ids")
     kept = F.filter(firsts(ids), lambda i: S.is_identifier(F.get(ids, i)))
 
     def entry(i: Column) -> Column:
@@ -284,25 +281,28 @@ def own_definitions() -> Column:
 
 
 def definition_rules() -> Column:
-    refs = F.col("definitions")
-    ids = each(refs, lambda d: d["id"])
+    refs, ids = F.col("definitions"), F.col("__definition_ids")
 
     def rules(d: Column, i: Column) -> Column:
-        first = F.get(refs, (F.array_position(ids, d["id"]) - 1).cast("int"))
-        again = F.array_position(ids, d["id"]) < i + 1
-        other = d["auto_id"] & first["auto_id"] & (first["term"] != d["term"])
-        return F.when(~S.is_identifier(d["id"]), say("definition-id-format", d["id"], d["term"])).when(again & other, say("def-autogen-collision", d["id"])).when(again, say("def-duplicate-id", d["id"]))
+        def by_place(place: Column) -> Column:
+            first = F.get(refs, place - 1)
+            other = d["auto_id"] & first["auto_id"] & (first["term"] != d["term"])
+            again = F.when(other, say("def-autogen-collision", d["id"])).otherwise(say("def-duplicate-id", d["id"]))
+            return F.when(~S.is_identifier(d["id"]), say("definition-id-format", d["id"], d["term"])).when(place < i + 1, again)
+
+        return let(F.array_position(ids, d["id"]).cast("int"), by_place)
 
     return each(refs, rules)
 
 
 def definition_form_rules() -> Column:
     def of_fragment(t: Column) -> Column:
-        found = definition_matches(t)
+        return F.when(t.contains("def:"), let(definition_matches(t), lambda found: forms(t, found))).otherwise(listed())
+
+    def forms(t: Column, found: Column) -> Column:
         bare = F.size(F.regexp_extract_all(t, F.lit(f"({P.DEFINITION_TAG})"), F.lit(1))) - F.size(found)
         quoted = each(F.filter(found, S.is_single_quoted), lambda m: say("def-single-quote-ambiguous", S.definition_term(m)))
-        own = F.concat(listed(when(t.rlike(P.EMPHASISED_DEFINITION), "def-emphasis")), F.array_repeat(say("def-no-quoted-span"), F.greatest(bare, F.lit(0))), quoted)
-        return F.when(t.contains("def:"), own).otherwise(listed())
+        return F.concat(listed(when(t.rlike(P.EMPHASISED_DEFINITION), "def-emphasis")), F.array_repeat(say("def-no-quoted-span"), F.greatest(bare, F.lit(0))), quoted)
 
     return F.flatten(each(F.col("blocks"), lambda b: F.flatten(each(b["raw"], of_fragment))))
 
@@ -407,7 +407,7 @@ def targets(b: Column, kind: str, pattern: str) -> Column:
 def directive_rules(m: Column) -> Column:
     keys = F.col("section_keys")
     attached = lambda t: F.exists("attachment_lookup", lambda a: a["id"] == t)
-    defined = lambda t: F.exists("definition_lookup", lambda d: d["id"] == t)
+    defined = lambda t: contains(F.col("__defined_ids"), t)
     undefined = lambda t: F.when(m["amends"].isNull(), say("term-undefined", t)).when(F.col("consulted"), say("amend-term-undefined", t)).otherwise(say("amend-term-unresolvable", t))
 
     def of_block(b: Column) -> Column:
@@ -420,8 +420,8 @@ def directive_rules(m: Column) -> Column:
 
 def unreferenced_rules(m: Column) -> Column:
     attachments = each(F.filter(m["attachments"], lambda a: (a["id"] != "") & ~contains(F.col("used_attachments"), a["id"])), lambda a: say("attachment-unreferenced", a["id"]))
-    ids = F.array_distinct(each(F.col("definitions"), lambda d: d["id"]))
-    unused = F.filter(ids, lambda i: F.exists("definition_lookup", lambda d: d["id"] == i) & ~contains(F.col("used_terms"), i))
+    declared = F.array_intersect(F.col("__definition_ids"), F.col("__defined_ids"))
+    unused = F.array_except(declared, F.col("used_terms"))
     return F.concat(attachments, each(unused, lambda i: say("def-unreferenced", i)))
 
 
@@ -478,12 +478,14 @@ def steps() -> list[dict[str, Column]]:
     return [
         side_columns(m) | attachment_columns(m),
         {"__fold": section_fold()},
-        {"section_index": F.col("__fold.entries"), "blocks": block_list()},
-        {"anchors": anchor_list()},
-        {"accepted_anchors": accepted_anchors(), "definitions": definition_list()},
-        {"section_lookup": section_lookup(), "own_definitions": own_definitions()},
-        {"definition_lookup": definition_lookup(), "section_keys": F.transform("section_lookup", lambda e: e["key"])},
+        {"section_index": F.col("__fold.entries"), "blocks": block_list(), "__section_ids": F.transform("__fold.entries", lambda e: e["identifier"])},
+        {"anchors": anchor_list(), "definitions": definition_list()},
+        {"__anchor_ids": F.transform("anchors", lambda a: a["id"]), "__definition_ids": F.transform("definitions", lambda d: d["id"])},
+        {"accepted_anchors": accepted_anchors(), "own_definitions": own_definitions()},
+        {"section_lookup": section_lookup(), "definition_lookup": definition_lookup()},
         {
+            "section_keys": F.transform("section_lookup", lambda e: e["key"]),
+            "__defined_ids": F.transform("definition_lookup", lambda d: d["id"]),
             "__front": placeholders_in(value_fields(m)),
             "__body": placeholders_in(body),
             "used_terms": F.array_distinct(F.flatten(each(F.col("blocks"), lambda b: targets(b, "term", P.TERM)))),
@@ -512,4 +514,4 @@ def validate(parsed: DataFrame, amended: DataFrame | None = None, attached: Data
     docs = with_imports(parsed, amended, attached)
     for columns in _steps[application]:
         docs = pin(docs, columns)
-    return docs.drop("__fold", "__front", "__body", "placeholder_ids", "placeholder_types", "side_names", "party_names", "anchors")
+    return docs.drop("__fold", "__front", "__body", "__section_ids", "__anchor_ids", "__definition_ids", "__defined_ids", "placeholder_ids", "placeholder_types", "side_names", "party_names", "anchors")

@@ -12,36 +12,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewood import engine
+from clausewood import case_queries, engine
 from clausewood.functions import patterns as P
 from clausewood.functions import scalars as S
 from clausewood.operators.serialize import serialize
 from clausewood.plans import report, views
+from clausewood.plans.kept import kept
 from clausewood.plans.validate import matches, validate
 from clausewood.sources.contracts import contracts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_parsed: dict[tuple[str, str], DataFrame] = {}
-_validated: dict[tuple[str, str], DataFrame] = {}
-
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parsed contracts; kept for the session, as many queries fan out from them."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _parsed:
-        # Validation is work per byte: without this, adaptive execution packs small contracts into one task.
-        rows = contracts(spark, sf_dir)
-        _parsed[key] = engine.parse(rows.repartition(4 * spark.sparkContext.defaultParallelism)).persist()
-    return _parsed[key]
+    """The parsed contracts; kept until ``kept.release``, as many queries fan out from them."""
+    # Validation is work per byte: without this, adaptive execution packs small contracts into one task.
+    return kept(spark, sf_dir, "parsed contracts", lambda: engine.parse(contracts(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism)))
 
 
 def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The validated contracts with their indices; kept for the session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _validated:
-        _validated[key] = validate(parsed(spark, sf_dir)).persist()
-    return _validated[key]
+    """The validated contracts with their indices; kept like the parsed ones."""
+    return kept(spark, sf_dir, "validated contracts", lambda: validate(parsed(spark, sf_dir)))
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,8 +264,8 @@ PLAIN: dict[str, tuple[Query, str | None]] = {
 
 def queries() -> dict[str, Query]:
     rules = {name: rule_query(sql.split("'")[1]) for name, sql in EXPECTED.items()}
-    return {name: q for name, (q, _) in PLAIN.items()} | rules
+    return {name: q for name, (q, _) in PLAIN.items()} | rules | case_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in PLAIN.items() if sql} | EXPECTED
+    return {name: sql for name, (_, sql) in PLAIN.items() if sql} | EXPECTED | case_queries.oracle_sql()
