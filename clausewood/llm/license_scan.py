@@ -223,9 +223,9 @@ places AS (SELECT r, label, unnest(range(0, len(words))) AS i, phrase, words FRO
 base AS (SELECT r, i, label FROM places WHERE array_to_string(words[i + 1 : i + len(string_split(phrase, ' '))], ' ') = phrase),
 based AS (SELECT r, count(*) AS n, min(i) AS lo, max(i) AS hi, list_distinct(list(label)) AS ls FROM base GROUP BY r),
 tpl(k, label, ws, need, size) AS (VALUES {rows}),
-some AS MATERIALIZED (SELECT r, label, ws, need, size, words FROM w, tpl WHERE len(list_filter(ws, lambda x: list_contains(words, x))) >= need),
+met AS MATERIALIZED (SELECT r, label, ws, need, size, words FROM w, tpl WHERE len(list_filter(ws, lambda x: list_contains(words, x))) >= need),
 best AS (SELECT r, label, ws, need, list_max(list_transform(list_filter(range(1, len(words) + 1), lambda s: list_contains(ws, words[s])),
-  lambda s: len(list_filter(ws, lambda x: list_contains(words[s : s + size - 1], x))))) AS n FROM some),
+  lambda s: len(list_filter(ws, lambda x: list_contains(words[s : s + size - 1], x))))) AS n FROM met),
 hit AS (SELECT r, label, n / len(ws) AS c FROM best WHERE n >= need),
 hits AS (SELECT r, list_distinct(list(label)) AS ls, max(c) AS c FROM hit GROUP BY r)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word,
