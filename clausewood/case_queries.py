@@ -53,12 +53,13 @@ def filled(rows: list[tuple[Value, ...]], columns: str, key: str) -> str:
     """SELECT list of the columns of VALUES rows, texts with the key filled in."""
     out = []
     for name, value in zip(columns.split(), rows[0], strict=True):
-        out.append(f"replace({name}, '{KEY}', {key}::VARCHAR) AS {name}" if isinstance(value, str) else f"{name}::INT AS {name}" if isinstance(value, int) and not isinstance(value, bool) else name)
+        own = f'"{name}"'
+        out.append(f"replace({own}, '{KEY}', {key}::VARCHAR) AS {own}" if isinstance(value, str) else f"{own}::INT AS {own}" if isinstance(value, int) and not isinstance(value, bool) else own)
     return ", ".join(out)
 
 
 def values(rows: list[tuple[Value, ...]], columns: str) -> str:
-    return "(VALUES " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows) + f") v({', '.join(columns.split())})"
+    return "(VALUES " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows) + ") v(" + ", ".join(f'"{c}"' for c in columns.split()) + ")"
 
 
 def of_cases(rows: list[tuple[Value, ...]], columns: str) -> str:
@@ -169,7 +170,7 @@ def section_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed(spark, sf_dir).select("doc_id", F.posexplode("sections").alias("pos", "s")).select("doc_id", "pos", "s.title", "s.level", "s.identifier")
 
 
-@query("p1_split_frontmatter", f"""SELECT o_orderkey AS doc_id, o_orderkey % {PLACES} = {NUMBERS['numbers']} AS deep, chr(10) || '# Terms {{#terms}}' AS start FROM orders""")
+@query("p1_split_frontmatter", f"""SELECT o_orderkey AS doc_id, o_orderkey % {PLACES} = {NUMBERS['numbers']} AS deep, '# Terms {{#terms}}' || chr(10) AS start FROM orders""")
 def split(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clausewood.operators.frontmatter import split_frontmatter
 
@@ -202,7 +203,7 @@ def kinds_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ITEMS = [
     ("kinds", 1, 0, "one {{term: alpha}} more"), ("kinds", 1, 1, "two"), ("kinds", 2, 0, "first"), ("kinds", 2, 1, "second"), ("bad anchor", 0, 0, "Item {#Bad@K}"), ("anchor twice", 0, 0, "Item {#x-@K}"),
-    ("anchor twice", 0, 1, "Other {#terms}"), ("lists", 1, 0, "One {#item} two -"), ("lists", 1, 1, "three"), ("lists", 2, 0, "a"), ("lists", 2, 1, "b"),
+    ("anchor twice", 0, 1, "Other {#terms}"), ("lists", 1, 0, "One two {#item}"), ("lists", 1, 1, "three"), ("lists", 2, 0, "a"), ("lists", 2, 1, "b"),
 ]
 
 
@@ -262,7 +263,7 @@ def definition_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.definition_lookup(validated(spark, sf_dir)).select("doc_id", "id", "term")
 
 
-@query("i12_placeholders", of_cases([("structural", "s", "text", ""), ("placeholders", "Bad@K", "text", ""), ("placeholders", "a", "x@K", ""), ("placeholders", "b", "money", "ZZZ"), ("placeholders", "c", "text", ""), ("placeholders", "c", "date", "")][1:], "id type currency"))
+@query("i12_placeholders", of_cases([("placeholders", "Bad@K", "text", ""), ("placeholders", "a", "x@K", ""), ("placeholders", "b", "money", "ZZZ"), ("placeholders", "c", "text", ""), ("placeholders", "c", "date", "")], "id type currency"))
 def placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.exploded(validated(spark, sf_dir), "placeholders").select("doc_id", "id", "type", "currency")
 

@@ -184,7 +184,7 @@ CASES: dict[str, Case] = {
         ("note-invalid", E, "Note parameter must not contain commas or closing braces."), ("note-invalid", E, "Note parameter must be plain text without Markdown formatting."),
     )),
     "literals": Case("Write `{{nope: @K}}` or <!-- {{trem: x}} --> {{oops: @K}}.", found=(("directive-unknown", E, "Unknown directive '{{oops:}}'. Renderers replace it with [UNKNOWN DIRECTIVE: oops] (§11.5)."),)),
-    "lists": Case("{{ref: item}} {{ref: terms.part}}\n\n- One {#item}\n  two\n-\n- three\n\n2. a\n1. b\n\n## Part {#part}\n\n| one line |"),
+    "lists": Case("{{ref: item}} {{ref: terms.part}}\n\n- One\n  two {#item}\n- three\n\n2. a\n1. b\n\n## Part {#part}\n\n| one line |"),
 }
 #: A prime, so that keys of any pattern meet every case; keys of the places left over are clean.
 PLACES = 67
