@@ -67,7 +67,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     same = np.zeros(len(rows), dtype=bool)
     same[1:] = rows[1:] == rows[:-1]
     again = np.zeros(len(words), np.uint64)
-    again[1:] = words[1:] == words[:-1]
+    again[1:] = (words[1:] == words[:-1]) & same[1:]
     for kind, x in ((1, words), (3, shapes + again)):
         before = np.zeros(len(x), np.uint64)
         before[1:] = x[:-1]
