@@ -1,22 +1,23 @@
 """Command line: ``python -m clausewood.cli validate PATH...``.
 
 Directories are searched for markup files by one Spark scan, named files are read
-whatever their extension. Diagnostics are made on the executors; the report that is
-printed is what reaches the driver, row by row.
+whatever their extension. Diagnostics are made and counted on the executors; the report
+reaches the driver a partition at a time and is printed as it comes.
 """
 
 from __future__ import annotations
 
 import argparse
-import json
 import sys
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from clausewood import engine
 from clausewood.plans import report
-from clausewood.plans.messages import LEVELS, SPEC_VERSION, VALIDATOR_VERSION
+from clausewood.plans.messages import SPEC_VERSION, VALIDATOR_VERSION
 from clausewood.sources import readers
 
 
@@ -35,38 +36,48 @@ def sources(spark: SparkSession, paths: list[str]) -> tuple[DataFrame | None, li
     return found, failures
 
 
+def written(found: DataFrame, form: str) -> Iterator[str]:
+    """The report's text, piece by piece: its rows come from the executors one partition after another."""
+    if form == "json":
+        yield from report.json_report(r.asDict() for r in found.select("file", "rule", "level", "message").toLocalIterator())
+    else:
+        yield from (f"{r.line}\n" for r in report.text_lines(found).toLocalIterator())
+
+
 def validate(spark: SparkSession, args: argparse.Namespace) -> int:
     rows, failures = sources(spark, args.paths)
-    listed: list[dict[str, str]] = []
-    if rows is not None:
-        rows = rows.persist()
-        failures += [f"cannot read {r.file}: not UTF-8" for r in rows.where("NOT readable").select("file").toLocalIterator()]
-        found = report.report(report.diagnostics(engine.check(rows.where("readable"))), args.ignore or (), args.warnings_as_errors)
-        listed = [r.asDict() for r in found.select("file", "rule", "level", "message").toLocalIterator()]
-        rows.unpersist()
-    totals = {level: sum(d["level"] == level for d in listed) for level in LEVELS}
-    if args.format == "json":
-        print(json.dumps(report.json_document(listed), indent=2))
-    else:
-        for d in listed:
-            print(f"{d['file']}: {d['level']}: [{d['rule']}] {d['message']}")
-        if not args.quiet:
-            print(("\n" if listed else "") + report.summary(totals), file=sys.stderr)
-    for failure in failures:
-        print(f"error: {failure}", file=sys.stderr)
+    if rows is None:
+        rows = readers.from_rows(spark, []).withColumn("readable", F.lit(True))
+    rows = rows.persist()
+    failures += [f"cannot read {r.file}: not UTF-8" for r in rows.where("NOT readable").select("file").toLocalIterator()]
+    found = report.report(report.diagnostics(engine.check(rows.where("readable"))), args.ignore or (), args.warnings_as_errors).persist()
+    totals = report.counts(found).first().asDict()
+    sys.stdout.writelines(written(found, args.format))
+    found.unpersist()
+    rows.unpersist()
+    if args.format == "text" and not args.quiet:
+        sys.stderr.write(("\n" if any(totals.values()) else "") + report.summary(totals) + "\n")
+    sys.stderr.writelines(f"error: {failure}\n" for failure in failures)
     return report.exit_code(len(failures), totals, args.strict)
 
 
+# The options of the command line.
+OPTIONS: dict[str, dict] = {
+    "--quiet": {"action": "store_true", "help": "no summary"},
+    "--strict": {"action": "store_true", "help": "any diagnostic makes the exit code 1"},
+    "--warnings-as-errors": {"action": "store_true", "help": "report warnings as errors"},
+    "--ignore": {"action": "append", "metavar": "RULE", "help": "leave out a rule (can be repeated)"},
+    "--format": {"choices": ("text", "json"), "default": "text", "help": "form of the report"},
+}
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="clausewood", description=f"Validator of marked-up legal documents (format {SPEC_VERSION}).")
     top.add_argument("--version", action="version", version=f"clausewood {VALIDATOR_VERSION}")
     command = top.add_subparsers(dest="command", required=True).add_parser("validate", help="validate documents")
+    for name, how in OPTIONS.items():
+        command.add_argument(name, **how)
     command.add_argument("paths", nargs="+", help="files, or directories to search")
-    command.add_argument("--format", choices=("text", "json"), default="text", help="form of the report")
-    command.add_argument("--ignore", action="append", metavar="RULE", help="leave out a rule (can be repeated)")
-    command.add_argument("--warnings-as-errors", action="store_true", help="report warnings as errors")
-    command.add_argument("--strict", action="store_true", help="any diagnostic makes the exit code 1")
-    command.add_argument("--quiet", action="store_true", help="no summary")
     return top
 
 

@@ -74,26 +74,18 @@ PARTY_TYPES = ("legal_entity", "natural_person")
 DURATION_UNITS = ("S", "MIN", "H", "D", "W", "MO", "Y")
 PLACEHOLDER_TYPES = ("text", "date", "money")
 MARKUP_EXTENSIONS = (".lgd", ".legaldown", ".legal.md")
-CURRENCIES = tuple(
-    """
-    AED AFN ALL AMD ANG AOA ARS AUD AWG AZN
-    BAM BBD BDT BGN BHD BIF BMD BND BOB BRL
-    BSD BTN BWP BYN BZD CAD CDF CHF CLP CNY
-    COP CRC CUP CVE CZK DJF DKK DOP DZD EGP
-    ERN ETB EUR FJD FKP GBP GEL GHS GIP GMD
-    GNF GTQ GYD HKD HNL HRK HTG HUF IDR ILS
-    INR IQD IRR ISK JMD JOD JPY KES KGS KHR
-    KMF KPW KRW KWD KYD KZT LAK LBP LKR LRD
-    LSL LYD MAD MDL MGA MKD MMK MNT MOP MRU
-    MUR MVR MWK MXN MYR MZN NAD NGN NIO NOK
-    NPR NZD OMR PAB PEN PGK PHP PKR PLN PYG
-    QAR RON RSD RUB RWF SAR SBD SCR SDG SEK
-    SGD SHP SLE SOS SRD SSP STN SVC SYP SZL
-    THB TJS TMT TND TOP TRY TTD TWD TZS UAH
-    UGX USD UYU UZS VES VND VUV WST XAF XCD
-    XOF XPF YER ZAR ZMW ZWL
-    """.split()
-)
+CURRENCIES = (
+    "AED", "AFN", "ALL", "AMD", "ANG", "AOA", "ARS", "AUD", "AWG", "AZN", "BAM", "BBD", "BDT", "BGN", "BHD", "BIF",
+    "BMD", "BND", "BOB", "BRL", "BSD", "BTN", "BWP", "BYN", "BZD", "CAD", "CDF", "CHF", "CLP", "CNY", "COP", "CRC",
+    "CUP", "CVE", "CZK", "DJF", "DKK", "DOP", "DZD", "EGP", "ERN", "ETB", "EUR", "FJD", "FKP", "GBP", "GEL", "GHS",
+    "GIP", "GMD", "GNF", "GTQ", "GYD", "HKD", "HNL", "HRK", "HTG", "HUF", "IDR", "ILS", "INR", "IQD", "IRR", "ISK",
+    "JMD", "JOD", "JPY", "KES", "KGS", "KHR", "KMF", "KPW", "KRW", "KWD", "KYD", "KZT", "LAK", "LBP", "LKR", "LRD",
+    "LSL", "LYD", "MAD", "MDL", "MGA", "MKD", "MMK", "MNT", "MOP", "MRU", "MUR", "MVR", "MWK", "MXN", "MYR", "MZN",
+    "NAD", "NGN", "NIO", "NOK", "NPR", "NZD", "OMR", "PAB", "PEN", "PGK", "PHP", "PKR", "PLN", "PYG", "QAR", "RON",
+    "RSD", "RUB", "RWF", "SAR", "SBD", "SCR", "SDG", "SEK", "SGD", "SHP", "SLE", "SOS", "SRD", "SSP", "STN", "SVC",
+    "SYP", "SZL", "THB", "TJS", "TMT", "TND", "TOP", "TRY", "TTD", "TWD", "TZS", "UAH", "UGX", "USD", "UYU", "UZS",
+    "VES", "VND", "VUV", "WST", "XAF", "XCD", "XOF", "XPF", "YER", "ZAR", "ZMW", "ZWL",
+)
 
 # ---------------------------------------------------------------- derived patterns
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import json
+import textwrap
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,9 +69,15 @@ def json_lines(found: DataFrame) -> DataFrame:
     return found.select(F.to_json(F.struct("file", "rule", "level", "message")).alias("line"))
 
 
-def json_document(rows: list[dict[str, str]]) -> dict:
-    """The one-document JSON report of collected rows."""
-    return {"legaldown_spec": SPEC_VERSION, "validator_version": VALIDATOR_VERSION, "diagnostics": rows}
+def json_report(rows: Iterable[dict[str, str]]) -> Iterator[str]:
+    """The parts of the one JSON report over all rows, which need not be held at once."""
+    head = json.dumps({"legaldown_spec": SPEC_VERSION, "validator_version": VALIDATOR_VERSION}, indent=2)
+    yield head.removesuffix("\n}") + ',\n  "diagnostics": ['
+    empty = True
+    for row in rows:
+        yield ("\n" if empty else ",\n") + textwrap.indent(json.dumps(row, indent=2), "    ")
+        empty = False
+    yield "]\n}\n" if empty else "\n  ]\n}\n"
 
 
 def summary(totals: dict[str, int]) -> str:

@@ -1,6 +1,7 @@
 """Parsing, scalars, serializing, reports, the command line and streams."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -205,3 +206,14 @@ def test_stream(spark, folder, tmp_path):
     query = found.writeStream.format("memory").queryName("found").outputMode("append").option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert {r.rule for r in spark.sql("SELECT rule FROM found").collect()} == {"ref-broken", "money-missing-currency", "frontmatter-invalid-yaml"}
+
+
+def test_validation_is_no_power_of_the_size(spark):
+    """5,000 sections, each with a definition, a reference and a term, in one row."""
+    part = "## Part {#p%d}\n\n\"Term %d\" {{def: t%d}} is {{money: %d, currency=USD}}.\n\nSee {{ref: p%d}} and {{term: t%d}}.\n"
+    source = BASE + "\n".join(part % (i, i, i, i, max(i - 1, 0), i) for i in range(5_000)) + "\n\nSee {{ref: gone}}."
+    engine.check(rows(spark, BASE)).select("diagnostics").collect()  # plans are built before the clock starts
+    began = time.time()
+    (row,) = engine.check(rows(spark, source)).select("diagnostics", F.size("section_index").alias("n"), F.size("definition_lookup").alias("terms")).collect()
+    assert [d.message for d in row.diagnostics] == ["Broken section reference: 'gone'."] and (row.n, row.terms) == (5_001, 5_000)
+    assert time.time() - began < 30
