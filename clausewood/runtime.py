@@ -11,17 +11,18 @@ from pyspark.sql import SparkSession
 _shipped: dict[str, str] = {}
 
 
-#: Rows that go to a Python worker at once where the session leaves Spark's own default, which long texts make too large.
-ARROW_ROWS, ARROW_DEFAULT = "1000", "10000"
+#: Rows and bytes that go to a Python worker at once, where the application sets neither: Spark's own make batches of long texts too large.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "250", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that Python functions unpickle wherever the driver started."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_DEFAULT) == ARROW_DEFAULT:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
+    for name, value in BATCHES.items():
+        if context.getConf().get(name) is None:
+            spark.conf.set(name, value)
     root = Path(__file__).resolve().parent
     path = Path(tempfile.mkdtemp(prefix="clausewood-")) / "clausewood_package.zip"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
