@@ -62,8 +62,8 @@ COUNTERS = 1 << 15
 BROADCAST_IDS = 1_000_000
 #: Rows of a column that stand under one salt.
 SALT_ROWS = 512
-#: Rows beyond which a column is put last, and how often the order is mended so.
-HOT_ROWS, MENDS = 512, 2
+#: Rows beyond which a column is put last.
+HOT_ROWS = 512
 #: A row block has about so many bytes of sets and rows at most; there are ROW_BLOCKS at least.
 BLOCK_BYTES, BLOCK_ROWS, ROW_BLOCKS = 1 << 24, 1 << 18, 16
 #: Column blocks of a cell, and entries that are looked up at once.
@@ -253,29 +253,38 @@ def whole_sets(docs: DataFrame, chosen: DataFrame, width: int, id_col: str, text
     return sets_of(docs, chosen, width, id_col, text_col).mapInArrow(run, "node long, shingles binary")
 
 
-def mended(docs: DataFrame, classes: DataFrame, seen: tuple[np.ndarray, np.ndarray], width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
-    """The classes with their hot columns put last, and ``seen`` with those; both as they were if none is hot."""
-    entries = classes.select("node", F.explode("prefix").alias("shingle"))
-    hot = collected(entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("seen")).where(F.col("seen") > HOT_ROWS))
+def entries_of(classes: DataFrame) -> DataFrame:
+    return classes.select("node", "n", F.posexplode("prefix").alias("at", "shingle"))
+
+
+def crowded_columns(classes: DataFrame) -> DataFrame:
+    """(shingle, seen) of the columns that more than one class begins with."""
+    return materialize(classes.select(F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1"))
+
+
+def mended(docs: DataFrame, classes: DataFrame, crowded: DataFrame, seen: tuple[np.ndarray, np.ndarray], width: int, percent: int, id_col: str, text_col: str) -> DataFrame | None:
+    """The classes with their hot columns put last, or None if none is hot. Only classes that begin with one are made anew."""
+    hot = collected(crowded.where(F.col("seen") > HOT_ROWS))
     new = ~np.isin(hot[0], seen[0])
     if not new.any():
-        return classes, seen
-    items, counts = (np.concatenate([x, y[new]]) for x, y in zip(seen, hot, strict=True))
+        return None
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(ranked(items, counts))
-    columns = spark.createDataFrame(pa.table({"shingle": hot[0][new].view(np.int64)}))
-    moved = materialize(entries.join(F.broadcast(columns), "shingle", "left_semi").select("node").distinct())
+    shared = spark.sparkContext.broadcast(ranked(*(np.concatenate([x, y[new]]) for x, y in zip(seen, hot, strict=True))))
+    columns = F.broadcast(spark.createDataFrame(pa.table({"shingle": hot[0][new].view(np.int64)})))
+    moved = materialize(entries_of(classes).join(columns, "shingle", "left_semi").select("node").distinct())
+    hint = F.broadcast if moved.count() <= BROADCAST_IDS else (lambda df: df)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in slices(batch, "text"):
                 h, cuts = shingle_sets(*word_hashes(data, offsets), part.num_rows, width)
-                yield pa.RecordBatch.from_arrays([part.column(0), prefixes(h, cuts, shared.value, percent)], ["node", "other"])
+                yield pa.RecordBatch.from_arrays([part.column(0), prefixes(h, cuts, shared.value, percent)], ["node", "prefix"])
 
-    named = classes.join(moved, "node").select("node", "id", "key")
-    found = sets_of(docs, named, width, id_col, text_col).mapInArrow(run, "node long, other array<long>").dropDuplicates(["node"])
-    return materialize(classes.join(found, "node", "left").withColumn("prefix", F.coalesce("other", "prefix")).drop("other")), (items, counts)
+    named = classes.join(hint(moved), "node", "left_semi")
+    found = sets_of(docs, named.select("node", "id", "key"), width, id_col, text_col).mapInArrow(run, "node long, prefix array<long>").dropDuplicates(["node"])
+    again = named.drop("prefix").join(found, "node").select(*classes.columns)
+    return materialize(classes.join(hint(moved), "node", "left_anti").unionByName(again))
 
 
 # ---------------------------------------------------------------- the product
@@ -384,16 +393,12 @@ def prepared(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
     known = rows.where(F.col("id").isNotNull() & (F.col("n") > 0))
     classes = known.groupBy("n", "sig_a", "sig_b").agg(F.min(F.struct("id", "key", "prefix", "bits")).alias("least"))
     classes = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "n", "sig_a", "sig_b", "least.id", "least.key", "least.prefix", "least.bits"))
-    for _ in range(MENDS):
-        known_before = len(seen[0])
-        classes, seen = mended(docs, classes, seen, width, percent, id_col, text_col)
-        if len(seen[0]) == known_before:
-            break
-    entries = classes.select("node", "n", F.posexplode("prefix").alias("at", "shingle"))
-    crowded = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("shingle")
+    crowded = crowded_columns(classes)
+    if (changed := mended(docs, classes, crowded, seen, width, percent, id_col, text_col)) is not None:
+        classes, crowded = changed, crowded_columns(changed)
     # Sizes over the bound differ by one class at most; at 100 percent they are equal.
     size_class = F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int") if percent < 100 else F.col("n").cast("int")
-    return rows, classes, materialize(entries.join(crowded, "shingle").withColumn("class", size_class))
+    return rows, classes, materialize(entries_of(classes).join(crowded.select("shingle"), "shingle").withColumn("class", size_class))
 
 
 def candidates(shared: DataFrame, percent: int) -> DataFrame:

@@ -48,12 +48,12 @@ BLANK = "▁"
 #: Groups this far below the best can't win: a draw's spread is under 42.
 SPREAD = 90.0
 #: Bytes of text whose lattices are held at once; a lattice takes about a hundred times its text.
-LATTICE_BYTES = 1 << 18
+LATTICE_BYTES = 1 << 17
 #: Edges of lattices that a worker keeps for the slices to come: those of the parts it met first.
-KEPT_EDGES = 700_000
+KEPT_EDGES = 500_000
 #: Steps of a path that are looked at before the whole path is.
 HEAD = 256
-SLOT_BITS = 21
+SLOT_BITS = 19
 
 
 class Pieces:
