@@ -9,10 +9,7 @@ give. The product is only formed where it can matter:
    documents names the frequent ones, which come last, by their counts; the rest
    stand in the order of their hashes. Any order gives the same links.
 3. Of a row of n shingles only the first n - ceil(t n) + 1 columns can be the first
-   that it shares with another row over the bound. Columns that more than HOT_ROWS
-   rows have among those are put last, too, by their exact counts, and their rows
-   take other columns: so a passage that many documents share doesn't bring
-   together documents that share nothing else.
+   that it shares with another row over the bound; the others stay out.
 4. Rows that meet in one of those columns are pairs to be counted. Columns are blocked
    by size class and dealt over salts by their number of rows; a size bound and a
    positional bound discard pairs at once, a parity bitmap (one bit per shingle or
@@ -62,8 +59,6 @@ COUNTERS = 1 << 15
 BROADCAST_IDS = 1_000_000
 #: Rows of a column that stand under one salt.
 SALT_ROWS = 512
-#: Rows beyond which a column is put last.
-HOT_ROWS = 512
 #: A row block has about so many bytes of sets and rows at most; there are ROW_BLOCKS at least.
 BLOCK_BYTES, BLOCK_ROWS, ROW_BLOCKS = 1 << 24, 1 << 18, 16
 #: Column blocks of a cell, and entries that are looked up at once.
@@ -262,31 +257,6 @@ def crowded_columns(classes: DataFrame) -> DataFrame:
     return materialize(classes.select(F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1"))
 
 
-def mended(docs: DataFrame, classes: DataFrame, crowded: DataFrame, seen: tuple[np.ndarray, np.ndarray], width: int, percent: int, id_col: str, text_col: str) -> DataFrame | None:
-    """The classes with their hot columns put last, or None if none is hot. Only classes that begin with one are made anew."""
-    hot = collected(crowded.where(F.col("seen") > HOT_ROWS))
-    new = ~np.isin(hot[0], seen[0])
-    if not new.any():
-        return None
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(ranked(*(np.concatenate([x, y[new]]) for x, y in zip(seen, hot, strict=True))))
-    columns = F.broadcast(spark.createDataFrame(pa.table({"shingle": hot[0][new].view(np.int64)})))
-    moved = materialize(entries_of(classes).join(columns, "shingle", "left_semi").select("node").distinct())
-    hint = F.broadcast if moved.count() <= BROADCAST_IDS else (lambda df: df)
-
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data, offsets in slices(batch, "text"):
-                h, cuts = shingle_sets(*word_hashes(data, offsets), part.num_rows, width)
-                yield pa.RecordBatch.from_arrays([part.column(0), prefixes(h, cuts, shared.value, percent)], ["node", "prefix"])
-
-    named = classes.join(hint(moved), "node", "left_semi")
-    found = sets_of(docs, named.select("node", "id", "key"), width, id_col, text_col).mapInArrow(run, "node long, prefix array<long>").dropDuplicates(["node"])
-    again = named.drop("prefix").join(found, "node").select(*classes.columns)
-    return materialize(classes.join(hint(moved), "node", "left_anti").unionByName(again))
-
-
 # ---------------------------------------------------------------- the product
 
 
@@ -394,8 +364,6 @@ def prepared(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
     classes = known.groupBy("n", "sig_a", "sig_b").agg(F.min(F.struct("id", "key", "prefix", "bits")).alias("least"))
     classes = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "n", "sig_a", "sig_b", "least.id", "least.key", "least.prefix", "least.bits"))
     crowded = crowded_columns(classes)
-    if (changed := mended(docs, classes, crowded, seen, width, percent, id_col, text_col)) is not None:
-        classes, crowded = changed, crowded_columns(changed)
     # Sizes over the bound differ by one class at most; at 100 percent they are equal.
     size_class = F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int") if percent < 100 else F.col("n").cast("int")
     return rows, classes, materialize(entries_of(classes).join(crowded.select("shingle"), "shingle").withColumn("class", size_class))

@@ -35,20 +35,6 @@ def test_join_at_100_percent_and_one_id_with_two_texts(spark):
     assert got == [(1, 3, 1, 1), (2, 3, 1, 1), (3, 3, 0, 3), (4, 1, 0, 4), (4, 4, 0, 4)]
 
 
-def test_hot_columns_are_put_last(spark, monkeypatch):
-    """Many documents share a passage and nothing else: they must not meet in its columns."""
-    monkeypatch.setattr(ngram_join, "HOT_ROWS", 10)
-    rng = random.Random(2)
-    passage = " ".join(f"p{i}" for i in range(12))
-    rows = [(i, f"{passage} " + " ".join(f"u{i}-{rng.randrange(10**9)}" for _ in range(24))) for i in range(60)] + corpus(12, 60)
-    rows = [(i, t) for i, (_, t) in enumerate(rows)]
-    docs = dedup_frame(spark, rows)
-    _, classes, shared = ngram_join.prepared(docs, 4, 85, "doc_id", "text")
-    assert shared.join(classes.where("id < 60").select("node"), "node").count() == 0
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join_links(docs, 4, 85).collect()}
-    assert got == brute_components(rows, 4, 85)
-
-
 def test_cell_counts_and_discards():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1)) for n in (5, 40, 400, 1)]
