@@ -54,7 +54,7 @@ from clausewood.llm.components import components
 from clausewood.runtime import ship
 
 #: Counters of the frequent-shingle summary, for a task and in all.
-COUNTERS = 1 << 15
+COUNTERS = 1 << 18
 #: Rows up to which a filter on ids is broadcast (some 16 bytes each); beyond, it is a shuffled join.
 BROADCAST_IDS = 1_000_000
 #: Rows of a column that stand under one salt.
@@ -100,8 +100,15 @@ def ranked(items: np.ndarray, seen: np.ndarray) -> Order:
 
 
 def collected(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The COUNTERS most frequent rows of (shingle, seen)."""
-    top = found.orderBy(F.desc("seen"), "shingle").limit(COUNTERS).toArrow()
+    """The most frequent rows of (shingle, seen): whole powers of two of ``seen``, as many as have COUNTERS rows at most. No task gets them all."""
+    found = materialize(found.withColumn("level", F.floor(F.log2("seen")).cast("int")))
+    least, total = 64, 0
+    for level, rows in sorted(((r["level"], r["count"]) for r in found.groupBy("level").count().collect()), reverse=True):
+        total += rows
+        if total > COUNTERS:
+            break
+        least = level
+    top = found.where(F.col("level") >= least).select("shingle", "seen").toArrow()
     return top.column("shingle").to_numpy().astype(np.int64).view(np.uint64), top.column("seen").to_numpy().astype(np.int64)
 
 

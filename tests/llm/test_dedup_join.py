@@ -142,6 +142,14 @@ def test_frequent_items_keep_every_frequent_one():
     assert len(summary.items) <= 64 and set(range(20_000, 20_005)) <= set(summary.items.tolist())
 
 
+def test_frequent_items_of_a_large_task_are_kept():
+    """Tens of thousands of shingles that some documents share don't push each other out, so such columns come last."""
+    summary = ngram_join.FrequentItems()
+    for _ in range(4):
+        summary.add(np.arange(60_000, dtype=np.uint64))
+    assert len(summary.items) == 60_000 and (summary.counts == 4).all()
+
+
 def test_every_link_is_found_and_counted(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "SALT_ROWS", 8)
     base = [f"b{i}" for i in range(80)]
