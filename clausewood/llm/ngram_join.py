@@ -15,10 +15,14 @@ give. The product is only formed where it can matter:
    positional bound discard pairs at once, a parity bitmap (one bit per shingle or
    fewer; bits that differ are a lower bound of the shingles that do) most others.
 5. The product itself: rows are dealt into row blocks, the cells are pairs of row
-   blocks, and a cell gets each of its rows' whole sets once, however many pairs they
-   stand in. Within a cell overlap counts are accumulated over one block of columns
+   blocks, and a cell gets each of its rows' bitmaps, then whole sets, once, however
+   many pairs they stand in; no pair is joined to either. Pairs that the bitmaps leave
+   go on as a list of each row's others. Within a cell overlap counts are accumulated over one block of columns
    after another; a pair is discarded as soon as its count and the columns left to
    its smaller rest can't reach the bound of its sizes.
+6. A cell tells of each row how many documents it links with and the least row that
+   it is tied to, so a group of near copies gives a row per member and cell, not one
+   per link; only ``links``, whose result they are, writes pairs.
 
 ``links`` and ``join_links`` count every pair, so links inside a component are found,
 too. ``join_components`` alone, for ``keep_one``, needs no such count: in each column
@@ -41,7 +45,7 @@ further columns play no part, whatever their names.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +67,8 @@ SALT_ROWS = 512
 BLOCK_BYTES, BLOCK_ROWS, ROW_BLOCKS = 1 << 24, 1 << 18, 16
 #: Column blocks of a cell, and entries that are looked up at once.
 COLUMN_BITS, ENTRIES = 3, 1 << 20
+#: Pairs of a cell that are looked at together, and pairs whose bitmaps are compared at once.
+PAIRS, SLICE = 1 << 16, 1 << 11
 #: Bits of a shingle that a cell compares; the row stands above them.
 SHINGLE_BITS = 44
 
@@ -208,21 +214,6 @@ def differing_bits(left: pa.Array, right: pa.Array) -> np.ndarray:
     return out
 
 
-def not_too_different(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the pairs of nodes whose bitmaps don't rule them out."""
-
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total = batch.column(4).to_numpy() + batch.column(5).to_numpy()
-            differ = differing_bits(batch.column(2), batch.column(3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((100 + percent) * differ <= (100 - percent) * total))
-
-    both = pairs.join(classes.select(F.col("node").alias("a"), F.col("bits").alias("x"), F.col("n").alias("n1")), "a")
-    both = both.join(classes.select(F.col("node").alias("b"), F.col("bits").alias("y"), F.col("n").alias("n2")), "b")
-    return both.select("a", "b", "x", "y", "n1", "n2").mapInArrow(run, "a long, b long")
-
-
 def signature(h: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit digests of each row's set."""
     out = []
@@ -270,8 +261,9 @@ def crowded_columns(classes: DataFrame) -> DataFrame:
 class Cell:
     """The rows of a pair of row blocks, as sorted codes: the row's number above SHINGLE_BITS bits of a shingle."""
 
-    def __init__(self, nodes: np.ndarray, parts: list[pa.Array]) -> None:
+    def __init__(self, nodes: np.ndarray, parts: list[pa.Array], members: np.ndarray | None = None) -> None:
         nodes, first = np.unique(nodes, return_index=True)  # repeated rows come with equal sets
+        self.members = np.ones(len(nodes), np.int64) if members is None else members[first]
         held = [binary_parts(p) for p in parts]
         sets = np.concatenate([np.frombuffer(data[at[0] : at[-1]].tobytes(), np.uint64) for data, at in held]) if held else np.zeros(0, np.uint64)
         sizes = np.concatenate([np.diff(at) // 8 for _, at in held]) if held else np.zeros(0, np.int64)
@@ -314,46 +306,126 @@ class Cell:
         return np.where(out >= need, out, -1)
 
 
-def products(percent: int):
-    """A function over batches (cell, kind, a, b, shingles), sorted by cell and kind: a cell's sets (kind 0), then its pairs (kind 1)."""
+Batches = Iterator[pa.RecordBatch]
+
+
+def cells(batches: Batches) -> Iterator[tuple[int, list[pa.RecordBatch], list[pa.RecordBatch], bool]]:
+    """(cell, its rows, some of its pairs, whether they are its last) of batches (cell, kind, a, others, n, held), sorted by cell and kind: rows (kind 0), then pairs (kind 1)."""
+    now, held, pairs, size = None, [], [], 0
+    for batch in batches:
+        group = batch.column(0).to_numpy() * 2 + batch.column(1).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if hi == lo:
+                continue
+            part, own = batch.slice(lo, hi - lo), int(group[lo]) >> 1
+            if own != now:
+                if now is not None:
+                    yield now, held, pairs, True
+                now, held, pairs, size = own, [], [], 0
+            if not group[lo] & 1:
+                held.append(part)
+                continue
+            if size >= PAIRS:
+                yield now, held, pairs, False
+                pairs, size = [], 0
+            pairs.append(part)
+            size += len(part.column(3).flatten())
+    if now is not None:
+        yield now, held, pairs, True
+
+
+def ends_of(pairs: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """Both nodes of each pair."""
+    none = np.zeros(0, np.int64)
+    a = [np.repeat(p.column(2).to_numpy(), p.column(3).value_lengths().to_numpy()) for p in pairs]
+    return np.concatenate([none, *a]), np.concatenate([none, *(p.column(3).flatten().to_numpy() for p in pairs)])
+
+
+def not_too_different(percent: int) -> Callable[[Batches], Batches]:
+    """A function over the batches of ``cells``, whose rows hold bitmaps: (cell, kind, a, others) of the pairs that the bitmaps don't rule out and of the rows in them."""
 
     @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, nodes, sets, cell = None, [], [], None
-        for batch in batches:
-            group = batch.column(0).to_numpy() * 2 + batch.column(1).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if hi == lo:
-                    continue
-                part, own = batch.slice(lo, hi - lo), int(group[lo]) >> 1
-                if own != now:
-                    now, nodes, sets, cell = own, [], [], None
-                if not group[lo] & 1:
-                    nodes.append(part.column(2).to_numpy())
-                    sets.append(part.column(4))
-                    continue
-                if cell is None:
-                    cell = Cell(np.concatenate(nodes), sets)
-                    nodes, sets = [], []
-                a, b = (np.searchsorted(cell.nodes, part.column(i).to_numpy()) for i in (2, 3))
-                overlap = cell.overlaps(a, b, percent)
-                yield pa.RecordBatch.from_arrays([part.column(2), part.column(3), pa.array(overlap)], ["a", "b", "overlap"]).filter(pc.greater_equal(pa.array(overlap), 0))
+    def run(batches: Batches) -> Batches:
+        now, told = None, np.zeros(0, np.int64)
+        for cell, held, pairs, _ in cells(batches):
+            if cell != now:
+                now, told = cell, np.zeros(0, np.int64)
+            rows = pa.Table.from_batches(held).combine_chunks()
+            nodes, n, bits = rows.column(2).to_numpy(), rows.column(4).to_numpy(), pa.concat_arrays(rows.column(5).chunks)
+            by = np.argsort(nodes)
+            a, b = ends_of(pairs)
+            i, j = (by[np.searchsorted(nodes, x, sorter=by)] for x in (a, b))
+            differ = [differing_bits(bits.take(pa.array(i[k : k + SLICE])), bits.take(pa.array(j[k : k + SLICE]))) for k in range(0, len(a), SLICE)]
+            kept = (100 + percent) * np.concatenate([np.zeros(0, np.int64), *differ]) <= (100 - percent) * (n[i] + n[j])
+            a, b = a[kept], b[kept]
+            new = np.setdiff1d(np.concatenate([a, b]), told)
+            told = np.concatenate([told, new])
+            by = np.argsort(a, kind="stable")
+            own, first = np.unique(a[by], return_index=True)
+            cuts = np.concatenate([np.zeros(len(new) + 1, np.int64), np.append(first, len(a))[1:]]).astype(np.int32)
+            others = pa.ListArray.from_arrays(pa.array(cuts), pa.array(b[by]))
+            kind = np.repeat(np.array([0, 1], np.int32), [len(new), len(own)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kind), cell)), pa.array(kind), pa.array(np.concatenate([new, own])), others], ["cell", "kind", "a", "others"])
 
     return run
 
 
-def linked(pairs: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b, overlap) of the pairs of nodes whose overlap in the product reaches the bound."""
+def united(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels, each the least row of its component, after the links (a, b)."""
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            return label
+        label = label.copy()
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label != label[label]).any():
+            label = label[label]
+
+
+def products(percent: int, pairwise: bool) -> Callable[[Batches], Batches]:
+    """A function over the batches of ``cells``, whose rows hold sets and their number of documents: (a, b, overlap) of each link, or (node, root, near) of each linked row: the least row it is tied to and the documents it links with."""
+
+    @tidy
+    def run(batches: Batches) -> Batches:
+        now, cell = None, None
+        for own, held, pairs, last in cells(batches):
+            if own != now:
+                now, cell = own, Cell(*(np.concatenate([r.column(k).to_numpy() for r in held]) if k != 5 else [r.column(k) for r in held] for k in (2, 5, 4)))
+                label, near = np.arange(len(cell.nodes)), np.zeros(len(cell.nodes), np.int64)
+            a, b = (np.searchsorted(cell.nodes, x) for x in ends_of(pairs))
+            overlap = cell.overlaps(a, b, percent)
+            a, b, overlap = a[overlap >= 0], b[overlap >= 0], overlap[overlap >= 0]
+            if pairwise:
+                yield pa.RecordBatch.from_arrays([pa.array(cell.nodes[a]), pa.array(cell.nodes[b]), pa.array(overlap)], ["a", "b", "overlap"])
+                continue
+            label = united(label, a, b)
+            np.add.at(near, a, cell.members[b])
+            np.add.at(near, b, cell.members[a])
+            if last:
+                some = np.flatnonzero(near)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.nodes[some]), pa.array(cell.nodes[label[some]]), pa.array(near[some])], ["node", "root", "near"])
+
+    return run
+
+
+def in_cells(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows (cell, a, n, held) and pairs (cell, a, others), as the functions over cells want them."""
+    rows = rows.select("cell", F.lit(0).alias("kind"), "a", F.lit(None).cast("array<long>").alias("others"), "n", "held")
+    both = rows.unionByName(pairs.select("cell", F.lit(1).alias("kind"), "a", "others", F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("held")))
+    return both.repartition("cell").sortWithinPartitions("cell", "kind").select("cell", "kind", "a", "others", "n", "held")
+
+
+def close_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(cell, kind, a, others) of the pairs of nodes that bitmaps leave (kind 1), and of the rows that each cell needs for them (kind 0)."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     held = classes.join(ends, "node", "left_semi").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).first()
     blocks = max(ROW_BLOCKS, math.ceil((held["n"] or 0) * 8 / BLOCK_BYTES), math.ceil(held["rows"] / BLOCK_ROWS))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
     placed = pairs.withColumn("cell", block("a") * blocks + block("b"))
     wanted = placed.select("cell", F.col("a").alias("node")).union(placed.select("cell", "b")).distinct()
-    rows = wanted.join(sets, "node").select("cell", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(0).cast("long").alias("b"), "shingles")
-    both = rows.unionByName(placed.select("cell", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("shingles")))
-    return both.repartition("cell").sortWithinPartitions("cell", "kind").select("cell", "kind", "a", "b", "shingles").mapInArrow(products(percent), "a long, b long, overlap long")
+    rows = wanted.join(classes.select("node", "n", F.col("bits").alias("held")), "node").select("cell", F.col("node").alias("a"), "n", "held")
+    return in_cells(rows, placed.select("cell", "a", F.array("b").alias("others"))).mapInArrow(not_too_different(percent), "cell long, kind int, a long, others array<long>")
 
 
 def possible(n1: str, at1: str, n2: str, at2: str, percent: int) -> str:
@@ -389,18 +461,22 @@ def candidates(shared: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
 
 
-def counted(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b, overlap) of the pairs of nodes that link."""
-    close = materialize(not_too_different(pairs, classes, percent))
-    ends = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
+def counted(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, percent: int, id_col: str, text_col: str, members: DataFrame | None = None, pairwise: bool = False) -> DataFrame:
+    """(a, b, overlap) of the pairs of nodes that link, or (node, root, near) of the linked nodes of each cell; ``members`` (node, members) weighs what ``near`` counts."""
+    close = materialize(close_pairs(pairs, classes, percent))
+    wanted, left = close.where("kind = 0").select("cell", F.col("a").alias("node")), close.where("kind = 1")
+    ends = wanted.select("node").distinct()
     sets = materialize(whole_sets(docs, classes.join(ends, "node", "left_semi").select("node", "id", "key"), width, id_col, text_col))
-    return materialize(linked(close, sets, classes, percent))
+    rows = wanted.join(sets, "node")
+    rows = rows.withColumn("members", F.lit(1).cast("long")) if members is None else rows.join(members, "node")
+    rows = rows.select("cell", F.col("node").alias("a"), F.col("members").alias("n"), F.col("shingles").alias("held"))
+    return materialize(in_cells(rows, left).mapInArrow(products(percent, pairwise), "a long, b long, overlap long" if pairwise else "node long, root long, near long"))
 
 
 def links(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(a, b, overlap), a < b, of every linked pair of different sets; a set stands under the least id that has it."""
     _, classes, shared = prepared(docs, width, percent, id_col, text_col)
-    found = counted(docs, candidates(shared, percent), classes, width, percent, id_col, text_col)
+    found = counted(docs, materialize(candidates(shared, percent)), classes, width, percent, id_col, text_col, pairwise=True)
     for end in ("a", "b"):
         found = found.join(classes.select(F.col("node").alias(end), F.col("id").alias(f"id_{end}")), end)
     return found.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "overlap")
@@ -421,12 +497,12 @@ def join_links(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     those with the same set included; it is null where the component is.
     """
     rows, classes, shared = prepared(docs, width, percent, id_col, text_col)
-    found = counted(docs, candidates(shared, percent), classes, width, percent, id_col, text_col)
     key = ["n", "sig_a", "sig_b"]
     sizes = rows.where(F.col("id").isNotNull()).select(*key, "id").distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("members"))
-    of_class = placed_classes(classes.select("node", *key, "id"), found.select("a", "b")).join(sizes, key)
-    both = found.select("a", "b").union(found.select("b", "a"))
-    linked_to = both.join(of_class.select(F.col("node").alias("b"), "members"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("members").alias("others"))
+    named = materialize(classes.select("node", *key, "id").join(sizes, key))
+    found = counted(docs, materialize(candidates(shared, percent)), classes, width, percent, id_col, text_col, members=named.select("node", "members"))
+    of_class = placed_classes(named, found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    linked_to = found.groupBy("node").agg(F.sum("near").alias("others"))
     of_class = of_class.join(linked_to, "node", "left").select(*key, (F.col("members") + F.coalesce("others", F.lit(0))).alias("near"), "component_id")
     out = rows.select("id", *key).join(of_class, key, "left")
     empty = F.col("n") == 0
@@ -438,7 +514,6 @@ def join_links(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
 def spanning_links(docs: DataFrame, classes: DataFrame, shared: DataFrame, rounds: int, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(a, b) of enough links to join every component."""
     spark = docs.sparkSession
-    tested = spark.createDataFrame([], "a long, b long")
     edges = spark.createDataFrame([], "a long, b long")
     still = shared.withColumn("root", F.col("node"))
     for number in range(rounds + 1):
@@ -449,11 +524,11 @@ def spanning_links(docs: DataFrame, classes: DataFrame, shared: DataFrame, round
             pairs = met.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
         else:
             pairs = candidates(still, percent)
-        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
+        pairs = materialize(pairs)
         if pairs.isEmpty():
             continue
         new = counted(docs, pairs, classes, width, percent, id_col, text_col)
-        tested, edges = tested.union(pairs), edges.union(new.select("a", "b"))
+        edges = edges.union(new.select(F.col("node").alias("a"), F.col("root").alias("b")))
         if number < rounds:
             # Columns whose rows all belong to one component are done with.
             roots = materialize(components(edges))

@@ -167,3 +167,21 @@ def test_every_link_is_found_and_counted(spark, monkeypatch):
     got = {r.doc_id: (r.n_shingles, r.n_links, r.component_id) for r in ngram_join.join_links(frame(spark, rows), 4, 85).collect()}
     assert got == {i: (truth[i][0], sum(i in p for p in pairs), truth[i][1]) for i in sets}
     assert got[2000][1] >= 19
+
+
+@pytest.mark.parametrize("pairs", [1 << 16, 3])
+def test_a_group_gives_a_row_per_member_and_cell_not_per_link(spark, monkeypatch, pairs):
+    monkeypatch.setattr(ngram_join, "ROW_BLOCKS", 2)
+    monkeypatch.setattr(ngram_join, "PAIRS", pairs)
+    common = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*common, f"end{i}"])) for i in range(40)] + [(100 + i, f"only text {i} of its own kind") for i in range(5)]
+    _, classes, shared = ngram_join.prepared(frame(spark, rows), 4, 85, "doc_id", "text")
+    candidates = ngram_join.candidates(shared, 85)
+    assert candidates.count() == 40 * 39 // 2
+    close = ngram_join.close_pairs(candidates, classes, 85).collect()
+    assert sum(len(r.others) for r in close if r.kind == 1) == 40 * 39 // 2
+    assert len([r for r in close if r.kind == 1]) <= 2 * 40 and len([r for r in close if r.kind == 0]) <= 4 * 40
+    found = ngram_join.counted(frame(spark, rows), candidates, classes, 4, 85, "doc_id", "text").collect()
+    assert len(found) <= 4 * 40 and sum(r.near for r in found) == 40 * 39
+    got = {r.doc_id: (r.n_links, r.component_id) for r in ngram_join.join_links(frame(spark, rows), 4, 85).collect()}
+    assert got == {i: (39, 0) if i < 40 else (0, i) for i, _ in rows}
