@@ -11,7 +11,8 @@ give. The product is only formed where it can matter:
 3. Of a row of n shingles only the first n - ceil(t n) + 1 columns can be the first
    that it shares with another row over the bound; the others stay out.
 4. Rows that meet in one of those columns are pairs to be counted. Columns are blocked
-   by size class and dealt over salts by their number of rows; a size bound and a
+   by size class and dealt over salts by their number of rows; a column's rows meet
+   inside its task, which tells of each row a list of the others. A size bound and a
    positional bound discard pairs at once, a parity bitmap (one bit per shingle or
    fewer; bits that differ are a lower bound of the shingles that do) most others.
 5. The product itself: rows are dealt into row blocks, the cells are pairs of row
@@ -69,6 +70,8 @@ BLOCK_BYTES, BLOCK_ROWS, ROW_BLOCKS = 1 << 24, 1 << 18, 16
 COLUMN_BITS, ENTRIES = 3, 1 << 20
 #: Pairs of a cell that are looked at together, and pairs whose bitmaps are compared at once.
 PAIRS, SLICE = 1 << 16, 1 << 11
+#: Entries of columns, and pairs, that a task gathers before it says what met.
+GATHERED, MET = 1 << 17, 1 << 20
 #: Bits of a shingle that a cell compares; the row stands above them.
 SHINGLE_BITS = 44
 
@@ -416,16 +419,35 @@ def in_cells(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.repartition("cell").sortWithinPartitions("cell", "kind").select("cell", "kind", "a", "others", "n", "held")
 
 
+def placed(blocks: int) -> Callable[[Batches], Batches]:
+    """A function over (a, others), sorted by a: (cell, kind, a, others) of each cell's pairs, once, and of the rows that it needs for them."""
+    block = lambda x: (mix(x.view(np.uint64) + salt(3)) % np.uint64(blocks)).astype(np.int64)
+
+    @tidy
+    def run(batches: Batches) -> Batches:
+        for a, others in whole_groups(batches):
+            a, b = np.repeat(a, others.value_lengths().to_numpy()), others.flatten().to_numpy()
+            cell = block(a) * blocks + block(b)
+            first, own = listed_pairs(a, b, cell)
+            ends = np.unique(np.stack([np.concatenate([cell, cell]), np.concatenate([a, b])]), axis=1)
+            kind = np.repeat(np.array([0, 1], np.int32), [ends.shape[1], len(first)])
+            held = pa.concat_arrays([pa.nulls(ends.shape[1], own.type), own])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ends[0], cell[first]])), pa.array(kind), pa.array(np.concatenate([ends[1], a[first]])), held], ["cell", "kind", "a", "others"])
+
+    return run
+
+
 def close_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(cell, kind, a, others) of the pairs of nodes that bitmaps leave (kind 1), and of the rows that each cell needs for them (kind 0)."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    held = classes.join(ends, "node", "left_semi").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).first()
+    """(cell, kind, a, others) of the pairs of nodes that bitmaps leave (kind 1), and of the rows that each cell needs for them (kind 0); ``pairs``: (a, b), or (a, others) as ``gathered`` gives them."""
+    if "b" in pairs.columns:
+        none = F.array().cast("array<long>")
+        pairs = pairs.select("a", F.array("b").alias("others")).union(pairs.select("b", none))
+    held = classes.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).first()
     blocks = max(ROW_BLOCKS, math.ceil((held["n"] or 0) * 8 / BLOCK_BYTES), math.ceil(held["rows"] / BLOCK_ROWS))
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    placed = pairs.withColumn("cell", block("a") * blocks + block("b"))
-    wanted = placed.select("cell", F.col("a").alias("node")).union(placed.select("cell", "b")).distinct()
+    dealt = materialize(pairs.repartition("a").sortWithinPartitions("a").mapInArrow(placed(blocks), "cell long, kind int, a long, others array<long>"))
+    wanted = dealt.where("kind = 0").select("cell", F.col("a").alias("node")).distinct()
     rows = wanted.join(classes.select("node", "n", F.col("bits").alias("held")), "node").select("cell", F.col("node").alias("a"), "n", "held")
-    return in_cells(rows, placed.select("cell", "a", F.array("b").alias("others"))).mapInArrow(not_too_different(percent), "cell long, kind int, a long, others array<long>")
+    return in_cells(rows, dealt.where("kind = 1").select("cell", "a", "others")).mapInArrow(not_too_different(percent), "cell long, kind int, a long, others array<long>")
 
 
 def possible(n1: str, at1: str, n2: str, at2: str, percent: int) -> str:
@@ -448,17 +470,103 @@ def prepared(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
     return rows, classes, materialize(entries_of(classes).join(crowded.select("shingle"), "shingle").withColumn("class", size_class))
 
 
-def candidates(shared: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b, of every pair of classes that a column and the bounds leave, once; of different roots, if ``shared`` has them."""
+def listed_pairs(a: np.ndarray, b: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """Of distinct pairs: the places of the first of each ``a`` (and keys), sorted, and a list of its ``b``."""
+    by = np.lexsort((b, a, *keys))
+    columns = [c[by] for c in (*keys, a)]
+    new, again = np.ones(len(a), bool), np.zeros(len(a), bool)
+    if len(a):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+        again[1:] = ~new[1:] & (b[by][1:] == b[by][:-1])
+    by, new = by[~again], new[~again]
+    cuts = np.append(np.flatnonzero(new), len(by)).astype(np.int32)
+    return by[new], pa.ListArray.from_arrays(pa.array(cuts), pa.array(b[by]))
+
+
+def whole_groups(batches: Batches) -> Iterator[list[np.ndarray | pa.Array]]:
+    """The columns of many rows at once, sorted by the first; no group of equal ones is cut."""
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        last = batch.column(0).to_numpy()
+        if size >= GATHERED and (cut := int(np.searchsorted(last, last[-1]))):
+            held[-1] = batch.slice(0, cut)
+            yield _columns(held)
+            held, size = [batch.slice(cut)], batch.num_rows - cut
+    if held:
+        yield _columns(held)
+
+
+def _columns(batches: list[pa.RecordBatch]) -> list[np.ndarray | pa.Array]:
+    table = pa.Table.from_batches(batches).combine_chunks()
+    return [pa.concat_arrays(c.chunks) if pa.types.is_list(c.type) else c.to_numpy() for c in table.columns]
+
+
+def meeting(percent: int) -> Callable[[Batches], Batches]:
+    """A function over entries (key, side, up, node, n, at, root), sorted by key and side: (a, others) of the rows of both sides of a key that the bounds leave as pairs, and their other ends with no others."""
+
+    def said(met: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = np.concatenate([m[0] for m in met]), np.concatenate([m[1] for m in met])
+        first, others = listed_pairs(a, b)
+        ends = np.setdiff1d(b, a)
+        others = pa.concat_arrays([others, pa.array([[]] * len(ends), others.type)])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a[first], ends])), others], ["a", "others"])
+
+    @tidy
+    def run(batches: Batches) -> Batches:
+        for key, side, up, node, n, at, root in whole_groups(batches):
+            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            group = np.cumsum(np.append(True, key[1:] != key[:-1])) - 1
+            left = np.bincount(group, weights=1 - side).astype(np.int64)
+            right = np.diff(np.append(start, len(key))) - left
+            rows = np.flatnonzero(side == 0)
+            cuts = np.concatenate([[0], np.cumsum(right[group[rows]])])
+            met, size, begin = [], 0, 0
+            while begin < len(rows):
+                end = max(begin + 1, int(np.searchsorted(cuts, cuts[begin] + MET, side="right")) - 1)
+                own = rows[begin:end]
+                many = right[group[own]]
+                i = np.repeat(own, many)
+                j = np.arange(len(i)) - np.repeat(cuts[begin:end] - cuts[begin] - (start + left)[group[own]], many)
+                small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+                kept = ((up[j] > 0) & (node[i] != node[j]) | (node[i] < node[j])) & (root[i] != root[j])
+                kept &= (100 * small >= percent * large) & ((100 + percent) * np.minimum(n[i] - at[i], n[j] - at[j]) >= percent * (n[i] + n[j]))
+                i, j = node[i[kept]], node[j[kept]]
+                met.append((np.minimum(i, j), np.maximum(i, j)))
+                size, begin = size + len(i), end
+                if size >= MET:
+                    yield said(met)
+                    met, size = [], 0
+            if size:
+                yield said(met)
+
+    return run
+
+
+def gathered(shared: DataFrame, percent: int) -> DataFrame:
+    """(a, others) of the pairs of classes a < b that a column and the bounds leave, and a row with no others for each end; rows of one ``a`` can repeat, and pairs in them; of different roots, if ``shared`` has them.
+
+    Rows meet inside a task: a join would write a row for each column and pair.
+    """
     parts = shared.groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("parts"))
     each = shared if "root" in shared.columns else shared.withColumn("root", F.col("node"))
     each = each.join(parts, "shingle")
-    x = each.select("shingle", F.col("class").alias("block"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("salt"), F.col("node").alias("id1"), F.col("n").alias("n1"), F.col("at").alias("at1"), F.col("root").alias("r1"))
+    kept = ["node", "n", F.col("at").cast("long").alias("at"), "root"]
+    x = each.select("shingle", F.col("class").alias("block"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("salt"), F.lit(0).alias("side"), F.lit(0).alias("up"), *kept)
     # Sizes within the bound differ by one class at most, so the larger row comes to its own block and the one below.
-    y = each.select("shingle", "class", F.explode(F.array(F.col("class"), F.col("class") - 1)).alias("block"), "parts", F.col("node").alias("id2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("root").alias("r2"))
-    y = y.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    met = x.join(y, ["shingle", "block", "salt"]).where("(class > block AND id1 != id2 OR id1 < id2) AND r1 != r2").where(possible("n1", "at1", "n2", "at2", percent))
-    return met.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
+    y = each.select("shingle", F.explode(F.array(F.lit(0), F.lit(1))).alias("up"), "class", "parts", *kept).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    y = y.select("shingle", (F.col("class") - F.col("up")).alias("block"), "salt", F.lit(1).alias("side"), "up", *[c if isinstance(c, str) else "at" for c in kept])
+    # Keys that are equal by chance only add pairs to be looked at.
+    dealt = x.unionByName(y).select(F.xxhash64("shingle", "block", "salt").alias("key"), "side", "up", "node", "n", "at", "root")
+    return dealt.repartition("key").sortWithinPartitions("key", "side").mapInArrow(meeting(percent), "a long, others array<long>")
+
+
+def candidates(shared: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b, of every pair that ``gathered`` finds, once; to look at them, as their number grows with the square of a group."""
+    return gathered(shared, percent).select("a", F.explode("others").alias("b")).distinct()
 
 
 def counted(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, percent: int, id_col: str, text_col: str, members: DataFrame | None = None, pairwise: bool = False) -> DataFrame:
@@ -476,7 +584,7 @@ def counted(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, p
 def links(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(a, b, overlap), a < b, of every linked pair of different sets; a set stands under the least id that has it."""
     _, classes, shared = prepared(docs, width, percent, id_col, text_col)
-    found = counted(docs, materialize(candidates(shared, percent)), classes, width, percent, id_col, text_col, pairwise=True)
+    found = counted(docs, materialize(gathered(shared, percent)), classes, width, percent, id_col, text_col, pairwise=True)
     for end in ("a", "b"):
         found = found.join(classes.select(F.col("node").alias(end), F.col("id").alias(f"id_{end}")), end)
     return found.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "overlap")
@@ -500,7 +608,7 @@ def join_links(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     key = ["n", "sig_a", "sig_b"]
     sizes = rows.where(F.col("id").isNotNull()).select(*key, "id").distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("members"))
     named = materialize(classes.select("node", *key, "id").join(sizes, key))
-    found = counted(docs, materialize(candidates(shared, percent)), classes, width, percent, id_col, text_col, members=named.select("node", "members"))
+    found = counted(docs, materialize(gathered(shared, percent)), classes, width, percent, id_col, text_col, members=named.select("node", "members"))
     of_class = placed_classes(named, found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     linked_to = found.groupBy("node").agg(F.sum("near").alias("others"))
     of_class = of_class.join(linked_to, "node", "left").select(*key, (F.col("members") + F.coalesce("others", F.lit(0))).alias("near"), "component_id")
@@ -523,7 +631,7 @@ def spanning_links(docs: DataFrame, classes: DataFrame, shared: DataFrame, round
             met = still.join(leaders, ["shingle", "class"]).where("root != l.root").where(possible("n", "at", "l.n", "l.at", percent))
             pairs = met.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
         else:
-            pairs = candidates(still, percent)
+            pairs = gathered(still, percent)
         pairs = materialize(pairs)
         if pairs.isEmpty():
             continue

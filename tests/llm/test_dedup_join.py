@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from clausewood.llm import exact_dedup, ngram_join
@@ -185,3 +186,26 @@ def test_a_group_gives_a_row_per_member_and_cell_not_per_link(spark, monkeypatch
     assert len(found) <= 4 * 40 and sum(r.near for r in found) == 40 * 39
     got = {r.doc_id: (r.n_links, r.component_id) for r in ngram_join.join_links(frame(spark, rows), 4, 85).collect()}
     assert got == {i: (39, 0) if i < 40 else (0, i) for i, _ in rows}
+
+
+def test_columns_meet_without_a_join_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SALT_ROWS", 16)
+    common = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*common, f"end{i}", *["x"] * (i % 7)])) for i in range(60)]
+    _, _, shared = ngram_join.prepared(frame(spark, rows), 4, 85, "doc_id", "text")
+    met = ngram_join.gathered(shared, 85)
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "id1" not in plan and "MapInArrow" in plan
+    found = met.collect()
+    assert {(r.a, b) for r in found for b in r.others} == {(r.a, r.b) for r in ngram_join.candidates(shared, 85).collect()}
+    assert len({b for r in found for b in [r.a, *r.others]}) == 60 and len(found) <= 60 * spark.sparkContext.defaultParallelism * 4
+
+
+@pytest.mark.parametrize("size", [1, 5, 1 << 17])
+def test_groups_are_whole_whatever_the_batches(monkeypatch, size):
+    monkeypatch.setattr(ngram_join, "GATHERED", size)
+    keys = np.repeat(np.arange(20), np.arange(20) % 6)
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 3]), pa.array(np.arange(len(keys))[i : i + 3])], ["key", "x"]) for i in range(0, len(keys), 3)]
+    parts = list(ngram_join.whole_groups(iter(batches)))
+    assert np.concatenate([p[1] for p in parts]).tolist() == list(range(len(keys)))
+    assert sum(len(np.unique(p[0])) for p in parts) == len(np.unique(keys))
