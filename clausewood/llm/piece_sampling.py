@@ -45,19 +45,19 @@ from clausewood.llm.common import M1, M2, M3, hash_sums, mix, slices, span_hashe
 from clausewood.runtime import ship
 
 BLANK = "▁"
-#: Groups this far below the best can't win: a draw's spread is under 42.
-SPREAD = 90.0
+#: Groups this far below k + 1 others can't be among the next k: a draw of 53 bits lies between -3.7 and 37.5.
+SPREAD = 42.0
 #: Bytes of text whose lattices are held at once; a lattice takes about a hundred times its text.
 LATTICE_BYTES = 1 << 17
 #: Edges of lattices that a worker keeps for the slices to come: those of the parts it met first.
 KEPT_EDGES = 500_000
 #: Steps of a path that are looked at before the whole path is.
-HEAD = 256
+HEAD = 512
 SLOT_BITS = 19
 
 
 class Pieces:
-    """The vocabulary: bytes and weight of each piece, and a hash table of them."""
+    """The vocabulary: bytes and weight of each piece, and a hash table of them and of their beginnings."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -80,20 +80,37 @@ class Pieces:
         lengths = np.array([len(self.raw[i]) for i in ids])
         ends = np.cumsum(lengths)
         data = np.frombuffer(b"".join(self.raw[i] for i in ids), np.uint8)
-        keys = span_keys(*hash_sums(data), ends - lengths, ends)
-        order = np.argsort(keys)
-        self.keys, self.ids = keys[order], np.array(ids, np.int32)[order]
-        self.weights = np.array(weights)[order]
-        self.lengths = sorted(set(lengths.tolist()))
+        # All beginnings of pieces, with id -1 where they are no piece themselves.
+        begin = np.repeat(ends - lengths, lengths)
+        keys = span_keys(*hash_sums(data), begin, np.arange(1, len(data) + 1))
+        whole = np.zeros(len(data), bool)
+        whole[ends - 1] = True
+        order = np.lexsort((~whole, keys))
+        order = order[np.append(True, keys[order][1:] != keys[order][:-1])]
+        owner = np.repeat(np.arange(len(ids)), lengths)[order]
+        self.keys, self.ids = keys[order], np.where(whole[order], np.array(ids, np.int32)[owner], np.int32(-1))
+        self.weights = np.array(weights)[owner]
+        self.longest = int(lengths.max(initial=0))
         self.byte_weight = -np.log(float(size))
         # Slots by the high bits of a key hold the place in ``keys``; the few that clash are searched for.
         self.shift = np.uint64(64 - SLOT_BITS)
         slot = (self.keys >> self.shift).astype(np.int64)
         self.slots = np.full(1 << SLOT_BITS, -1, np.int32)
-        self.slots[slot] = np.arange(len(ids), dtype=np.int32)
+        self.slots[slot] = np.arange(len(slot), dtype=np.int32)
         self.crowded = np.zeros(1 << SLOT_BITS, bool)
-        self.crowded[slot[self.slots[slot] != np.arange(len(ids))]] = True
+        self.crowded[slot[self.slots[slot] != np.arange(len(slot))]] = True
         self.kept = Lattices(self.byte_id)
+        self.raw_sizes = np.array([len(r) for r in self.raw], np.int64)
+        self.raw_starts = np.cumsum(self.raw_sizes) - self.raw_sizes
+        self.raw_data = np.frombuffer(b"".join(self.raw), np.uint8)
+
+    def spelled(self, ids: np.ndarray) -> bytes:
+        """The bytes of pieces, joined."""
+        sizes = self.raw_sizes[ids]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1] if len(ends) else 0)
+        at += np.repeat(self.raw_starts[ids] - ends + sizes, sizes)
+        return self.raw_data[at].tobytes()
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Place of each key in ``keys``, or -1."""
@@ -186,14 +203,17 @@ class Lattices:
         sums = hash_sums(text)
         src, dst, ids, weight, found_one = [], [], [], [], np.zeros(len(at), bool)
         some = np.arange(len(at), dtype=np.int32)
-        for size in pieces.lengths:
+        for size in range(1, pieces.longest + 1):
             some = some[room[some] >= size]
             if not len(some):
                 break
             begin = at[some]
-            end = begin + size
-            place = pieces.find(span_keys(*sums, begin, end))
-            hit = np.flatnonzero((place >= 0) & is_node[end])
+            place = pieces.find(span_keys(*sums, begin, begin + size))
+            # Where no piece begins like this, no longer one does.
+            on = place >= 0
+            some, place = some[on], place[on]
+            end = at[some] + size
+            hit = np.flatnonzero((pieces.ids[place] >= 0) & is_node[end])
             own, place, end = some[hit], place[hit], end[hit]
             src.append(own)
             dst.append(number[end])
@@ -404,15 +424,14 @@ class Sampler:
             head = log_p[:size]
             before = np.cumsum(head) - head
             loc = before[kept:] + lat.log_rest[path[kept:size]]
-            best = loc.max(initial=-np.inf)
-            at = np.flatnonzero(loc > best - SPREAD) if best > -np.inf else np.zeros(0, np.int64)
-            # Probabilities only fall along a path: what follows the head can't come near the best any more.
-            if size >= len(path) or (len(at) > self.k and before[-1] < best - SPREAD):
+            some = loc if len(loc) <= self.k + 1 else np.partition(loc, len(loc) - self.k - 1)[len(loc) - self.k - 1 :]
+            least = some.min(initial=np.inf) if len(some) > self.k else -np.inf
+            at = np.flatnonzero(loc > least - SPREAD) if least > -np.inf else np.flatnonzero(loc > -np.inf)
+            # Probabilities only fall along a path: what follows the head can't come near these any more.
+            if size >= len(path) or (least > -np.inf and before[-1] < least - SPREAD):
                 break
-        if best == -np.inf:
+        if not len(at):
             return
-        if len(at) <= self.k:
-            at = np.flatnonzero(loc > -np.inf)
         own = np.uint64(mix(np.array([seed + (sample + 31) * int(M1) & (1 << 64) - 1], np.uint64))[0])
         g = gumbel((at + kept).astype(np.uint64) * M3 + own) + loc[at]
         value = np.logaddexp(-peak, -g)
@@ -465,7 +484,7 @@ def sample_batches(pieces: Pieces, batches: Iterator[pa.RecordBatch], k: int) ->
                         ids = sampler.lattices.piece_ids(edges)
                         rows.append(row), number.append(i), lists.append(ids), scores.append(log_prob), peaks.append(peak)
                         inclusions.append(-math.expm1(-math.exp(min(log_prob - kappa, 700.0))) if kappa > -np.inf else 1.0)
-                        trips.append(b"".join([pieces.raw[p] for p in ids.tolist()])[1:] == raw)
+                        trips.append(pieces.spelled(ids)[1:] == raw)
             sizes = np.array([len(x) for x in lists], np.int64)
             flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
             column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, pa.int32()))

@@ -261,3 +261,20 @@ def test_every_filter_rejects_something(spark):
     words = [*(f"s{i:02d}" for i in range(10)), *long[4:19]]
     block = license_scan.blocks_of(spark.createDataFrame([(1, words)], "row long, words array<string>"), two, {f"t{i:02d}": 5 for i in range(20)})
     assert block.count() >= 1 and license_scan.candidates(block, two).collect() == []
+
+
+def test_lattices_look_no_further_than_a_piece_begins(monkeypatch):
+    """Spans that no piece begins with are not looked up at every longer size, and the lattices are the same."""
+    pieces = piece_sampling.Pieces(MODEL)
+    looked, find = [], piece_sampling.Pieces.find
+    monkeypatch.setattr(piece_sampling.Pieces, "find", lambda self, keys: looked.append(len(keys)) or find(self, keys))
+    text = " " + "zqxj" * 100 + "internationalisation" * 3
+    data = np.frombuffer(text.encode(), np.uint8)
+    lattices = piece_sampling.Lattices(pieces.byte_id)
+    _, _, edges = lattices.build(pieces, data, np.array([0]), np.array([len(data)]))
+    assert sum(looked) <= 5 * len(data)
+    own = {raw for i, raw in enumerate(pieces.raw) if i in set(pieces.ids.tolist())}
+    wanted = sum(data[i:j].tobytes() in own for i in range(len(data)) for j in range(i + 1, min(len(data), i + pieces.longest) + 1))
+    bare = sum(data[i : i + 1].tobytes() not in own for i in range(len(data)))
+    assert edges == wanted + bare
+    assert pieces.spelled(np.array([5, 400, 9000])) == b"".join(pieces.raw[i] for i in (5, 400, 9000)) and pieces.spelled(np.zeros(0, np.int32)) == b""
