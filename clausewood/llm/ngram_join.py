@@ -72,6 +72,8 @@ COLUMN_BITS, ENTRIES = 3, 1 << 20
 PAIRS, SLICE = 1 << 16, 1 << 11
 #: Entries of columns, and pairs, that a task gathers before it says what met.
 GATHERED, MET = 1 << 17, 1 << 20
+#: Rows that a row block remembers to have named; beyond, it begins anew and some are named again.
+TOLD = 1 << 21
 #: Bits of a shingle that a cell compares; the row stands above them.
 SHINGLE_BITS = 44
 
@@ -420,23 +422,40 @@ def in_cells(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def placed(blocks: int) -> Callable[[Batches], Batches]:
-    """A function over (a, others), sorted by a: (cell, kind, a, others) of each cell's pairs, once, and of the rows that it needs for them."""
-    block = lambda x: (mix(x.view(np.uint64) + salt(3)) % np.uint64(blocks)).astype(np.int64)
+    """A function over (a, others, own), sorted by own and a, where own is the row block of a: (cell, kind, a, others) of each cell's pairs, once, and of the rows that it needs for them.
+
+    All of a row block's pairs come to one task, so it names the other ends once, not again for each of its rows.
+    """
 
     @tidy
     def run(batches: Batches) -> Batches:
-        for a, others in whole_groups(batches):
-            a, b = np.repeat(a, others.value_lengths().to_numpy()), others.flatten().to_numpy()
-            cell = block(a) * blocks + block(b)
-            first, own = listed_pairs(a, b, cell)
-            ends = np.unique(np.stack([np.concatenate([cell, cell]), np.concatenate([a, b])]), axis=1)
-            kind = np.repeat(np.array([0, 1], np.int32), [ends.shape[1], len(first)])
-            held = pa.concat_arrays([pa.nulls(ends.shape[1], own.type), own])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ends[0], cell[first]])), pa.array(kind), pa.array(np.concatenate([ends[1], a[first]])), held], ["cell", "kind", "a", "others"])
+        now, told = None, np.zeros(0, np.int64)
+        for a, others, own in whole_groups(batches):
+            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if own[lo] != now or len(told) > TOLD:
+                    now, told = own[lo], np.zeros(0, np.int64)
+                part = others.slice(lo, hi - lo)
+                x, b = np.repeat(a[lo:hi], part.value_lengths().to_numpy()), part.flatten().to_numpy()
+                block = lambda ends: now * blocks + (mix(ends.view(np.uint64) + salt(3)) % np.uint64(blocks)).astype(np.int64)  # noqa: B023, E731
+                cell = block(b)
+                first, listed = listed_pairs(x, b, cell)
+                new = np.setdiff1d(b, told)
+                told = np.union1d(told, new)
+                cells_of, nodes = np.concatenate([cell[first], block(new)]), np.concatenate([x[first], new])
+                kind = np.repeat(np.array([0, 1], np.int32), [len(nodes), len(first)])
+                held = pa.concat_arrays([pa.nulls(len(nodes), listed.type), listed])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([cells_of, cell[first]])), pa.array(kind), pa.array(np.concatenate([nodes, x[first]])), held], ["cell", "kind", "a", "others"])
 
     return run
 
 
+def in_row_blocks(pairs: DataFrame, blocks: int) -> DataFrame:
+    """``placed`` of pairs (a, others), dealt by the row block of ``a``."""
+    dealt = pairs.select("a", "others", F.pmod(F.xxhash64("a"), F.lit(blocks)).alias("own"))
+    return dealt.repartition("own").sortWithinPartitions("own", "a").mapInArrow(placed(blocks), "cell long, kind int, a long, others array<long>")
+
+
 def close_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(cell, kind, a, others) of the pairs of nodes that bitmaps leave (kind 1), and of the rows that each cell needs for them (kind 0); ``pairs``: (a, b), or (a, others) as ``gathered`` gives them."""
     if "b" in pairs.columns:
@@ -444,7 +463,7 @@ def close_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
         pairs = pairs.select("a", F.array("b").alias("others")).union(pairs.select("b", none))
     held = classes.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).first()
     blocks = max(ROW_BLOCKS, math.ceil((held["n"] or 0) * 8 / BLOCK_BYTES), math.ceil(held["rows"] / BLOCK_ROWS))
-    dealt = materialize(pairs.repartition("a").sortWithinPartitions("a").mapInArrow(placed(blocks), "cell long, kind int, a long, others array<long>"))
+    dealt = materialize(in_row_blocks(pairs, blocks))
     wanted = dealt.where("kind = 0").select("cell", F.col("a").alias("node")).distinct()
     rows = wanted.join(classes.select("node", "n", F.col("bits").alias("held")), "node").select("cell", F.col("node").alias("a"), "n", "held")
     return in_cells(rows, dealt.where("kind = 1").select("cell", "a", "others")).mapInArrow(not_too_different(percent), "cell long, kind int, a long, others array<long>")
@@ -484,18 +503,20 @@ def listed_pairs(a: np.ndarray, b: np.ndarray, *keys: np.ndarray) -> tuple[np.nd
 
 
 def whole_groups(batches: Batches) -> Iterator[list[np.ndarray | pa.Array]]:
-    """The columns of many rows at once, sorted by the first; no group of equal ones is cut."""
+    """The columns of many rows at once, in which equal values of the first stand together; no group of them is cut. Elements of lists count as rows."""
+    weight = lambda batch: batch.num_rows + sum(len(c.flatten()) for c in batch.columns if pa.types.is_list(c.type))
     held, size = [], 0
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
-        size += batch.num_rows
+        size += weight(batch)
         last = batch.column(0).to_numpy()
-        if size >= GATHERED and (cut := int(np.searchsorted(last, last[-1]))):
+        if size >= GATHERED and (cut := int(np.flatnonzero(np.append(True, last[1:] != last[:-1]))[-1])):
             held[-1] = batch.slice(0, cut)
             yield _columns(held)
-            held, size = [batch.slice(cut)], batch.num_rows - cut
+            held = [batch.slice(cut)]
+            size = weight(held[0])
     if held:
         yield _columns(held)
 

@@ -209,3 +209,24 @@ def test_groups_are_whole_whatever_the_batches(monkeypatch, size):
     parts = list(ngram_join.whole_groups(iter(batches)))
     assert np.concatenate([p[1] for p in parts]).tolist() == list(range(len(keys)))
     assert sum(len(np.unique(p[0])) for p in parts) == len(np.unique(keys))
+
+
+def test_a_row_block_names_its_rows_once_however_many_tasks(spark, monkeypatch):
+    """Rows for the cells follow members and cells, not members and tasks."""
+    group, blocks = 80, 2
+    monkeypatch.setattr(ngram_join, "GATHERED", 64)
+    monkeypatch.setattr(ngram_join, "ROW_BLOCKS", blocks)
+    before = {key: spark.conf.get(key) for key in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pairs = spark.createDataFrame([(i, list(range(i + 1, group))) for i in range(group)] * 2, "a long, others array<long>")
+        found = ngram_join.in_row_blocks(pairs, blocks).collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert sum(r.kind == 0 for r in found) <= 2 * blocks * group
+    told = [(r.cell, r.a, b) for r in found if r.kind == 1 for b in r.others]
+    assert len({(a, b) for _, a, b in told}) == len(told) == group * (group - 1) // 2
+    named = {(r.cell, r.a) for r in found if r.kind == 0}
+    assert {(cell, x) for cell, a, b in told for x in (a, b)} == named
